@@ -101,8 +101,9 @@ def plain_features(touches: DataFrame, width: float = FEATURE_SECONDS) -> DataFr
 
 def last_features(features: DataFrame) -> DataFrame:
     """Only the latest vector of each device."""
-    latest = F.max_by(F.struct("time", *FEATURE_COLUMNS), "time").alias("v")
-    return features.groupBy(*_KEYS).agg(latest).select(*_KEYS, "v.*")
+    # one max_by per plain column stays on the hash-aggregate path
+    latest = [F.max_by(c, "time").alias(c) for c in FEATURE_COLUMNS]
+    return features.groupBy(*_KEYS).agg(F.max("time").alias("time"), *latest)
 
 
 def activity(touches: DataFrame, width: float, by_device: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from fluxweave.sources.formats import DEFAULT_FORMAT, LogFormat
 # seconds [ /address, device, x, y, velocity ] a NetAddr(ip, port)
 BRACKET_NOISE = r"[\[\],)]|a NetAddr\("
 # seconds ip <Class (/address) ( "device", x, y, velocity )>
-RECORD_NOISE = r"[\",\n\r]|<\w* ?\(|\) \(|\)>"
+RECORD_NOISE = r"[\",\n\r]|<\w* ?\(|\) \(|\)>|\)$"
 RECORD_END = ">"
 MINUTE_TITLE, MINUTE_TIME = r"(\d{8}-\d{2}h\d{2})(?!m)", "yyyyMMdd-HH'h'mm"
 SECOND_TITLE, SECOND_TIME = r"(\d{8}-\d{2}h\d{2}m\d{2}s)", "yyyyMMdd-HH'h'mm'm'ss's'"
@@ -50,7 +50,7 @@ def _touches(words: DataFrame, address_at: int, fmt: LogFormat) -> DataFrame:
     def w(i: int) -> Column:
         return F.get("w", F.lit(address_at + i))
 
-    offset = (F.get("w", F.lit(0)).try_cast("double") * SECOND).cast("long")
+    offset = F.round(F.get("w", F.lit(0)).try_cast("double") * SECOND).cast("long")
     return words.filter(w(0) == fmt.address("touch")).select(
         PERF,
         F.timestamp_micros(F.unix_micros("start") + offset).alias("time"),
@@ -111,7 +111,7 @@ def redate_coding(rows: DataFrame, start: str = "start", offset: str = "offset")
     """``m:s`` offsets of a coding file as absolute times."""
     parts = F.split(offset, ":")
     seconds = F.get(parts, F.lit(0)).try_cast("double") * 60 + F.get(parts, F.lit(1)).try_cast("double")
-    time = F.timestamp_micros(F.unix_micros(start) + (seconds * SECOND).cast("long"))
+    time = F.timestamp_micros(F.unix_micros(start) + F.round(seconds * SECOND).cast("long"))
     return rows.filter(F.col(offset) != "time").withColumn("time", time)
 
 

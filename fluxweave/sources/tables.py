@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fluxweave import schemas
 from fluxweave.dims import DEV, PERF
@@ -32,7 +31,7 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn(PERF, title_of("_metadata.file_path"))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, keyed: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, keyed: bool = True) -> DataFrame:
     """One kind of table for all performances under ``path`` at once."""
     df = spark.read.schema(schema).option("header", "true").csv(path)
     return _keyed(df) if keyed else df
@@ -99,8 +98,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Labelled feature vectors; the label may be called ``target`` or ``gesture``."""
     header = spark.read.option("header", "true").csv(path).columns
     time, *rest = header
-    types = {f.name: f.dataType for f in schemas.FEATURES.fields} | {"target": T.IntegerType()}
-    schema = T.StructType([T.StructField(time, T.TimestampType()), *[T.StructField(c, types[c]) for c in rest]])
+    schema = ", ".join([f"`{time}` TIMESTAMP", *[f"{c} {schemas.FEATURE_TYPES[c]}" for c in rest]])
     df = read_table(spark, path, schema, keyed=False)
     return df.withColumnRenamed(time, "time").withColumnRenamed("target", "gesture")
 
