@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 from fluxweave.dims import DEV, PERF
 from fluxweave.functions import scalars as sc
 from fluxweave.operators import messages as ms
-from fluxweave.operators import series as se
 from fluxweave.operators import study as st
 from fluxweave.operators import transitions as tr
 from fluxweave.plans import testviews as tv
 from fluxweave.plans.catalog.base import iso, iso_sql, query, rounded, rounded_sql
-from fluxweave.plans.catalog.matrices import STATE_ROWS, STEPS5, WINDOW5, state_sql, window5
+from fluxweave.plans.catalog.matrices import (
+    COMPLETE,
+    DEBOUNCE,
+    ENSEMBLE,
+    SHARES,
+    STATE_ROWS,
+    STEPS5,
+    WHOLE,
+    WINDOW5,
+    daily,
+    state_sql,
+    window5,
+)
 from fluxweave.plans.catalog.vectors import TUMBLING, grid_sql, shown, shown_sql, tumbling
-from fluxweave.plans.testviews import DAY, VECTOR, bin_sql, with_sql
+from fluxweave.plans.testviews import DAY, GAP, VECTOR, bin_sql, with_sql
 from fluxweave.session import shared_folder
 from fluxweave.sources import captures as cp
 from fluxweave.sources import logs as lg
@@ -409,7 +420,7 @@ def table_online(spark, d):
 
 @query(
     "table_transitions",
-    state_sql(STATE_ROWS.replace("window_start,", "window_start,"), 5, steps=STEPS5, counts=WINDOW5).replace(
+    state_sql(STATE_ROWS, 5, steps=STEPS5, counts=WINDOW5).replace(
         " AS window_start, state,", " AS time, state AS transition_type,"
     ),
 )
@@ -698,9 +709,6 @@ def seats_of_devices(spark, d):
     return ms.with_seat(named).groupBy(F.coalesce("seat", F.lit(-1)).alias("seat")).agg(F.count(F.lit(1)).alias("n"))
 
 
-from fluxweave.plans.catalog.matrices import COMPLETE, DEBOUNCE, ENSEMBLE, GAP, SHARES, WHOLE, daily  # noqa: E402
-
-
 @query(
     "performance_summary",
     with_sql(
@@ -779,6 +787,3 @@ def measures_melted(spark, d):
 def gestures_pivoted(spark, d):
     wide = st.pivot_first(seat_gestures(spark, d), [PERF, "time"], DEV, "gesture", SEATS)
     return wide.select(PERF, iso("time"), *[F.coalesce(s, F.lit(-1)).alias(s) for s in SEATS])
-
-
-__all__ = ["raw_messages", "se"]
