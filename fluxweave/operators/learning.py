@@ -96,7 +96,7 @@ def gesture_score(model: PipelineModel, touches: DataFrame, width: float, tick:
 
 
 def stratified_folds(
-    df: DataFrame, label: str, identity: Sequence[str], folds: int = 10, run: int = 0, digits: int = 3
+    df: DataFrame, label: str, identity: Sequence[str], folds: int = 10, run: int = 0, digits: int = 5
 ) -> DataFrame:
     """Fold 0..k-1 so that every label is spread evenly, in a repeatable random order.
 
@@ -109,17 +109,14 @@ def stratified_folds(
 
 
 def shuffled_slices(
-    df: DataFrame, identity: Sequence[str], slices: int = 10, run: int = 0, digits: int = 3
+    df: DataFrame, identity: Sequence[str], slices: int = 10, run: int = 0, digits: int = 5
 ) -> DataFrame:
     """Equal slices of a random order; the remainder belongs to no test slice (fold NULL)."""
     hashed = df.withColumn("__h", hash_order(*identity, seed=run)).withColumn("__one", F.lit(1))
     numbered = with_row_number(hashed, ["__one"], ["__h", *identity], hash_chunk("__h", digits))
-    size = df.agg(F.floor(F.count(F.lit(1)) / slices).alias("__size"))
-    # a one-row side: Spark keeps it as a scalar broadcast
-    fold = F.floor((F.col("row_no") - 1) / F.col("__size")).cast("int")
-    return numbered.join(F.broadcast(size)).withColumn("fold", F.when(fold < slices, fold)).drop(
-        "__h", "__one", "row_no", "__size"
-    )
+    size = df.agg(F.floor(F.count(F.lit(1)) / slices)).scalar()
+    fold = F.floor((F.col("row_no") - 1) / F.greatest(size, F.lit(1))).cast("int")
+    return numbered.withColumn("fold", F.when(fold < slices, fold)).drop("__h", "__one", "row_no")
 
 
 def training_rows(folds: DataFrame, fold: int) -> DataFrame:
@@ -127,19 +124,19 @@ def training_rows(folds: DataFrame, fold: int) -> DataFrame:
     return folds.filter(~F.col("fold").eqNullSafe(fold))
 
 
-def bootstrap(df: DataFrame, identity: Sequence[str], seed: int = 0, digits: int = 3, size: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, identity: Sequence[str], seed: int = 0, digits: int = 5, size: int | None = None) -> DataFrame:
     """Sample with replacement of the same size (or ``size``), repeatable.
 
     Every draw is a row number made from a hash; draws join rows on it.
     """
     hashed = df.withColumn("__h", hash_order(*identity, seed=seed)).withColumn("__one", F.lit(1))
     numbered = with_row_number(hashed, ["__one"], ["__h", *identity], hash_chunk("__h", digits)).drop("__h", "__one")
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     draws = numbered.select(F.col("row_no").alias("draw"))
     if size is not None:
         draws = draws.filter(F.col("draw") <= size)
     u = _unit(F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), F.col("draw").cast("string"))))
-    picked = draws.join(F.broadcast(total)).select("draw", (F.floor(u * F.col("__n")) + 1).cast("long").alias("row_no"))
+    picked = draws.select("draw", (F.floor(u * total) + 1).cast("long").alias("row_no"))
     return picked.join(numbered, "row_no").drop("row_no")
 
 

@@ -89,8 +89,8 @@ def hash_order(*parts: str | Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts], F.lit(str(seed))))
 
 
-def hash_chunk(digest: str | Column, digits: int = 3) -> Column:
-    """Leading digits of a digest: equal-sized chunks in digest order."""
+def hash_chunk(digest: str | Column, digits: int = 5) -> Column:
+    """Leading digits of a digest: about ``16**digits`` equal chunks in digest order."""
     return F.substring(digest, 1, digits)
 
 

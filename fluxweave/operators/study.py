@@ -120,6 +120,8 @@ def graded_scores(predictions: DataFrame, keys: list[str], target: str = "gestur
 def confusion(predictions: DataFrame, keys: list[str], target: str = "gesture", prediction: str = "prediction") -> DataFrame:
     """Share of all rows in each (true, predicted) cell."""
     counts = predictions.groupBy(*keys, target, prediction).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__all"))
-    joined = counts.join(totals, keys) if keys else counts.join(totals)
-    return joined.select(*keys, target, prediction, "n", (F.col("n").cast("double") / F.col("__all")).alias("share"))
+    if keys:
+        rows = counts.join(counts.groupBy(*keys).agg(F.sum("n").alias("__all")), keys)
+    else:
+        rows = counts.withColumn("__all", predictions.agg(F.count(F.lit(1))).scalar())
+    return rows.select(*keys, target, prediction, "n", (F.col("n").cast("double") / F.col("__all")).alias("share"))

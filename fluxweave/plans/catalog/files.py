@@ -475,29 +475,25 @@ def table_gestures_wide(spark, d):
     """One column per seat, written per performance, read back as rows."""
     wide = tb.gestures_wide(seat_gestures(spark, d), SEATS)
     path = tb.write_csv(titled(spark, d, wide), shared_folder(spark, "gestures"), by="title")
-    read = spark.read.option("header", "true").csv(path).drop("title")
-    typed = read.select(
-        tb.title_of("_metadata.file_path").alias(PERF),
-        F.to_timestamp("time").alias("time"),
-        *[F.col(c).cast("int") for c in SEATS],
-    )
-    return tb.wide_to_long(typed, [PERF, "time"], DEV, "gesture").select(PERF, DEV, iso("time"), "gesture")
+    return tb.read_gestures(spark, path).select(PERF, DEV, iso("time"), "gesture")
 
 
 @query(
     "table_coded_targets",
     with_sql(
-        f"SELECT performance_id, {iso_sql('time')}, device_id, CAST(coalesce(state, 0) AS INT) AS state FROM (SELECT performance_id, time, device_id, "
-        "CASE WHEN gesture IN (1, 2) THEN gesture ELSE 0 END AS state FROM seats)",
+        f"SELECT title AS performance_id, {iso_sql('time')}, device_id, CAST(gesture AS INT) AS state FROM seats JOIN titles USING (performance_id) WHERE gesture IN (1, 2, 8)",
         "gestures",
         seats=SEAT_GESTURES,
+        titles=TITLES,
     ),
 )
 def table_coded_targets(spark, d):
-    """Code strings per seat; a blank code counts as nothing."""
-    code = F.when(F.col("gesture") == 1, "FT").when(F.col("gesture") == 2, "ST").when(F.col("gesture") == 3, "")
-    coded = seat_gestures(spark, d).withColumn("code", F.coalesce(code, F.lit("N")))
-    return coded.select(PERF, iso("time"), DEV, sc.encode_gesture("code").alias("state"))
+    """Code strings per seat, most of them blank, written wide and read back."""
+    code = F.when(F.col("gesture") == 1, "FT").when(F.col("gesture") == 2, "ST").when(F.col("gesture") == 8, "C")
+    coded = seat_gestures(spark, d).withColumn("gesture", F.coalesce(code, F.lit("")))
+    wide = titled(spark, d, tb.gestures_wide(coded, SEATS))
+    read = tb.read_coded_targets(spark, tb.write_csv(wide, shared_folder(spark, "codes"), by="title"))
+    return read.select(PERF, iso("time"), DEV, sc.encode_gesture("code").alias("state"))
 
 
 @query(

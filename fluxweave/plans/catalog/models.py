@@ -11,7 +11,7 @@ from fluxweave.operators import study as st
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
 from fluxweave.plans import testviews as tv
 from fluxweave.plans.catalog.base import iso, query, rounded, rounded_sql
-from fluxweave.plans.catalog.vectors import tumbling
+from fluxweave.plans.catalog.vectors import tumbling, tumbling_sql
 from fluxweave.plans.testviews import TICK, VECTOR, with_sql
 from fluxweave.session import shared_folder
 
@@ -91,7 +91,7 @@ def forest_predictions(spark, d):
     return ln.classify(model, split.filter("NOT is_train")).select("vec_id", "label", "prediction")
 
 
-@query("forest_stored_and_loaded")
+@query("forest_stored_and_loaded", tumbling_sql("SELECT true AS same, count(*) AS n FROM vectors"))
 def forest_stored_and_loaded(spark, d):
     """The first call trains and stores, the second loads; both must agree."""
     path, rows = shared_folder(spark, "model"), labelled(spark, d)

@@ -72,18 +72,26 @@ def wide_to_long(wide: DataFrame, ids: list[str], name: str, value: str) -> Data
 
 
 def read_wide(spark: SparkSession, path: str, value: str, value_type: str) -> DataFrame:
-    """A table with one column per device, as long rows.
+    """Tables with one column per device, as long rows; empty cells are dropped.
 
-    The header decides the columns, so files are read with their own header
-    and cast; one call reads the files that share a header.
+    Every performance has its own devices, so each file's header names the cells
+    of that file's rows. The headers are one row per file and are matched by
+    file; nothing about the columns is needed on the driver.
     """
-    wide = spark.read.option("header", "true").csv(path)
-    typed = wide.select(
-        title_of("_metadata.file_path").alias(PERF),
-        F.to_timestamp("time").alias("time"),
-        *[F.col(f"`{c}`").cast(value_type).alias(c) for c in wide.columns if c != "time"],
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__file"), F.split(F.replace("value", F.lit('"'), F.lit("")), ",", -1).alias("cells")
+    )
+    is_header = F.get("cells", F.lit(0)) == "time"
+    headers = lines.filter(is_header).select("__file", F.col("cells").alias("names"))
+    rows = lines.filter(~is_header).join(headers, "__file")
+    cells = F.slice(F.arrays_zip("names", "cells"), 2, F.greatest(F.size("names") - 1, F.lit(0)))
+    each = rows.select("__file", F.get("cells", F.lit(0)).alias("time"), F.explode(cells).alias("c"))
+    return each.filter(F.coalesce(F.trim("c.cells"), F.lit("")) != "").select(
+        title_of("__file").alias(PERF),
+        F.try_to_timestamp("time").alias("time"),
+        F.col("c.names").alias(DEV),
+        F.col("c.cells").try_cast(value_type).alias(value),
     )
-    return wide_to_long(typed, [PERF, "time"], DEV, value)
 
 
 def read_gestures(spark: SparkSession, path: str) -> DataFrame:
@@ -111,18 +119,23 @@ def discover_performances(spark: SparkSession, path: str, glob: str) -> DataFram
     return titles.select("title", start_of("title").alias("start_time"))
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = PERF) -> str:
-    """CSV with a header and second-precision times, one folder per performance."""
-    writer = df.write.mode("overwrite").option("header", "true").option("timestampFormat", ROW_TIME)
+def _write(df: DataFrame, path: str, by: str | None, time_format: str) -> str:
+    # rebalancing gathers a performance's rows into few files and lets Spark
+    # split one that is too large for a task
+    spread = df.hint("rebalance", F.col(by)) if by else df
+    writer = spread.write.mode("overwrite").option("header", "true").option("timestampFormat", time_format)
     (writer.partitionBy(by) if by else writer).csv(path)
     return path
 
 
+def write_csv(df: DataFrame, path: str, by: str | None = PERF) -> str:
+    """CSV with a header and second-precision times, one folder per performance."""
+    return _write(df, path, by, ROW_TIME)
+
+
 def write_exact_csv(df: DataFrame, path: str, by: str | None = None) -> str:
     """CSV with microsecond times."""
-    writer = df.write.mode("overwrite").option("header", "true").option("timestampFormat", ROW_TIME + ".SSSSSS")
-    (writer.partitionBy(by) if by else writer).csv(path)
-    return path
+    return _write(df, path, by, ROW_TIME + ".SSSSSS")
 
 
 def gestures_wide(gestures: DataFrame, devices: list[str] | None = None) -> DataFrame:
