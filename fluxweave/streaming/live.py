@@ -95,8 +95,8 @@ def _step_device(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             PERF: key[0],
             DEV: key[1],
             "time": rows["time"].to_numpy(),
-            mx.TO: states.where(both).to_numpy(dtype="object", na_value=None),
-            mx.FROM: before.where(both).to_numpy(dtype="object", na_value=None),
+            mx.TO: states.where(both).array,
+            mx.FROM: before.where(both).array,
         }
     )
 
@@ -140,7 +140,11 @@ def live_state(steps: DataFrame, width: float = FLUX_SECONDS, delay: str = DELAY
 
 
 def live_new_ideas(flux: DataFrame, threshold: float = NEW_IDEA_LIVE) -> DataFrame:
-    """Windows whose flux rose above the threshold; the previous flux is kept as state."""
+    """Windows whose flux rose above the threshold; the previous flux is kept as state.
+
+    Read a flux table without a file limit: a batch then holds whole batches of
+    the stream that wrote it, and those follow each other in time.
+    """
 
     def rise(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("time")
