@@ -15,6 +15,7 @@ from fluxweave.dims import DEV, FEATURE_COLUMNS, FOREST_FEATURES, FOREST_TREES,
 from fluxweave.operators import features as fv
 from fluxweave.operators import messages as ms
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
+from fluxweave.session import shared_folder
 
 # a tree of this depth separates the training vectors as an unlimited one does
 DEPTH = 12
@@ -151,11 +152,15 @@ def cross_validate(
 ) -> DataFrame:
     """Predictions of every row by a model that has not seen its fold.
 
-    The loop is over models, not rows; each fit and each prediction is a Spark job.
+    The loop is over models, not rows; each fit and each prediction is a Spark
+    job. The folds of a run are written once to the shared folder, so the fits
+    read them instead of numbering the rows again.
     """
-    parts = []
+    spark, parts = df.sparkSession, []
     for run in range(runs):
-        split = stratified_folds(df, label, identity, folds, run).withColumn("run", F.lit(run)).cache()
+        path = shared_folder(spark, f"folds-{run}")
+        stratified_folds(df, label, identity, folds, run).withColumn("run", F.lit(run)).write.parquet(path)
+        split = spark.read.parquet(path)
         for k in range(folds):
             model = train_forest(training_rows(split, k), columns, label, seed=run * folds + k, **options)
             parts.append(classify(model, split.filter(F.col("fold") == k)))

@@ -156,6 +156,17 @@ def changeyness(counts: DataFrame, keys: Sequence[str], empty_diagonal: float =
     return counts.groupBy(*keys).agg(mx.changeyness(empty_diagonal).alias("changeyness"))
 
 
+def heaviest_line(counts: DataFrame, keys: Sequence[str], axis: str = mx.TO) -> DataFrame:
+    """The row (``axis='to_state'``) or column of each matrix that weighs most; the lowest index wins a tie."""
+    lines = cells(counts).groupBy(*keys, axis).agg(
+        F.sum(F.col(mx.N) * F.col(mx.N)).alias("weight"), F.sum(mx.N).alias(mx.N)
+    )
+    best = F.max(F.struct("weight", (-F.col(axis)).alias("order"), mx.N)).alias("b")
+    return lines.groupBy(*keys).agg(best).select(
+        *keys, (-F.col("b.order")).alias(axis), F.col("b.weight").alias("weight"), F.col(f"b.{mx.N}").alias(mx.N)
+    )
+
+
 def _sums(of: Column, axis: str, size: int) -> list[Column]:
     return [F.coalesce(F.sum(F.when(F.col(axis) == i, of)), F.lit(0)) for i in range(size)]
 

@@ -343,6 +343,20 @@ def state_sql(body: str, size: int, **views: str) -> str:
     )
 
 
+for _axis, _line in (("to_state", "row"), ("from_state", "column")):
+
+    @query(
+        f"heaviest_{_line}_by_window",
+        window5_sql(
+            f"""SELECT performance_id, {iso_sql('window_start')}, {_axis}, CAST(weight AS BIGINT) AS weight, CAST(s AS BIGINT) AS n FROM
+            (SELECT performance_id, window_start, {_axis}, sum(n * n) AS weight, sum(n) AS s FROM counts WHERE n > 0 GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY performance_id, window_start ORDER BY weight DESC, {_axis}) = 1"""
+        ),
+    )
+    def heaviest_line_by_window(spark, d, axis=_axis):
+        return tr.heaviest_line(window5(spark, d), W_KEYS, axis).select(PERF, iso("window_start"), axis, "weight", "n")
+
+
 STATE_ROWS = f"SELECT performance_id, {iso_sql('window_start')}, state, {rounded_sql('spread')}, {rounded_sql('ratio')} FROM states"
 
 
@@ -376,9 +390,6 @@ def ensemble_state_codes(spark, d):
     return ms.coded_transitions(states).groupBy("state_code").agg(F.count(F.lit(1)).alias("windows"))
 
 
-CHANGEY = "sqrt(sum(n * n)) / CASE WHEN d = 0 THEN {zero} ELSE d END"
-
-
 def changey_sql(zero: str) -> str:
     return window5_sql(
         f"""SELECT performance_id, {iso_sql('window_start')}, {rounded_sql(f'm / CASE WHEN dd = 0 THEN {zero} ELSE dd END', 'changeyness')} FROM norms""",

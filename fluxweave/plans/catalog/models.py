@@ -151,7 +151,25 @@ def bayes_predictions(spark, d):
 BAYES_COLUMNS = [c for c in FEATURE_COLUMNS if not c.startswith("std")]
 
 
-@query("bayes_of_performance")
+_PERF_LONG = " UNION ALL ".join(
+    f"SELECT performance_id, device_id, time, '{c}' AS k, CAST({c} AS DOUBLE) AS x FROM vectors" for c in BAYES_COLUMNS
+)
+
+
+@query(
+    "bayes_of_performance",
+    tumbling_sql(
+        """SELECT 'p' || performance_id AS who, CAST(guess AS INT) AS prediction, count(*) AS n FROM best GROUP BY 1, 2""",
+        long=_PERF_LONG,
+        eps="SELECT 1e-9 * max(v) AS e FROM (SELECT var_pop(x) AS v FROM long GROUP BY k)",
+        model="""SELECT performance_id AS label, k, avg(x) AS m, var_pop(x) + (SELECT e FROM eps) AS v FROM long GROUP BY 1, 2""",
+        prior="SELECT performance_id AS label, ln(CAST(count(*) AS DOUBLE)) AS lp FROM vectors GROUP BY 1",
+        score="""SELECT l.performance_id, l.device_id, l.time, m.label AS guess,
+            any_value(p.lp) - 0.5 * sum(ln(2 * pi() * m.v) + (l.x - m.m) * (l.x - m.m) / m.v) AS s
+            FROM long l JOIN model m ON l.k = m.k JOIN prior p ON p.label = m.label GROUP BY 1, 2, 3, 4""",
+        best="SELECT performance_id, device_id, time, max_by(guess, s) AS guess FROM score GROUP BY 1, 2, 3",
+    ),
+)
 def bayes_of_performance(spark, d):
     """Whose touches are these? The label is text."""
     rows = tumbling(spark, d).select(F.concat(F.lit("p"), F.col(PERF)).alias("who"), *BAYES_COLUMNS)
@@ -160,6 +178,22 @@ def bayes_of_performance(spark, d):
     )
 
 
+@query(
+    "gesture_score_coverage",
+    with_sql(
+        f"""SELECT performance_id, device_id, (epoch_us(hi) - epoch_us(lo)) // {TICK * 1_000_000} + 1 AS ticks, CAST(0 AS BIGINT) AS outside FROM
+        (SELECT DISTINCT performance_id, device_id FROM touches) JOIN (SELECT performance_id, {tv.bin_sql('min(time)', TICK)} AS lo,
+         {tv.bin_sql('max(time)', TICK)} AS hi FROM touches GROUP BY 1) USING (performance_id)""",
+        "touches",
+    ),
+)
+def gesture_score_coverage(spark, d):
+    """Every device has one state in range at every tick of its performance."""
+    return gesture_score(spark, d).groupBy(PERF, DEV).agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_if(~F.col("gesture").between(0, 8)).alias("outside")
+    )
+
+
 # --- statistics -------------------------------------------------------------------
 
 

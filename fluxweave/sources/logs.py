@@ -112,6 +112,31 @@ def split_targets(lines: DataFrame, fmt: LogFormat = DEFAULT_FORMAT) -> DataFram
     return _project(_fields(lines, body, line.contains(address)), {"time": "timestamp", "target": "int"})
 
 
+def line_kinds(fmt: LogFormat = DEFAULT_FORMAT) -> Column:
+    """All tables a line belongs to; the splitters' conditions in one array."""
+    line = _line()
+    named = F.lit(False)
+    for server in fmt.servers:
+        named = named | line.contains(server)
+    rules = {
+        "touches": line.contains(f"{TOUCH_TAG},"),
+        "events": named,
+        "messages": line.contains(f"{fmt.namespace},"),
+        "online": line.contains(fmt.address("online")),
+        "transitions": line.rlike("|".join(ENSEMBLE_STATES)),
+        "gestures": line.contains(GESTURES_ADDRESS),
+        "gesturetargets": line.contains(fmt.address("targetgesture")),
+    }
+    return F.array_compact(F.array(*[F.when(rule, F.lit(kind)) for kind, rule in rules.items()]))
+
+
+def store_by_kind(lines: DataFrame, path: str, fmt: LogFormat = DEFAULT_FORMAT) -> str:
+    """Lines written once, one folder per kind, so that a splitter reads only its own lines."""
+    routed = lines.select(PERF, F.explode(line_kinds(fmt)).alias("kind"), "value")
+    routed.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return path
+
+
 def legacy_gestures(lines: DataFrame, separator: str = ", ") -> DataFrame:
     """Older gesture logs: no address, fields parted by comma and space, a header line."""
     fields = lines.filter(~F.col("value").contains("time")).select(PERF, F.split("value", separator).alias("f"))

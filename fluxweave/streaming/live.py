@@ -18,19 +18,31 @@ from fluxweave.dims import DEV, FEATURE_SECONDS, FLUX_SECONDS, NEW_IDEA_LIVE, PE
 from fluxweave.functions import matrix as mx
 from fluxweave.operators import transitions as tr
 from fluxweave.operators.features import vector_columns
+from fluxweave.operators.messages import route_messages
 from fluxweave.session import shared_folder
 from fluxweave.sources.formats import DEFAULT_FORMAT, LogFormat
 
 DELAY = "10 seconds"
 
 
-def message_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files: int | None = None) -> DataFrame:
-    """Messages arriving as parquet files in a folder."""
+def message_stream(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    glob: str | None = None,
+    files: int | None = None,
+    size: str | None = None,
+) -> DataFrame:
+    """Messages arriving as parquet files in a folder.
+
+    ``files`` or ``size`` bound a micro-batch, and with it what one task sorts
+    for a single busy device.
+    """
+    options = {"pathGlobFilter": glob, "maxFilesPerTrigger": files, "maxBytesPerTrigger": size}
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
+    for key, value in options.items():
+        if value is not None:
+            reader = reader.option(key, value)
     return reader.parquet(path)
 
 
@@ -61,9 +73,9 @@ def fill_idle(predicted: DataFrame, devices: DataFrame) -> DataFrame:
     )
 
 
-def write_gesture_log(predicted: DataFrame, devices: DataFrame, name: str) -> str:
+def write_gesture_log(predicted: DataFrame, devices: DataFrame, name: str, path: str | None = None) -> str:
     """Append each tick's states, idle devices included, to a gesture log."""
-    path = shared_folder(predicted.sparkSession, name)
+    path = path or shared_folder(predicted.sparkSession, name)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch, overwritten on a replay: every row is kept once
@@ -163,8 +175,6 @@ def live_new_ideas(flux: DataFrame, threshold: float = NEW_IDEA_LIVE) -> DataFra
 
 def live_routes(messages: DataFrame, fmt: LogFormat = DEFAULT_FORMAT) -> DataFrame:
     """Messages with their kind; write it partitioned by kind for one table per kind."""
-    from fluxweave.operators.messages import route_messages
-
     return route_messages(messages, fmt)
 
 
