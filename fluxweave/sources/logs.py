@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxweave.dims import DEV, ENSEMBLE_STATES, PERF
 from fluxweave.sources.formats import DEFAULT_FORMAT, LogFormat
-from fluxweave.sources.tables import title_of
+from fluxweave.sources.tables import performance_of
 
 # --- fixed values: tags of the log lines
 TOUCH_TAG, ENDED_TAG, SWITCH_TAG, ACCEL_TAG = "touch", "touch/ended", "switch", "accel"
@@ -21,7 +21,7 @@ ERROR_ADDRESS = "/classifier/error"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(title_of("_metadata.file_path").alias(PERF), "value")
+    return spark.read.text(path).select(performance_of("_metadata.file_path").alias(PERF), "value")
 
 
 def _line() -> Column:

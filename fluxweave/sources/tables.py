@@ -12,6 +12,7 @@ from fluxweave.dims import DEV, PERF
 TITLE_PATTERN = r"(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-[A-Za-z0-9]+)"
 TITLE_TIME = "yyyy-MM-dd'T'HH-mm-ss"
 ROW_TIME = "yyyy-MM-dd'T'HH:mm:ss"
+KINDS = "touches|events|gestures|messages|online|transitions|gesturetargets"
 # --- end of fixed values
 
 
@@ -21,6 +22,13 @@ def title_of(path: str | Column) -> Column:
     return F.regexp_extract(c, TITLE_PATTERN, 1)
 
 
+def performance_of(path: str | Column) -> Column:
+    """Performance key of a file: its title, else its name without kind and ending."""
+    c = F.col(path) if isinstance(path, str) else path
+    name = F.regexp_extract(c, rf"([^/]+?)(?:-(?:{KINDS}))?(?:\.[A-Za-z]+)?$", 1)
+    return F.coalesce(F.nullif(title_of(c), F.lit("")), name)
+
+
 def start_of(title: str | Column) -> Column:
     """Start time in a performance title (its first 19 characters)."""
     c = F.col(title) if isinstance(title, str) else title
@@ -28,7 +36,7 @@ def start_of(title: str | Column) -> Column:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn(PERF, title_of("_metadata.file_path"))
+    return df.withColumn(PERF, performance_of("_metadata.file_path"))
 
 
 def read_table(spark: SparkSession, path: str, schema: str, keyed: bool = True) -> DataFrame:
@@ -87,7 +95,7 @@ def read_wide(spark: SparkSession, path: str, value: str, value_type: str) -> Da
     cells = F.slice(F.arrays_zip("names", "cells"), 2, F.greatest(F.size("names") - 1, F.lit(0)))
     each = rows.select("__file", F.get("cells", F.lit(0)).alias("time"), F.explode(cells).alias("c"))
     return each.filter(F.coalesce(F.trim("c.cells"), F.lit("")) != "").select(
-        title_of("__file").alias(PERF),
+        performance_of("__file").alias(PERF),
         F.try_to_timestamp("time").alias("time"),
         F.col("c.names").alias(DEV),
         F.col("c.cells").try_cast(value_type).alias(value),

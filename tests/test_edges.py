@@ -186,6 +186,8 @@ def test_title_and_start(spark):
     row = df.select(tb.title_of("path").alias("t")).select("t", tb.start_of("t").alias("s")).first()
     assert row.t == "2015-04-29T17-54-12-SessionLog"
     assert str(row.s) == "2015-04-29 17:54:12"
+    other = spark.createDataFrame([("file:/x/score3-gestures.csv",), ("file:/x/plain",)], "path string")
+    assert [r.p for r in other.select(tb.performance_of("path").alias("p")).collect()] == ["score3", "plain"]
 
 
 def test_coding_grid_labels(spark):
