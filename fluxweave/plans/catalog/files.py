@@ -638,13 +638,13 @@ def performer_length_table(spark, d):
         "app_messages",
         presses=PRESSES,
         vals="""SELECT f AS time, CAST(sum(button_presses) AS BIGINT) AS presses FROM presses
-            JOIN (SELECT performance_id, min(time) AS f FROM touches GROUP BY 1) USING (performance_id) WHERE performance_id <> 0 GROUP BY 1""",
+            JOIN (SELECT performance_id, min(time) AS f FROM touches GROUP BY 1) USING (performance_id) GROUP BY 1""",
     ),
 )
 def design_with_presses(spark, d):
-    """Full join: performance 9 has no design row, performance 0 no values."""
+    """Full join: some design rows have no values, some values no design row."""
     firsts = st.performance_lengths(tv.touches(spark, d)).select(PERF, F.col("first_touch").alias("time"))
-    presses = st.button_presses(tv.touches(spark, d), tv.app_messages(spark, d)).filter(F.col(PERF) != 0)
+    presses = st.button_presses(tv.touches(spark, d), tv.app_messages(spark, d))
     values = presses.join(firsts, PERF).groupBy("time").agg(F.sum("button_presses").alias("presses"))
     joined = st.join_design(tv.design(spark, d), values)
     return joined.select(
@@ -655,9 +655,11 @@ def design_with_presses(spark, d):
 @query(
     "button_press_table",
     with_sql(
-        f"""SELECT {iso_sql('f', 'time')}, coalesce("group", -1) AS "group", {SEAT_SQL} AS seat, button_presses,
-        coalesce(chr(ascii('A') + ("group" - 1) * 4 + {SEAT_SQL} - 1), '-') AS performer FROM presses
-        JOIN (SELECT performance_id, min(time) AS f FROM touches GROUP BY 1) USING (performance_id) LEFT JOIN design ON design.time = f""",
+        f"""SELECT {iso_sql('coalesce(p.time, d.time)', 'time')}, coalesce(d."group", -1) AS "group", coalesce(p.seat, -1) AS seat,
+        coalesce(p.button_presses, -1) AS button_presses, coalesce(chr(ascii('A') + (d."group" - 1) * 4 + p.seat - 1), '-') AS performer
+        FROM (SELECT f AS time, {SEAT_SQL} AS seat, button_presses FROM presses
+              JOIN (SELECT performance_id, min(time) AS f FROM touches GROUP BY 1) USING (performance_id)) p
+        FULL JOIN design d ON d.time = p.time""",
         "design",
         "touches",
         "app_messages",
@@ -669,8 +671,8 @@ def button_press_table(spark, d):
     return rows.select(
         iso("time"),
         F.coalesce("group", F.lit(-1)).alias("group"),
-        "seat",
-        "button_presses",
+        F.coalesce("seat", F.lit(-1)).alias("seat"),
+        F.coalesce("button_presses", F.lit(-1)).alias("button_presses"),
         F.coalesce("performer", F.lit("-")).alias("performer"),
     )
 

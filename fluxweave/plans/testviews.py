@@ -87,10 +87,15 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One design row per performance; performance 9 is missing from the design."""
-    first = events(spark, sf_dir).groupBy(PERF).agg(F.min("time").alias("time"))
+    """One design row per performance, keyed by its first event that is no view.
+
+    Where a performance opens with a view, that is not its first touch, so the
+    design row and the values of the performance do not meet.
+    """
+    opening = F.when(F.col("event_type") != "view", F.col("time"))
+    first = events(spark, sf_dir).groupBy(PERF).agg(F.min(opening).alias("time"))
     p = F.col(PERF)
-    return first.filter(p != 9).select(
+    return first.select(
         "time",
         p.cast("int").alias("perf_number"),
         (p % 4 + 1).cast("int").alias("group"),
@@ -135,11 +140,11 @@ SQL_VIEWS = {
     "targets": """SELECT performance_id, time,
         CASE WHEN event_id % 5 = 0 THEN 100 ELSE CAST(floor(value) AS INT) % 9 END AS target
         FROM ev WHERE event_type = 'signup'""",
-    "design": """SELECT min(time) AS time, CAST(performance_id AS INT) AS perf_number,
+    "design": """SELECT min(time) FILTER (event_type <> 'view') AS time, CAST(performance_id AS INT) AS perf_number,
         CAST(performance_id % 4 + 1 AS INT) AS "group", CAST(performance_id % 3 + 1 AS INT) AS performance,
         CASE WHEN performance_id % 2 = 0 THEN 'ButtonOff' ELSE 'ButtonOn' END AS button,
         CASE WHEN performance_id % 4 < 2 THEN 'ServerOff' ELSE 'ServerOn' END AS server
-        FROM ev WHERE performance_id <> 9 GROUP BY performance_id""",
+        FROM ev GROUP BY performance_id""",
     "supply_states": """SELECT l_suppkey % 10 AS performance_id,
         make_timestamp(epoch_us(l_shipdate) + (l_orderkey * 8 + l_linenumber) * 20011 + l_partkey) AS time,
         CAST(l_suppkey AS VARCHAR) AS device_id,
