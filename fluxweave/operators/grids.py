@@ -29,7 +29,8 @@ def time_grid(
     step = int(step_seconds * SECOND)
     block = step * STEPS_PER_CHUNK
     us = bounds.select(*keys, F.unix_micros(lo).alias("__lo"), F.unix_micros(hi).alias("__hi"))
-    tasks = max(1, bounds.sparkSession.sparkContext.defaultParallelism)
+    # a fixed number, because adaptive execution would merge these tiny rows into one task
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = us.select(
         *keys, "__hi", F.explode(F.sequence("__lo", "__hi", F.lit(block).cast("long"))).alias("__c")
     ).repartition(tasks, *keys, "__c")

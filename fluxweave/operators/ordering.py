@@ -35,6 +35,9 @@ def with_previous(
 ) -> DataFrame:
     """Add ``prev_<value>``: the value of the key's preceding row.
 
+    Keys are not NULL, and (keys, time) is unique unless ``ties`` names columns
+    that order rows of equal time. A chunk then holds at most one row per
+    microsecond, and a key one carry row per chunk that has rows.
     The large side is shuffled once, on (keys, chunk); the carry side holds one
     row per (keys, chunk) and joins on that same partitioning.
     """

@@ -91,64 +91,62 @@ def trailing_flux(steps: DataFrame, trailing_seconds: float, width_seconds: floa
     The frame of a row at ``t`` is ``[t - trailing, t]``; a pair counts when both
     of its rows are in the frame, and bins are epoch-aligned. A pair is therefore
     seen by exactly the rows between its own time and ``prev_time + trailing``.
-    That is written as +1/-1 changes at the two ends, once per bin the pair can
-    be seen from, and a running sum per bin gives every row its counts. The
-    work grows with the rows, not with rows times frame length.
+    That is written as changes: +1 at the pair's own row, +1 at the start of each
+    later bin it can be seen from, -1 where it drops out. A running sum per bin
+    then gives every row its counts, so the work grows with the rows, not with
+    rows times frame length.
     """
     trail, width = int(trailing_seconds * SECOND), int(width_seconds * SECOND)
     reach = -(-trail // width)  # bins back that a frame can touch
-    rows = steps.select(
-        PERF,
-        F.unix_micros("time").alias("t"),
-        F.unix_micros("prev_time").alias("p"),
-        F.col(mx.TO).isNotNull().cast("int").alias("pair"),
-        F.coalesce((F.col(mx.TO) != F.col(mx.FROM)).cast("int"), F.lit(0)).alias("moved"),
-    ).withColumn("bin", F.col("t") - F.pmod(F.col("t"), F.lit(width)))
-
-    # every change at one instant is added up before it is shuffled for the sum
-    k = F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("k")
-    seen = (
-        rows.filter("pair = 1")
-        .select("*", k)
-        .withColumn("seen_from", F.col("bin") + F.col("k").cast("long") * width)
-        .withColumn("start", F.greatest("t", "seen_from"))
-        .withColumn("stop", F.col("p") + F.lit(trail + 1))
-        .filter(F.col("stop") > F.col("start"))
-    )
-    ends = F.array(
-        F.struct(F.col("start").alias("at"), F.lit(1).alias("sign")),
-        F.struct(F.col("stop").alias("at"), F.lit(-1).alias("sign")),
-    )
-    changes = (
-        seen.select(PERF, "seen_from", "k", "moved", F.explode(ends).alias("e"))
-        .filter(F.col("e.at") < F.col("seen_from") + width)
-        .select(
+
+    def bin_of(c: str) -> Column:
+        return F.col(c) - F.pmod(F.col(c), F.lit(width).cast("long"))
+
+    out = F.col("p") + F.lit(trail + 1)
+    rows = (
+        steps.select(
             PERF,
-            F.col("seen_from").alias("bin"),
-            F.col("e.at").alias("at"),
-            *[F.when(F.col("k") == i, F.col("e.sign")).otherwise(0).alias(f"pairs{i}") for i in range(reach + 1)],
-            *[
-                F.when((F.col("k") == i) & (F.col("moved") == 1), F.col("e.sign")).otherwise(0).alias(f"moved{i}")
-                for i in range(reach + 1)
-            ],
-            F.lit(0).alias("is_row"),
+            F.unix_micros("time").alias("t"),
+            F.unix_micros("prev_time").alias("p"),
+            F.col(mx.TO).isNotNull().alias("pair"),
+            (F.col(mx.TO) != F.col(mx.FROM)).alias("changed"),
         )
+        .withColumn("own", bin_of("t"))
+        # when the pair drops out of sight; NULL if no row ever sees it
+        .withColumn("stop", F.when(F.col("pair") & (out > F.col("t")), out))
     )
-    counters = [f"{c}{i}" for i in range(reach + 1) for c in ("pairs", "moved")]
-    anchors = rows.select(PERF, "bin", F.col("t").alias("at"), *[F.lit(0).alias(c) for c in counters], F.lit(1).alias("is_row"))
-    at = (
-        changes.unionByName(anchors)
-        .groupBy(PERF, "bin", "at")
-        .agg(*[F.sum(c).alias(c) for c in counters], F.max("is_row").alias("is_row"))
+    # change 0 is the row itself, 1..reach the bin starts, the last the drop-out
+    j, drop = F.col("j"), reach + 1
+    each = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(drop))))
+    placed = each.withColumn(
+        "at", F.when(j == 0, F.col("t")).when(j <= reach, F.col("own") + j.cast("long") * width).otherwise(F.col("stop"))
+    ).withColumn("bin", bin_of("at"))
+    back = ((F.col("bin") - F.col("own")) / width).cast("int")
+    valid = (j == 0) | (j.between(1, reach) & (F.col("stop") > F.col("at"))) | ((j == drop) & (back <= reach))
+    sign = F.when(F.col("stop").isNull(), 0).when(j <= reach, 1).otherwise(-1)
+    changes = placed.filter(valid).select(
+        PERF, "bin", "at", back.alias("k"), sign.alias("sign"), "changed", (j == 0).alias("is_row")
     )
+
+    def counter(i: int, only: Column | None = None) -> Column:
+        mine = F.col("k") == i
+        return F.sum(F.when(mine if only is None else mine & only, F.col("sign")).otherwise(0))
+
+    # the changes of one instant are added up before the shuffle
+    at = changes.groupBy(PERF, "bin", "at").agg(
+        *[counter(i).alias(f"pairs{i}") for i in range(reach + 1)],
+        *[counter(i, F.col("changed")).alias(f"moved{i}") for i in range(reach + 1)],
+        F.max("is_row").alias("is_row"),
+    )
+    counters = [f"{c}{i}" for i in range(reach + 1) for c in ("pairs", "moved")]
     # at most one row per microsecond of a bin
     run = Window.partitionBy(PERF, "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = at.select(PERF, "bin", "at", "is_row", *[F.sum(c).over(run).alias(c) for c in counters]).filter("is_row = 1")
+    running = at.select(PERF, "bin", "at", "is_row", *[F.sum(c).over(run).alias(c) for c in counters]).filter("is_row")
 
     # an earlier bin is in the frame while its last row is
-    last_row = rows.groupBy(PERF, "bin").agg(F.max("t").alias("last_t"))
+    last_row = rows.groupBy(PERF, "own").agg(F.max("t").alias("last_t"))
     alive = last_row.select(
-        PERF, "last_t", F.col("bin").alias("own"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")
+        PERF, "last_t", "own", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")
     ).select(
         PERF,
         (F.col("own") + F.col("k").cast("long") * width).alias("bin"),
