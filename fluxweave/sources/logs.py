@@ -25,7 +25,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _line() -> Column:
-    return F.regexp_replace("value", " ", "")
+    return F.replace("value", F.lit(" "), F.lit(""))
 
 
 def _fields(lines: DataFrame, line: Column, condition: Column) -> DataFrame:
