@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxweave.llm.tables import table
 
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: dict[by
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], [*rest, ids])
 
     plain = docs.select(*rest)
-    schema = plain.schema.add(ids, "array<int>")
+    schema = plain.schema.add(ids, T.ArrayType(T.IntegerType()))
     return plain.mapInArrow(run, schema)
 
 

@@ -1,9 +1,12 @@
 """Registered queries of this package: name -> callable(spark, sf_dir), and SQL where it can say the same."""
 
-from fluxweave.llm import bpe, substrings
+from fluxweave.llm import bpe, html_text, neardup, quality, substrings
 
 LLM_QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_html_extraction": html_text.op8_html_extraction,
 }
 LLM_CHECKS: dict[str, str] = {}
