@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxweave.llm import bpe, substrings
+from fluxweave.llm import bpe, mixing, neardup, quality, substrings
 from fluxweave.llm.tables import stored, table
 
 STAGES = [
+    ("quality classifier", quality.stage),
+    ("MinHash near-dedup", neardup.stage),
     ("substring dedup", substrings.stage),
+    ("source mixing", mixing.stage),
     ("byte-level BPE", bpe.stage),
 ]
+# a trained network, sampled hashes and merge ranks cannot be said in SQL; tests/llm/test_pipeline.py has the brute-force version
 ORACLE_SQL = None
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxweave.llm.tables import table
+from fluxweave.llm.tables import schema_with, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT_WORDS = 400_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: dict[by
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], [*rest, ids])
 
     plain = docs.select(*rest)
-    schema = plain.schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = schema_with(plain, **{ids: T.ArrayType(T.IntegerType())})
     return plain.mapInArrow(run, schema)
 
 
@@ -230,7 +230,7 @@ def with_decoded(encoded: DataFrame, ids: str = "ids", name: str = "decoded", ra
 
     rest = [c for c in encoded.columns if c != name]
     plain = encoded.select(*rest)
-    return plain.mapInArrow(run, plain.schema.add(name, "binary"))
+    return plain.mapInArrow(run, schema_with(plain, **{name: "binary"}))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,7 +239,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Encodes as ``encode`` does but joins the digits and bytes of a whole
     pre-token at once, so that the ids never leave the worker.
     """
-    schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(docs.select(key), n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = default_encoder()

@@ -20,7 +20,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluxweave.llm.tables import table
+from fluxweave.llm.tables import schema_with, table
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -282,7 +282,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
                 [*batch.columns, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*rest, text, "n_chars"]
             )
 
-    return plain.mapInArrow(run, plain.schema.add(text, "string").add("n_chars", "long"))
+    return plain.mapInArrow(run, schema_with(plain, **{text: "string", "n_chars": "long"}))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.sums import array_total
-from fluxweave.llm.tables import table
+from fluxweave.llm.tables import schema_with, table
 from fluxweave.llm.words import BYTE_VALUE, SPACE, mix, span_hash, text_blocks
 
 BUCKETS = 1 << 15
@@ -229,7 +229,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str],
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], [*keep, name])
 
     plain = docs.select(*dict.fromkeys([*keep, "text"]))
-    return plain.mapInArrow(run, plain.select(*keep).schema.add(name, "double"))
+    return plain.mapInArrow(run, schema_with(plain.select(*keep), **{name: "double"}))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fluxweave.session import shared_folder
 
@@ -11,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, **columns: str | T.DataType) -> T.StructType:
+    """The schema of ``df`` and more columns, as a new object."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that lost executors recompute nothing before it."""
     path = shared_folder(df.sparkSession, name)
