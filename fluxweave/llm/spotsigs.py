@@ -11,6 +11,7 @@ only if it shares one of the signatures that a passing pair must share.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +102,13 @@ def _lower_key(keys: DataFrame, group: int = 4096) -> DataFrame:
     return inside.join(below, "__group").select("chunk", F.coalesce("__lag", "__carry").alias("below"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], more: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``docs`` with ``next``, a struct of ``columns`` of the following document by descending doc_id, the first one after the last.
 
     Equal ids follow their texts; a null id comes after all others. Documents
     are cut into chunks of about ROWS_PER_CHUNK by id, and every chunk is given
     the first document of the next one, so nothing orders the whole table.
+    ``more`` adds columns to every row once, after the rows are put together.
     """
     stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     low, high, n = (int(x or 0) for x in stats)
@@ -126,6 +128,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     both = keyed.withColumn("__guest", F.lit(0)).unionByName(visits.withColumn("__guest", F.lit(1)))
     order = Window.partitionBy("__chunk").orderBy("__guest", F.desc("__key"), "text")
     following = F.lead(F.struct(*columns)).over(order)
+    both = more(both)
     return both.select("*", following.alias("next")).filter("__guest = 0").drop("__key", "__chunk", "__guest")
 
 
@@ -137,10 +140,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text counts as empty; columns other than doc_id and text are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", text.alias("text")).withColumn("sigs", signatures(F.col("text")))
+    read = docs.select("doc_id", text.alias("text"))
     n = F.length("text")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), F.substr(F.col("next.text"), F.lit(1), F.floor(n / 2).cast("int")))
-    told = with_next(read, ["text", "sigs"]).select("doc_id", n.cast("long").alias("n_chars"), "sigs", edited.alias("edited"), F.col("next.sigs").alias("next_sigs"))
+    told = with_next(read, ["text", "sigs"], lambda df: df.withColumn("sigs", signatures(F.col("text")))).select("doc_id", n.cast("long").alias("n_chars"), "sigs", edited.alias("edited"), F.col("next.sigs").alias("next_sigs"))
     told = told.withColumn("edited_sigs", signatures(F.col("edited")))
     return told.select(
         "doc_id",
