@@ -10,12 +10,15 @@ How much survives. A window of W words loses on each side fewer than RUN words
 to a run that the outside prolongs and at most 2**r words to round r. What is
 left holds whole symbols of at most 2**ROUNDS words each, or a run of RUN
 words or more, which has a name of its own that its length does not change.
-``unit`` symbols in a row make one high-level symbol, and in every ``span`` of
-them the one with the least name is put forward; both are chosen so that a
-window always holds one that is put forward wherever it stands.
+A high-level symbol is made of the symbols in a row that cover ``unit`` words,
+and of those that begin in any ``span`` words the one with the least name is
+put forward; both numbers are chosen so that a window always holds one that is
+put forward wherever it stands.
 
 High-level symbols that stand in two documents reveal candidate windows. Only
 those are hashed as a whole (128 bits) and compared, which verifies them.
+Documents with the very words of a smaller doc_id are repeats from end to end;
+they are told by one hash each and take no part in the rest.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.llm.tables import stored, table
+from fluxweave.llm.tables import schema_with, stored, table
 from fluxweave.llm.words import mix, span_hash, text_blocks, word_hashes, word_spans
 
 WINDOW = 50
-BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it the same join is left to Spark
+WHOLE = -1
+BROADCAST_KEYS = 1_000_000  # 8 or 16 MB; beyond it the same join is left to Spark
 _U = np.uint64
 _SECOND = _U(0xD6E8FEB86659FD93)
 _RUN = _U(0xA0761D6478BD642F)
@@ -41,30 +45,40 @@ _RUN = _U(0xA0761D6478BD642F)
 
 @dataclass(frozen=True)
 class Scheme:
-    """Numbers of the recompression for windows of ``window`` words (at least 12)."""
+    """Numbers of the recompression for windows of ``window`` words (19 or more)."""
 
     window: int = WINDOW
     rounds: int = 2
     run: int = 4
 
     @property
-    def symbols(self) -> int:
-        lost = self.run - 1 + 2**self.rounds - 1
-        return -(-(self.window - 2 * lost) // 2**self.rounds)
+    def core(self) -> int:
+        """Words of a window that are left in whole symbols."""
+        return self.window - 2 * (self.run - 1 + 2**self.rounds - 1)
 
     @property
     def unit(self) -> int:
-        return max(1, self.symbols // 2)
+        return max(1, (self.core - 2**self.rounds) // 2)
 
     @property
     def span(self) -> int:
-        return self.symbols - self.unit + 1
+        return self.core - self.unit - 2**self.rounds + 2
 
     def __post_init__(self):
-        if self.symbols < 1:
+        if self.span < 2**self.rounds:
             raise ValueError("the window is too short for these rounds")
 
 
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over values[i : i + width], as far as there are values."""
+    out, have = values.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        pick(out[:-step], out[step:].copy(), out=out[:-step])
+        have += step
+    return out
+
+
 def recompress(words: np.ndarray, doc: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names put forward, the document of each, and the first and last start of a window that holds it.
 
@@ -98,25 +112,20 @@ def recompress(words: np.ndarray, doc: np.ndarray, scheme: Scheme) -> tuple[np.n
         keep = np.ones(len(symbol), bool)
         keep[pair + 1] = False
         symbol, first, last, doc = symbol[keep], first[keep], last[keep], doc[keep]
-    unit, span = scheme.unit, scheme.span
     runs = run_names, docs[run_first], run_first + scheme.run - scheme.window, run_last - scheme.run
-    if len(symbol) < unit:
-        return runs
-    whole = np.flatnonzero(doc[: len(doc) - unit + 1] == doc[unit - 1 :])
-    names = span_hash(symbol, whole, whole + unit)
-    of = doc[whole]
-    pick = np.zeros(len(names), bool)
-    if len(names) >= span:
-        least = names[: len(names) - span + 1].copy()
-        for k in range(1, span):
-            np.minimum(least, names[k : len(names) - span + 1 + k], out=least)
-        inside = of[: len(of) - span + 1] == of[span - 1 :]
-        for k in range(span):
-            pick[k : len(names) - span + 1 + k] |= inside & (names[k : len(names) - span + 1 + k] == least)
-    few = np.bincount(of - of[0])[of - of[0]] < span if len(of) else pick
-    pick |= few  # too short to have a span: all of them
+    upto = np.searchsorted(last, first + scheme.unit)
+    whole = np.flatnonzero(upto < len(last))
+    whole = whole[doc[upto[whole]] == doc[whole]]
+    names = span_hash(symbol, whole, upto[whole] + 1)
+    at_word = np.full(n, ~_U(0))
+    at_word[first[whole]] = names
+    least = _sliding(at_word, scheme.span, np.minimum)
+    least[: n - scheme.span + 1][docs[: n - scheme.span + 1] != docs[scheme.span - 1 :]] = 0
+    least[max(n - scheme.span + 1, 0) :] = 0  # no span there lies inside one document
+    chosen = _sliding(np.concatenate([np.zeros(scheme.span - 1, np.uint64), least]), scheme.span, np.maximum)[:n]
+    pick = chosen[first[whole]] == names
     at = whole[pick]
-    found = names[pick], doc[at], last[at + unit - 1] - scheme.window, first[at]
+    found = names[pick], doc[at], last[upto[at]] - scheme.window, first[at]
     return tuple(np.concatenate(x) for x in zip(runs, found))
 
 
@@ -155,7 +164,7 @@ def high_symbols(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 ["name", "doc_id", "low", "high"],
             )
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "name long, doc_id long, low int, high int")
+    return docs.select("doc_id", "text").mapInArrow(run, "name long, doc_id long, low int, high int")
 
 
 def _seen_twice(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,30 +219,50 @@ def window_hashes(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.select("doc_id", "text_key", "text", "around").mapInArrow(run, "h1 long, h2 long, doc_id long, text_key long, start int")
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose id is (is not) in ``ids``. The ids are broadcast only if counted to be few."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
+def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose key is (is not) in ``keys``. The keys are broadcast only if counted to be few."""
+    small = keys.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if small else keys, keys.columns, how)
+
+
+def copies(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_key) of the texts of a whole window or more whose words are all those of a smaller doc_id's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in text_blocks(batches):
+            starts, ends, first = word_spans(data, offsets)
+            words = word_hashes(data, starts, ends)
+            h1 = span_hash(words, first[:-1], first[1:])
+            h2 = span_hash(mix(words ^ _RUN), first[:-1], first[1:], _SECOND)
+            long = pa.array(np.diff(first) >= window)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "text_key", "h1", "h2"]
+            )
+            yield out.filter(long)
+
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long")
+    return _seen_twice(rows, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "text_key").distinct()
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, starts): starts of the windows that also start in a document with a smaller doc_id.
 
-    Documents without such a window are absent. ``text_key`` tells apart texts
+    Documents without such a window are absent; one whose words are all those
+    of a smaller doc_id has the single start -1. ``text_key`` tells apart texts
     under one doc_id; a null doc_id is neither smaller nor larger than another.
     """
     scheme = Scheme(window)
-    shared = _seen_twice(high_symbols(docs, scheme), ["name"])
+    light = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    same = stored(copies(light, window), "repeat-copies")
+    light = _matching(light, same, "left_anti")
+    shared = _seen_twice(high_symbols(light, scheme), ["name"])
     around = stored(
         shared.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("around")), "repeat-candidates"
     )
-    light = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    chosen = _with_ids(light, around.select("doc_id"), "left_semi").join(around, "doc_id")
-    hashed = stored(window_hashes(chosen, scheme), "repeat-windows")
-    again = _seen_twice(hashed, ["h1", "h2"]).filter("doc_id > least")
-    return stored(
-        again.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")), "repeat-starts"
-    )
+    chosen = _matching(light, around.select("doc_id"), "left_semi").join(around, "doc_id")
+    again = _seen_twice(window_hashes(chosen, scheme), ["h1", "h2"]).filter("doc_id > least")
+    starts = again.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    return stored(starts.unionByName(same.withColumn("starts", F.array(F.lit(WHOLE)))), "repeat-starts")
 
 
 def _kept_words(text: str, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
@@ -241,6 +270,8 @@ def _kept_words(text: str, starts: list[int] | None, window: int) -> tuple[int,
     words = text.encode().split()  # splits at the same six bytes as the word pattern
     if not starts:
         return len(words), 0, b" ".join(words)
+    if starts == [WHOLE]:
+        return len(words), len(words), b""
     edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, np.asarray(starts), 1)
     np.add.at(edge, np.asarray(starts) + window, -1)
@@ -264,11 +295,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     named = ["n_words", "n_removed", "kept_sha256" if digest_only else "kept"]
     rest = ["doc_id"] if digest_only else [c for c in docs.columns if c not in named]
     full = docs.select(*dict.fromkeys([*rest, "text"]))
-    hit = _with_ids(full.withColumn("__key", F.xxhash64("text")), ids, "left_semi").join(
+    hit = _matching(full.withColumn("__key", F.xxhash64("text")), ids, "left_semi").join(
         found.withColumnRenamed("text_key", "__key"), ["doc_id", "__key"], "left"
     )
-    clear = _with_ids(full, ids, "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
-    schema = full.select(*rest).schema.add("n_words", "long").add("n_removed", "long").add(named[2], "string")
+    clear = _matching(full, ids, "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
+    schema = schema_with(full.select(*rest), **dict(zip(named, ("long", "long", "string"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,3 +323,24 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = without_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+OP7_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place, len(words) AS n FROM split
+), shown AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS shown FROM each
+), named AS (
+  SELECT doc_id, word, place, CASE WHEN place + {WINDOW} <= n THEN md5(shown) END AS name FROM shown
+), told AS (
+  SELECT *, name IS NOT NULL AND min(doc_id) OVER (PARTITION BY name) < doc_id AS again FROM named
+), gone AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM told
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept FROM gone GROUP BY doc_id
+)
+SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""
