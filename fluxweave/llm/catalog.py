@@ -14,4 +14,8 @@ LLM_QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_warc_derivatives": warc.op10_warc_derivatives,
 }
-LLM_CHECKS: dict[str, str] = {"op5_chat_format": chat.OP5_SQL}
+LLM_CHECKS: dict[str, str] = {
+    "op4_embedding_near_dedup": neardup_vectors.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
+    "op7_substring_dedup": substrings.OP7_SQL,
+}

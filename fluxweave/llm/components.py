@@ -20,6 +20,13 @@ def _large_star(down: DataFrame) -> DataFrame:
     return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
+def _all_stars(down: DataFrame) -> bool:
+    """Whether every node has one link down, or only links from above: then all point at their roots."""
+    ends = down.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(down.select(F.col("v").alias("node"), F.lit(None).cast("int").alias("below")))
+    count = ends.groupBy("node").agg(F.count("below").alias("below"), F.count(F.lit(1)).alias("all"))
+    return count.filter((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("all") > 1))).isEmpty()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``links(u, v)``; the root is the component's smallest node.
 
@@ -29,13 +36,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     chain. Self links and NULL ends are ignored; a node without links is absent.
     """
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    before = None
     now = stored(down, name)
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
+    while not _all_stars(now):
         now = stored(_small_star(_large_star(now)), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -29,6 +29,7 @@ PERIOD = 1000
 BLOCK_ROWS = 16
 TEMPERATURE = 0.5  # target weight of a source: its number of rows to this power
 MAX_SOURCES = 100_000
+BROADCAST_ROWS = 1_000_000
 
 
 def whole_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -133,7 +134,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_row
     """``docs`` in the order of the mix: written as files, the files in order and the rows in them are the mix."""
     plan = schedule(docs, weights, block_rows, period).select("doc_id", "position")
     plan = stored(plan.groupBy("doc_id").agg(F.min("position").alias("__position")), "mix-positions")
-    with_place = docs.join(plan, docs.doc_id.eqNullSafe(plan.doc_id), "left").drop(plan.doc_id)
+    places = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan  # two numbers a row
+    with_place = docs.join(places, docs.doc_id.eqNullSafe(places.doc_id), "left").drop(places.doc_id)
     return with_place.orderBy("__position", "doc_id").select(*docs.columns)
 
 

@@ -184,11 +184,16 @@ def _links_in_block(similar: float):
         cuts = np.cumsum([0, *all_["items"].map(len)])
         nodes = all_.node.to_numpy()
         totals = np.array([w.sum(dtype=np.float64) for w in all_["weights"]])
+        order = np.argsort(items, kind="stable")
+        owner = np.repeat(np.arange(len(nodes)), np.diff(cuts))[order]
+        items, weights = items[order], weights[order].astype(np.float64)
         links = []
         for node, item, weight in zip(mine.node, mine["items"], mine["weights"]):
             own = weight.sum(dtype=np.float64)
-            inside = np.concatenate([[0.0], np.cumsum(np.where(np.isin(items, item), weights, 0.0), dtype=np.float64)])
-            common = inside[cuts[1:]] - inside[cuts[:-1]]
+            low, high = np.searchsorted(items, item, "left"), np.searchsorted(items, item, "right")
+            met = high - low
+            at = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
+            common = np.bincount(owner[at], weights=weights[at], minlength=len(nodes))
             for other in nodes[common >= similar * (own + totals - common) - 1e-9]:
                 a, b = root(int(node)), root(int(other))
                 if a != b:  # a link inside what is joined already says nothing new
@@ -199,6 +204,11 @@ def _links_in_block(similar: float):
     return run
 
 
+def _few(side: DataFrame) -> DataFrame:
+    """``side`` (a few numbers a row), broadcast if it is counted to be small; a larger one joins by Spark's own plan."""
+    return F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) for every doc_id: the smallest doc_id that links of at least ``similar`` reach.
 
@@ -217,11 +227,10 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     edges = stored(edges, "near-candidates")
     clusters = components(edges, "near-clusters")
     degree = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    members = clusters.join(degree, "node").join(nodes.select("node", "copies").groupBy("node").agg(F.max("copies").alias("copies")), "node")
-    small = members.count() <= BROADCAST_IDS
+    members = stored(clusters.join(degree, "node").join(nodes.select("node", "copies").groupBy("node").agg(F.max("copies").alias("copies")), "node"), "near-members")
     chosen = members.select("node", "root", "copies", "degree")
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = own.join(F.broadcast(chosen.select("node")) if small else chosen.select("node"), "node").withColumnRenamed("node", "doc_id")
+    texts = own.join(_few(chosen.select("node")), "node").withColumnRenamed("node", "doc_id")
     sets = stored(weighted_sets(texts, idf).withColumnRenamed("doc_id", "node").join(chosen, "node"), "near-sets")
     hub = sets.select("root", "node", "copies", "degree").groupBy("root").agg(
         F.max(F.struct("copies", "degree", F.negate("node").alias("key"))).alias("top"), F.count(F.lit(1)).alias("size")
@@ -234,10 +243,12 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     open_ = hub.filter("size > 2").join(asking.select("root").distinct(), "root").select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    there = sets.select("root", "node", "items", "weights").join(open_, "root").withColumn("block", block)
+    there = sets.select("root", "node", "items", "weights").join(_few(open_), "root").withColumn("block", block)
     asks = there.join(asking, ["root", "node"], "left_semi").withColumn("asks", F.lit(True)).withColumn("mine", F.col("block")).withColumn("theirs", F.explode(every))
     all_ = there.withColumn("asks", F.lit(False)).withColumn("theirs", F.col("block")).withColumn("mine", F.explode(every))
-    rest = asks.unionByName(all_).groupBy("root", "mine", "theirs").applyInPandas(_links_in_block(similar), "u long, v long")
+    # dealt by block: by the cluster alone, all blocks of a large one would meet in one task
+    blocks = asks.unionByName(all_).repartition("root", "mine", "theirs")
+    rest = blocks.groupBy("root", "mine", "theirs").applyInPandas(_links_in_block(similar), "u long, v long")
     links = held.filter("taken").select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(rest)
     classes = components(links, "near-classes")
     of_node = marks.join(nodes.select("words_key", "node"), "words_key").select("doc_id", "node").join(classes, "node", "left")
@@ -255,5 +266,4 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class; rows with a null doc_id stay."""
     gone = near_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)

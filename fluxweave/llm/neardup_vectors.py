@@ -117,9 +117,9 @@ def links_and_components(vectors: DataFrame, cosine: float = COSINE, bits: int =
         F.greatest("mine", "other_block").alias("high"),
         (F.col("mine") > F.col("other_block")).cast("int").alias("side"),
     )
-    found = stored(
-        pairs.groupBy(*place, "low", "high").applyInPandas(_compare(cosine), "node long, n long, other long"), "vector-links"
-    )
+    # dealt by pair of blocks: by the bucket alone, all blocks of a large one would meet in one task
+    dealt = pairs.repartition(*place, "low", "high").groupBy(*place, "low", "high")
+    found = stored(dealt.applyInPandas(_compare(cosine), "node long, n long, other long"), "vector-links")
     count = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")), "vector-components")
     of_row = good.join(nodes.select("label", "vector", "node", "copies"), ["label", "vector"]).join(count, "node", "left").join(roots, "node", "left")
@@ -134,3 +134,20 @@ def links_and_components(vectors: DataFrame, cosine: float = COSINE, bits: int =
 
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return links_and_components(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= CAST({COSINE} AS DOUBLE)
+), reach AS (
+  SELECT vec_id AS x, vec_id AS r FROM embeddings UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.x
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.r AS component_id, e.vec_id = c.r AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = e.vec_id
+JOIN (SELECT x, min(r) AS r FROM reach GROUP BY x) c ON c.x = e.vec_id
+"""
