@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -40,17 +41,23 @@ def run(df) -> None:
 
 
 def main() -> None:
-    from fluxweave.plans.catalog import QUERIES
-
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        measure(sf_dir, cpus, names, shared)
+
+
+def measure(sf_dir: str, cpus: str, names: list[str], shared: str) -> None:
+    from fluxweave.plans.catalog import QUERIES
+
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")

@@ -36,7 +36,26 @@ DEVICE_SEATS = {
     "1A56F5DD-C5B6-4E56-8690-E5A12BAA7E78": 3,
     "24C41EC3-7ECC-40DA-B942-7ABE23017E74": 4,
 }
-SEATS_PER_GROUP = 4
+
+# Study group and seat -> participant.
+PARTICIPANTS = {
+    (1, 1): "A",
+    (1, 2): "B",
+    (1, 3): "C",
+    (1, 4): "D",
+    (2, 1): "E",
+    (2, 2): "F",
+    (2, 3): "G",
+    (2, 4): "H",
+    (3, 1): "I",
+    (3, 2): "J",
+    (3, 3): "K",
+    (3, 4): "L",
+    (4, 1): "M",
+    (4, 2): "N",
+    (4, 3): "O",
+    (4, 4): "P",
+}
 
 # Columns of a feature vector, in model order.
 FEATURE_COLUMNS = [

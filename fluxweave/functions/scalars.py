@@ -72,12 +72,10 @@ def performance_type_name(code: str | Column) -> Column:
     return lookup(col(code).cast("int"), dims.PERFORMANCE_TYPES)
 
 
-def participant(group: str | Column, seat: str | Column) -> Column:
-    """Participant letter: A..D sit in group 1, E..H in group 2, and so on."""
-    g, s = col(group).cast("int"), col(seat).cast("int")
-    index = (g - 1) * dims.SEATS_PER_GROUP + s - 1
-    in_range = g.between(1, 4) & s.between(1, dims.SEATS_PER_GROUP)
-    return F.when(in_range, F.char(index + F.lit(ord("A"))))
+def participant(group: str | Column, seat: str | Column, table: Mapping[tuple[int, int], str] = dims.PARTICIPANTS) -> Column:
+    """Participant by (group, seat), NULL when the table has no such pair."""
+    key = F.concat(col(group).cast("int").cast("string"), F.lit("-"), col(seat).cast("int").cast("string"))
+    return lookup(key, {f"{g}-{s}": name for (g, s), name in table.items()})
 
 
 def elapsed_seconds(time: str | Column, first: str | Column, lead_in: float = 0.0) -> Column:

@@ -15,10 +15,10 @@ from fluxweave.dims import DEV, FEATURE_COLUMNS, FOREST_FEATURES, FOREST_TREES,
 from fluxweave.operators import features as fv
 from fluxweave.operators import messages as ms
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
-from fluxweave.session import shared_folder
+from fluxweave.session import path_exists, shared_folder
 
-# a tree of this depth separates the training vectors as an unlimited one does
-DEPTH = 12
+# the most that Spark allows; trees end earlier, where their leaves are pure
+DEPTH = 30
 
 
 def _vectors(columns: Sequence[str]) -> VectorAssembler:
@@ -54,8 +54,8 @@ def train_forest(
 
 
 def _unit(digest: Column) -> Column:
-    """A digest as a number in [0, 1)."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
+    """A digest as a number in [0, 1), by its first 52 bits, which a double holds exactly."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def train_mask(df: DataFrame, identity: Sequence[str], share: float, seed: int = 0) -> DataFrame:
@@ -64,13 +64,15 @@ def train_mask(df: DataFrame, identity: Sequence[str], share: float, seed: int =
 
 
 def load_or_train(spark: SparkSession, path: str, train: DataFrame, **options) -> PipelineModel:
-    """The stored model; a new one is trained and stored when there is none."""
-    try:
+    """The stored model; a new one is trained and stored only where the path does not exist.
+
+    A model that is there but cannot be read is an error and stays as it is.
+    """
+    if path_exists(spark, path):
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - a missing or unreadable model is trained anew
-        model = train_forest(train, **options)
-        model.write().overwrite().save(path)
-        return model
+    model = train_forest(train, **options)
+    model.save(path)
+    return model
 
 
 def classify(model: PipelineModel, vectors: DataFrame) -> DataFrame:
@@ -136,8 +138,9 @@ def bootstrap(df: DataFrame, identity: Sequence[str], seed: int = 0, digits: int
     draws = numbered.select(F.col("row_no").alias("draw"))
     if size is not None:
         draws = draws.filter(F.col("draw") <= size)
-    u = _unit(F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), F.col("draw").cast("string"))))
-    picked = draws.select("draw", (F.floor(u * total) + 1).cast("long").alias("row_no"))
+    digest = F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), F.col("draw").cast("string")))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")  # 60 bits: every row can be drawn, whatever their number
+    picked = draws.select("draw", (number % F.greatest(total, F.lit(1)) + 1).cast("long").alias("row_no"))
     return picked.join(numbered, "row_no").drop("row_no")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,8 @@ from fluxweave import dims
 from fluxweave.dims import DEV, PERF
 from fluxweave.functions import scalars as sc
 from fluxweave.operators.grids import densify, time_grid
-from fluxweave.operators.ordering import latest_rows
+from fluxweave.operators.ordering import CHUNK_SECONDS, latest_times
+from fluxweave.operators.sides import with_side
 from fluxweave.sources.formats import LogFormat
 
 
@@ -47,8 +50,9 @@ def with_device_name(df: DataFrame, names: DataFrame) -> DataFrame:
     return named.select(*df.columns, F.coalesce("device_name", DEV).alias("device_name"))
 
 
-def with_seat(df: DataFrame) -> DataFrame:
-    return df.withColumn("seat", sc.lookup(DEV, dims.DEVICE_SEATS))
+def with_seat(df: DataFrame, seats: Mapping[str, int] = dims.DEVICE_SEATS) -> DataFrame:
+    """Seat of each device by a fixed table of a study; NULL for a device without a seat."""
+    return df.withColumn("seat", sc.lookup(DEV, seats))
 
 
 def gesture_report(gestures: DataFrame) -> DataFrame:
@@ -77,13 +81,16 @@ def retain_seconds(df: DataFrame, seconds: float, asof: Column | None = None) ->
     """Rows strictly newer than ``seconds`` before ``asof`` (default: each performance's last row)."""
     if asof is not None:
         return df.filter(F.col("time") > sc.shift(asof, -seconds))
-    newest = _newest(df)
-    return df.join(newest, PERF).filter(F.col("time") > sc.shift("__asof", -seconds)).drop("__asof")
+    return with_side(df, _newest(df), [PERF]).filter(F.col("time") > sc.shift("__asof", -seconds)).drop("__asof")
+
 
+def retain_ticks(df: DataFrame, ticks: int = dims.GESTURE_RETENTION_ROWS, chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
+    """The last ticks of each performance's gesture log, with the states of all its devices.
 
-def retain_rows(df: DataFrame, rows: int = dims.GESTURE_RETENTION_ROWS) -> DataFrame:
-    """The last rows of each performance's gesture log."""
-    return latest_rows(df, [PERF], "time", rows, [DEV] if DEV in df.columns else [])
+    An entry of the log is a tick: the rows of one time, however many devices play.
+    """
+    since = latest_times(df, [PERF], ticks, chunk_seconds=chunk_seconds)
+    return with_side(df, since, [PERF]).filter(F.col("time") >= F.col("since")).drop("since")
 
 
 def drop_bad_targets(df: DataFrame, target: str = "target") -> DataFrame:
@@ -113,7 +120,7 @@ def coded_transitions(transitions: DataFrame) -> DataFrame:
 def with_elapsed(df: DataFrame, lead_in: float = 0.0) -> DataFrame:
     """Elapsed seconds and playback frame of each row of its performance."""
     first = df.groupBy(PERF).agg(F.min("time").alias("__first"))
-    timed = df.join(first, PERF).withColumn("elapsed", sc.elapsed_seconds("time", "__first", lead_in))
+    timed = with_side(df, first, [PERF]).withColumn("elapsed", sc.elapsed_seconds("time", "__first", lead_in))
     return timed.withColumn("frame", sc.playback_frame("elapsed")).drop("__first")
 
 

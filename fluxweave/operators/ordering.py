@@ -42,7 +42,8 @@ def with_previous(
     row per (keys, chunk) and joins on that same partitioning.
     """
     keys, order, chunk = list(keys), [time, *ties], "__chunk"
-    cut = df.withColumn(chunk, bin_micros(time, chunk_seconds))
+    # dealt out once; the carry, the window and the join all use this partitioning
+    cut = df.withColumn(chunk, bin_micros(time, chunk_seconds)).repartition(*keys, chunk)
     last = cut.groupBy(*keys, chunk).agg(*[F.max_by(v, _order_key(order)).alias(f"__c_{v}") for v in values])
     by_key = Window.partitionBy(*keys).orderBy(chunk)
     carry = last.select(*keys, chunk, *[F.lag(f"__c_{v}").over(by_key).alias(f"__c_{v}") for v in values])
@@ -97,11 +98,21 @@ def hash_chunk(digest: str | Column, digits: int = 5) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def latest_rows(df: DataFrame, keys: Sequence[str], time: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The last ``n`` rows of each key.
+def latest_times(df: DataFrame, keys: Sequence[str], n: int, time: str = "time", chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
+    """(keys, since): the earliest of each key's last ``n`` distinct times, for any ``n``.
 
-    The rank filter is pushed below the shuffle by Spark (window group limit),
-    so every map task sends at most ``n`` rows per key.
+    Times are counted per chunk; the newest chunks are summed up to the one that
+    holds the n-th time, and only inside that chunk are times ranked. A key with
+    fewer than ``n`` times gets its first time.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc(time), *[F.desc(t) for t in ties])
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    keys, chunk = list(keys), "__chunk"
+    times = df.select(*keys, time).distinct().withColumn(chunk, bin_micros(time, chunk_seconds))
+    sizes = times.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"), F.min(time).alias("__min"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(chunk))
+    upto = sizes.withColumn("__newer", F.coalesce(F.sum("__n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = upto.filter((F.col("__newer") < n) & (F.col("__newer") + F.col("__n") >= n)).select(*keys, chunk, "__newer")
+    inside = Window.partitionBy(*keys, chunk).orderBy(F.desc(time))
+    ranked = times.join(edge, [*keys, chunk]).withColumn("__rank", F.row_number().over(inside) + F.col("__newer"))
+    cut = ranked.filter(F.col("__rank") == n).select(*keys, F.col(time).alias("since"))
+    whole = sizes.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.min("__min").alias("since"))
+    return cut.unionByName(whole.filter(F.col("__n") < n).select(*keys, "since"))

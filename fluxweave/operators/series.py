@@ -13,7 +13,8 @@ from pyspark.sql.window import Window, WindowSpec
 from fluxweave.dims import DEV, NEW_IDEA_LIVE, PERF, ROLLING_ROWS
 from fluxweave.functions import matrix as mx
 from fluxweave.functions.scalars import SECOND, bin_micros, bin_start, shift
-from fluxweave.operators.ordering import CHUNK_SECONDS, latest_rows, with_previous, with_row_number
+from fluxweave.operators.grids import STEPS_PER_CHUNK
+from fluxweave.operators.ordering import CHUNK_SECONDS, with_previous, with_row_number
 
 
 def _by_window() -> WindowSpec:
@@ -42,15 +43,9 @@ def new_ideas(series: DataFrame, threshold: float = NEW_IDEA_LIVE, value: str =
 
 def latest_new_idea(series: DataFrame, threshold: float = NEW_IDEA_LIVE) -> DataFrame:
     """Per performance: did the last window rise above the threshold?"""
-    two = latest_rows(series, [PERF], "window_start", 2)
-    last = two.groupBy(PERF).agg(
-        F.max("window_start").alias("window_start"),
-        F.max_by("flux", "window_start").alias("flux"),
-        F.min_by("flux", "window_start").alias("__before"),
-    )
-    # with a single window both values are the same and the rise is 0
-    rise = F.col("flux") - F.col("__before")
-    return last.select(PERF, "window_start", "flux", (rise > threshold).alias("is_new_idea"))
+    newest = F.max(F.struct("window_start", "flux", F.coalesce("rise", F.lit(0.0)).alias("rise"))).alias("last")
+    last = flux_changes(series).groupBy(PERF).agg(newest)
+    return last.select(PERF, "last.window_start", "last.flux", (F.col("last.rise") > threshold).alias("is_new_idea"))
 
 
 def rolling_flux(
@@ -186,8 +181,13 @@ def forward_fill(
     on_step = nexts.withColumn(
         "__first", F.unix_micros(time) + F.pmod(-F.unix_micros(time), F.lit(step).cast("long"))
     ).withColumn("__last", last)
-    grid = F.when(first <= F.col("__last"), F.sequence(first, F.col("__last"), F.lit(step).cast("long")))
-    each = on_step.select(*keys, F.explode(grid).alias("__us"), *values)
+    # a long gap is cut into blocks of steps that are spread over the cluster, so no row holds a whole gap
+    block = step * STEPS_PER_CHUNK
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.when(first <= F.col("__last"), F.sequence(first, F.col("__last"), F.lit(block).cast("long")))
+    cut = on_step.select(*keys, "__last", F.explode(blocks).alias("__from"), *values).repartition(tasks, *keys, "__from")
+    stop = F.least(F.col("__last"), F.col("__from") + F.lit(block - step).cast("long"))
+    each = cut.select(*keys, F.explode(F.sequence("__from", stop, F.lit(step).cast("long"))).alias("__us"), *values)
     return each.select(*keys, F.timestamp_micros("__us").alias(time), *values)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.dims import DEBOUNCE_SECONDS, DEV, PERF
+from fluxweave.dims import DEBOUNCE_SECONDS, DEV, PARTICIPANTS, PERF
 from fluxweave.functions import scalars as sc
 from fluxweave.operators import series, transitions
 
@@ -54,15 +57,19 @@ def performance_summary(
     label: str = "CompositionStep",
     gap_seconds: float = DEBOUNCE_SECONDS,
 ) -> DataFrame:
-    """One row per performance: idea and press counts, ensemble flux and entropy."""
+    """One row per performance: idea and press counts, ensemble flux and entropy.
+
+    The parts have one row per performance each and are put together by one
+    union and one aggregation. Performances without touches are left out.
+    """
     lengths = performance_lengths(touches).select(PERF, "first_touch")
     ideas = events.filter(F.col("event_type") == event_type)
     changes = series.debounced(ideas, gap_seconds).groupBy(PERF).agg(F.count(F.lit(1)).alias("new_idea_changes"))
     steps = transitions.state_steps(transitions.complete_rows(gestures), "full")
     measures = transitions.ensemble_measures(transitions.whole_counts(steps), [PERF])
-    out = lengths
-    for part in (raw_new_ideas(events, event_type), changes, button_changes(messages, label), measures):
-        out = out.join(part, PERF, "left")
+    parts = [lengths, raw_new_ideas(events, event_type), changes, button_changes(messages, label), measures]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = rows.groupBy(PERF).agg(*[F.max(c).alias(c) for c in rows.columns if c != PERF]).filter("first_touch IS NOT NULL")
     counts = ["raw_new_ideas", "new_idea_changes", "button_presses"]
     return out.select(
         PERF,
@@ -78,8 +85,9 @@ def melt(wide: DataFrame, ids: list[str], columns: list[str], name: str = "varia
 
 
 def pivot_first(long: DataFrame, ids: list[str], name: str, value: str, columns: list | None = None) -> DataFrame:
+    """One column per ``name``; where a cell has several values, the largest, so that the result can be repeated."""
     grouped = long.groupBy(*ids)
-    return (grouped.pivot(name, columns) if columns else grouped.pivot(name)).agg(F.first(value))
+    return (grouped.pivot(name, columns) if columns else grouped.pivot(name)).agg(F.max(value))
 
 
 def length_table(touches: DataFrame, seat: Column) -> DataFrame:
@@ -94,7 +102,13 @@ def join_design(design: DataFrame, values: DataFrame) -> DataFrame:
     return design.join(values, "time", "full")
 
 
-def press_table(touches: DataFrame, messages: DataFrame, design: DataFrame, seat: Column) -> DataFrame:
+def press_table(
+    touches: DataFrame,
+    messages: DataFrame,
+    design: DataFrame,
+    seat: Column,
+    participants: Mapping[tuple[int, int], str] = PARTICIPANTS,
+) -> DataFrame:
     """Presses of every performer with the design columns and the participant.
 
     Stays in rows throughout: a pivot to one column per device and back would
@@ -103,7 +117,7 @@ def press_table(touches: DataFrame, messages: DataFrame, design: DataFrame, seat
     firsts = performance_lengths(touches).select(PERF, F.col("first_touch").alias("time"))
     presses = button_presses(touches, messages).join(firsts, PERF).select("time", seat.alias("seat"), "button_presses")
     joined = join_design(design, presses)
-    return joined.withColumn("performer", sc.participant("group", "seat"))
+    return joined.withColumn("performer", sc.participant("group", "seat", participants))
 
 
 def graded_scores(predictions: DataFrame, keys: list[str], target: str = "gesture", prediction: str = "prediction") -> DataFrame:

@@ -86,11 +86,11 @@ def device_counts(steps: DataFrame) -> DataFrame:
 def complete_rows(gestures: DataFrame) -> DataFrame:
     """Rows of those times at which every player of the performance has a state."""
     players = gestures.groupBy(PERF, DEV).agg(F.lit(1)).groupBy(PERF).agg(F.count(F.lit(1)).alias("__players"))
-    present = gestures.groupBy(PERF, "time").agg(F.count("gesture").alias("__present"))
-    full_times = (
-        present.join(players, PERF).filter(F.col("__present") == F.col("__players")).select(PERF, "time")
-    )
-    return gestures.join(full_times, [PERF, "time"], "left_semi")
+    rest = [c for c in gestures.columns if c not in (PERF, "time")]
+    # a time's rows are one state per player, so they are kept beside their count instead of being joined back
+    at_time = gestures.groupBy(PERF, "time").agg(F.count("gesture").alias("__present"), F.collect_list(F.struct(*rest)).alias("__rows"))
+    full = at_time.join(players, PERF).filter(F.col("__present") == F.col("__players"))
+    return full.select(PERF, "time", F.inline("__rows")).select(*gestures.columns)
 
 
 def window_local_counts(gestures: DataFrame, width_seconds: float, states: str = "full") -> DataFrame:

@@ -31,7 +31,8 @@ def labelled(spark, d):
 
 
 HASH = "md5(vec_id || ':' || '{seed}')"
-UNIT = "CAST(CAST('0x' || substr({h}, 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE)"
+UNIT = "CAST(CAST('0x' || substr({h}, 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)"
+WORD = "CAST('0x' || substr({h}, 1, 15) AS BIGINT)"
 
 
 @query(
@@ -71,13 +72,13 @@ def training_rows_of_fold(spark, d):
 )
 def rows_shuffled(spark, d):
     hashed = tv.events(spark, d).select("event_id").withColumn("h", hash_order("event_id", seed=5)).withColumn("one", F.lit(1))
-    return with_row_number(hashed, ["one"], ["h", "event_id"], hash_chunk("h", 2)).select("event_id", "row_no")
+    return with_row_number(hashed, ["one"], ["h", "event_id"], hash_chunk("h")).select("event_id", "row_no")
 
 
 @query(
     "bootstrap_sample",
     f"""WITH numbered AS (SELECT vec_id, row_number() OVER (ORDER BY {HASH.format(seed=4)}, vec_id) AS row_no FROM embeddings),
-    draws AS (SELECT row_no AS draw, CAST(floor({UNIT.format(h="md5('draw4:' || row_no)")} * (SELECT count(*) FROM embeddings)) AS BIGINT) + 1 AS row_no FROM numbered)
+    draws AS (SELECT row_no AS draw, {WORD.format(h="md5('draw4:' || row_no)")} % (SELECT count(*) FROM embeddings) + 1 AS row_no FROM numbered)
     SELECT draw, vec_id FROM draws JOIN numbered USING (row_no)""",
 )
 def bootstrap_sample(spark, d):
@@ -126,7 +127,7 @@ def gesture_score(spark, d):
     return ln.gesture_score(model, tv.touches(spark, d), VECTOR, TICK).select(PERF, DEV, iso("time"), "gesture")
 
 
-BAYES_XS = XS[:8]
+BAYES_XS = XS
 _BAYES_LONG = " UNION ALL ".join(
     f"SELECT vec_id, label, {i} AS k, CAST(embedding[{i + 1}] AS DOUBLE) AS x FROM embeddings" for i in range(len(BAYES_XS))
 )
@@ -148,7 +149,7 @@ def bayes_predictions(spark, d):
     return ln.classify(model, rows).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-BAYES_COLUMNS = [c for c in FEATURE_COLUMNS if not c.startswith("std")]
+BAYES_COLUMNS = list(FEATURE_COLUMNS)
 
 
 _PERF_LONG = " UNION ALL ".join(

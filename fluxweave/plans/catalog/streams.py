@@ -1,7 +1,10 @@
-"""Streaming queries: the event table arrives as a file stream.
+"""Streaming queries: the event table arrives as a stream of files.
 
-A stream closes a window once the watermark (newest row minus the delay) has
-passed its end, so the SQL checks keep exactly those windows.
+The table is cut into BATCHES files by arrival: a row arrives up to the delay
+after its time, by its id, so that rows of a file are in no order and overlap
+those of the next. One file is one batch. A stream closes a window once the
+watermark (newest row minus the delay) has passed its end, so the SQL checks
+keep exactly those windows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from fluxweave.plans.catalog.base import iso, iso_sql, query, rounded, rounded_s
 from fluxweave.plans.catalog.files import raw_messages
 from fluxweave.plans.catalog.matrices import FLUX, RISES, STEPS5, WINDOW5, state_sql
 from fluxweave.plans.catalog.vectors import VECTOR_SQL, shown, shown_sql, tumbling
-from fluxweave.plans.testviews import DAY, TICK, VECTOR, WIDTH, with_sql
+from fluxweave.plans.testviews import DAY, TICK, VECTOR, WIDTH, bin_sql, with_sql
+from fluxweave.session import shared_folder
 from fluxweave.streaming import live
 
 EVENTS_DDL = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
@@ -25,9 +29,25 @@ DELAY = f"{DELAY_SECONDS} seconds"
 WATERMARK = f"(SELECT date_trunc('millisecond', max(time)) - INTERVAL {DELAY_SECONDS} SECOND FROM ev)"
 
 
-def event_stream(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = live.message_stream(spark, d, EVENTS_DDL, glob="events.parquet")
+BATCHES = 4
+
+
+def arriving(spark, d, late=None):
+    """The event table as files in order of arrival; rows that ``late`` picks come in a file of their own at the end."""
+    wait = F.col("event_id") * 7919 % DELAY_SECONDS * 1_000_000
+    rows = tv.table(spark, d, "events").withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) + wait)
+    lo, hi = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.least(F.expr(f"(arrival - {lo}) * {BATCHES} div {max(hi - lo, 1)}"), F.lit(BATCHES - 1))
+    if late is not None:
+        part = F.when(late, BATCHES).otherwise(part)
+    path = shared_folder(spark, "arriving")
+    for k in range(BATCHES + (late is not None)):
+        rows.filter(part == k).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark, d, late=None):
+    raw = live.message_stream(spark, arriving(spark, d, late), EVENTS_DDL, files=1)
     return raw.select(
         "event_id",
         (F.col("user_id") % 10).alias(PERF),
@@ -72,43 +92,108 @@ def stream_features(spark, d):
     return spark.read.parquet(path).select(PERF, DEV, iso("time"), *shown())
 
 
-@query("stream_gesture_log")
+@query(
+    "stream_gesture_log",
+    with_sql(
+        f"""SELECT performance_id, device_id, CAST((epoch_us((SELECT max(time) FROM closed)) - epoch_us(min(time))) // {TICK * 1_000_000} + 1 AS BIGINT) AS ticks,
+        CAST(0 AS BIGINT) AS outside, count(*) AS heard FROM closed GROUP BY 1, 2""",
+        "touches",
+        closed=f"SELECT * FROM ({SLIDING}) WHERE time <= {WATERMARK}",
+    ),
+)
 def stream_gesture_log(spark, d):
-    """Stream to vectors to states; devices idle in a tick get state 0."""
+    """Stream to vectors to states: every device has a state in range at every tick from its first one on."""
+    log = gesture_log(spark, d)
+    return log.groupBy(PERF, DEV).agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_if(~F.col("gesture").between(0, 8)).alias("outside"), F.sum("heard").alias("heard")
+    )
+
+
+def gesture_log(spark, d):
+    """The live log, with ``heard`` 1 where a tick has a vector."""
     train = tumbling(spark, d).withColumn("gesture", F.col("freq") % 9)
-    model = ln.train_forest(train, FEATURE_COLUMNS, trees=10, depth=5)
+    model = ln.train_forest(train, FEATURE_COLUMNS)
     vectors = live.live_features(touch_stream(spark, d), VECTOR, TICK, DELAY).drop("window")
-    devices = tv.touches(spark, d).select(PERF, DEV).distinct()
-    path = live.write_gesture_log(ln.classify(model, vectors), devices, "live-gestures")
-    return spark.read.parquet(path).select(PERF, DEV, iso("time"), "gesture")
+    predicted = live.run_to_table(ln.classify(model, vectors).select(PERF, DEV, "time", "prediction"), "live-predictions")
+    schema = f"{PERF} long, {DEV} string, time timestamp, prediction int"
+    path = live.run_to_table(live.fill_idle(live.message_stream(spark, predicted, schema), TICK), "live-gestures")
+    heard = spark.read.parquet(predicted).select(PERF, DEV, "time", F.lit(1).alias("heard"))
+    return spark.read.parquet(path).join(heard, [PERF, DEV, "time"], "left")
+
+
+CHUNK_SQL = f"{bin_sql('time', WIDTH)} + INTERVAL {WIDTH} SECOND"
+ARRIVED = f"SELECT * FROM ({STEPS5}) WHERE {CHUNK_SQL} <= {WATERMARK}"  # steps of closed chunks
 
 
 @query(
-    "stream_transition_steps",
+    "stream_transition_steps_unordered",
     with_sql(
         f"SELECT performance_id, device_id, {iso_sql('time')}, coalesce(to_state, -1) AS to_state, coalesce(from_state, -1) AS from_state FROM steps",
         "gestures",
-        steps=STEPS5,
+        steps=ARRIVED,
+    ),
+)
+def stream_transition_steps_unordered(spark, d):
+    """Rows out of order within the delay give the steps of the ordered table."""
+    return shown_steps(spark.read.parquet(f"{step_table(spark, d)}/*/data"))
+
+
+@query(
+    "stream_transition_steps",
+    with_sql(
+        """SELECT performance_id, coalesce(to_state, -1) AS to_state, coalesce(from_state, -1) AS from_state, count(*) AS n FROM steps GROUP BY ALL""",
+        "gestures",
+        steps=ARRIVED,
     ),
 )
 def stream_transition_steps(spark, d):
-    path = live.run_to_table(live.live_steps(gesture_stream(spark, d)), "live-steps")
-    return spark.read.parquet(path).select(
-        PERF, DEV, iso("time"), F.coalesce("to_state", F.lit(-1)).alias("to_state"),
-        F.coalesce("from_state", F.lit(-1)).alias("from_state"),
-    )
+    steps = shown_steps(spark.read.parquet(f"{step_table(spark, d)}/*/data"))
+    return steps.groupBy(PERF, "to_state", "from_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shown_steps(steps):
+    states = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("to_state", "from_state")]
+    return steps.select(PERF, DEV, iso("time"), *states)
+
+
+LATE = "event_id % 97 = 0"
+
+
+@query(
+    "stream_late_rows",
+    with_sql(
+        f"""SELECT performance_id, device_id, count(*) AS kept, count(*) FILTER ({LATE}) AS kept_late FROM ev
+        WHERE {CHUNK_SQL} <= {WATERMARK} AND (NOT {LATE} OR {CHUNK_SQL} > (SELECT date_trunc('millisecond', max(time)) - INTERVAL {DELAY_SECONDS} SECOND FROM arrived
+        WHERE NOT {LATE} AND (arrival - lo) * {BATCHES} // greatest(hi - lo, 1) < {BATCHES - 1})) GROUP BY 1, 2""",
+        "ev",
+        arrived=f"""SELECT *, min(arrival) OVER () AS lo, max(arrival) OVER () AS hi FROM
+        (SELECT *, epoch_us(time) + event_id * 7919 % {DELAY_SECONDS} * 1000000 AS arrival FROM ev)""",
+    ),
+)
+def stream_late_rows(spark, d):
+    """Rows that come after their chunk was given out are dropped, and only those.
+
+    A batch gives out what the rows of the batches before it have closed, so the
+    late file meets the watermark of all files but the last before it.
+    """
+    rows = event_stream(spark, d, F.expr(LATE)).select(PERF, DEV, "time", F.expr(f"CASE WHEN {LATE} THEN 1 ELSE 0 END").alias("gesture"))
+    path = live.run_to_table(live.live_chunks(rows, "full", chunk=WIDTH, delay=DELAY), "live-late")
+    each = spark.read.parquet(path).select(PERF, DEV, F.explode("rows").alias("r"))
+    return each.groupBy(PERF, DEV).agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("r.state") == 1).alias("kept_late"))
+
+
+def step_table(spark, d):
+    return live.write_steps(gesture_stream(spark, d), "live-steps", chunk=WIDTH, delay=DELAY)
 
 
 def step_stream(spark, d):
     """Steps stored by one stream and read by the next."""
-    path = live.run_to_table(live.live_steps(gesture_stream(spark, d)), "live-steps")
-    key = tv.gestures(spark, d).schema[PERF].dataType.simpleString()
     return live.message_stream(
-        spark, path, f"{PERF} {key}, {DEV} string, time timestamp, to_state int, from_state int"
+        spark, f"{step_table(spark, d)}/*/data", f"{PERF} long, {DEV} string, time timestamp, to_state int, from_state int"
     )
 
 
-CLOSED = f"window_start + INTERVAL {WIDTH} SECOND <= {WATERMARK}"
+CLOSED = f"window_start + INTERVAL {WIDTH} SECOND <= {WATERMARK.replace('FROM ev', 'FROM steps')}"
 SERIES = f"SELECT performance_id, window_start, {FLUX} AS flux FROM counts WHERE {CLOSED} GROUP BY ALL"
 
 
@@ -117,7 +202,7 @@ SERIES = f"SELECT performance_id, window_start, {FLUX} AS flux FROM counts WHERE
     with_sql(
         f"SELECT performance_id, {iso_sql('window_start', 'time')}, {rounded_sql('flux')} FROM series",
         "gestures",
-        steps=STEPS5,
+        steps=ARRIVED,
         counts=WINDOW5,
         series=SERIES,
     ),
@@ -132,7 +217,7 @@ def stream_flux(spark, d):
     state_sql(
         f"SELECT performance_id, {iso_sql('window_start')}, state, {rounded_sql('spread')}, {rounded_sql('ratio')} FROM states WHERE {CLOSED}",
         5,
-        steps=STEPS5,
+        steps=ARRIVED,
         counts=WINDOW5,
     ),
 )
@@ -148,7 +233,7 @@ def stream_ensemble_state(spark, d):
     with_sql(
         f"SELECT performance_id, {iso_sql('window_start', 'time')}, {rounded_sql('flux')} FROM rises WHERE rise > CAST(0.3 AS DOUBLE)",
         "gestures",
-        steps=STEPS5,
+        steps=ARRIVED,
         counts=WINDOW5,
         series=SERIES,
         rises=RISES,

@@ -203,16 +203,44 @@ def touches_retained(spark, d):
     return ms.retain_seconds(tv.touches(spark, d), 5 * DAY).select(PERF, DEV, iso("time"))
 
 
+HOURLY = f"SELECT performance_id, device_id, {tv.bin_sql('time', tv.HOUR)} AS time, max_by(gesture, time) AS gesture FROM gestures GROUP BY ALL"
+
+
+def hourly(spark, d):
+    """A gesture log: the last state of every device in each of its hours."""
+    tick = sc.bin_start("time", tv.HOUR).alias("tick")
+    log = tv.gestures(spark, d).groupBy(PERF, DEV, tick).agg(F.max_by("gesture", "time").alias("gesture"))
+    return log.withColumnRenamed("tick", "time")
+
+
 @query(
     "gestures_retained",
     with_sql(
-        f"SELECT performance_id, device_id, {iso_sql('time')}, gesture FROM gestures "
-        "QUALIFY row_number() OVER (PARTITION BY performance_id ORDER BY time DESC, device_id DESC) <= 300",
+        f"SELECT performance_id, device_id, {iso_sql('time')}, gesture FROM hourly "
+        "QUALIFY dense_rank() OVER (PARTITION BY performance_id ORDER BY time DESC) <= 300",
         "gestures",
+        hourly=HOURLY,
     ),
 )
 def gestures_retained(spark, d):
-    return ms.retain_rows(tv.gestures(spark, d)).select(PERF, DEV, iso("time"), "gesture")
+    """The last 300 ticks; several devices share a tick."""
+    return ms.retain_ticks(hourly(spark, d), chunk_seconds=DAY).select(PERF, DEV, iso("time"), "gesture")
+
+
+@query(
+    "gestures_last_minute",
+    with_sql(
+        f"""SELECT performance_id, device_id, {iso_sql('time')}, gesture FROM
+        (SELECT *, max(time) OVER (PARTITION BY performance_id) AS newest, dense_rank() OVER (PARTITION BY performance_id ORDER BY time DESC) AS tick FROM hourly)
+        WHERE tick <= 300 AND time > newest - INTERVAL {60 * tv.HOUR} SECOND""",
+        "gestures",
+        hourly=HOURLY,
+    ),
+)
+def gestures_last_minute(spark, d):
+    """All ticks of the last minute (an hour stands for a second), with every device of each."""
+    kept = ms.retain_ticks(hourly(spark, d), chunk_seconds=DAY)
+    return ms.retain_seconds(kept, 60 * tv.HOUR).select(PERF, DEV, iso("time"), "gesture")
 
 
 @query(

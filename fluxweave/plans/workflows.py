@@ -18,6 +18,7 @@ from fluxweave.operators import messages as ms
 from fluxweave.operators import series as se
 from fluxweave.operators import study as st
 from fluxweave.operators import transitions as tr
+from fluxweave.operators.ordering import CHUNK_SECONDS
 from fluxweave.session import shared_folder
 from fluxweave.sources import logs as lg
 from fluxweave.sources import tables as tb
@@ -89,23 +90,26 @@ def training_data(touches: DataFrame, targets: DataFrame, out: str) -> str:
     return tb.write_exact_csv(rows.select("time", *dims.FEATURE_COLUMNS, "target"), out)
 
 
-def live_session(touches: DataFrame, model: PipelineModel, devices: DataFrame, out: str, delay: str = live.DELAY) -> dict[str, str]:
+def live_session(touches: DataFrame, model: PipelineModel, out: str, delay: str = live.DELAY, offline: DataFrame | None = None, chunk: float = CHUNK_SECONDS) -> dict[str, str]:
     """Live analysis of a touch stream up to what has arrived.
 
-    Vectors are classified into a gesture log; the log feeds state pairs, and
-    these feed flux, ensemble state and new ideas. Each stage keeps its own
-    checkpoint, so calling again goes on where the last call stopped.
+    Vectors are classified into a gesture log with a state at every tick of every
+    active device (``offline`` is a table of when devices leave); the log feeds
+    state pairs, and these feed flux, ensemble state and new ideas. Each stage
+    keeps its own checkpoint, so calling again goes on where the last call stopped.
     """
     spark = touches.sparkSession
     vectors = live.live_features(touches, delay=delay).drop("window")
-    log = live.write_gesture_log(ln.classify(model, vectors), devices, "gestures", f"{out}/gestures")
-    key = devices.schema[PERF].dataType.simpleString()
-    gestures = live.message_stream(spark, log, f"{PERF} {key}, {DEV} string, time timestamp, gesture int")
-    steps_path = live.run_to_table(live.live_steps(gestures), "steps", path=f"{out}/steps")
-    schema = f"{PERF} {key}, {DEV} string, time timestamp, to_state int, from_state int"
+    key = touches.schema[PERF].dataType.simpleString()
+    columns = f"{PERF} {key}, {DEV} string, time timestamp"
+    predicted = live.run_to_table(ln.classify(model, vectors).select(PERF, DEV, "time", "prediction"), "predicted", path=f"{out}/predicted")
+    ticks = live.fill_idle(live.message_stream(spark, predicted, f"{columns}, prediction int"), offline=offline)
+    log = live.run_to_table(ticks, "gestures", path=f"{out}/gestures")
+    gestures = live.message_stream(spark, log, f"{columns}, gesture int")
+    steps_path = live.write_steps(gestures, "steps", path=f"{out}/steps", chunk=chunk, delay=delay)
 
     def steps() -> DataFrame:
-        return live.message_stream(spark, steps_path, schema)
+        return live.message_stream(spark, f"{steps_path}/*/data", f"{columns}, to_state int, from_state int")
 
     flux = live.run_to_table(live.live_flux(steps(), delay=delay), "flux", path=f"{out}/flux")
     series = live.message_stream(spark, flux, f"{PERF} {key}, time timestamp, flux double")
@@ -120,4 +124,4 @@ def live_session(touches: DataFrame, model: PipelineModel, devices: DataFrame, o
 
 def recent(gestures: DataFrame) -> DataFrame:
     """The part of a gesture log that the live view looks at: the last minute."""
-    return ms.retain_seconds(ms.retain_rows(gestures), dims.GESTURE_RETENTION_SECONDS)
+    return ms.retain_seconds(ms.retain_ticks(gestures), dims.GESTURE_RETENTION_SECONDS)

@@ -133,7 +133,8 @@ def line_kinds(fmt: LogFormat = DEFAULT_FORMAT) -> Column:
 def store_by_kind(lines: DataFrame, path: str, fmt: LogFormat = DEFAULT_FORMAT) -> str:
     """Lines written once, one folder per kind, so that a splitter reads only its own lines."""
     routed = lines.select(PERF, F.explode(line_kinds(fmt)).alias("kind"), "value")
-    routed.write.mode("overwrite").partitionBy("kind").parquet(path)
+    # gathered by kind, so that an input task does not open a file for every kind; a large kind is split
+    routed.hint("rebalance", F.col("kind")).write.mode("overwrite").partitionBy("kind").parquet(path)
     return path
 
 

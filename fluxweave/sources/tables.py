@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from fluxweave.dims import DEV, PERF
 TITLE_PATTERN = r"(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-[A-Za-z0-9]+)"
 TITLE_TIME = "yyyy-MM-dd'T'HH-mm-ss"
 ROW_TIME = "yyyy-MM-dd'T'HH:mm:ss"
+HEADER_MARK = "centroid_x"
 KINDS = "touches|events|gestures|messages|online|transitions|gesturetargets"
 # --- end of fixed values
 
@@ -39,7 +43,7 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn(PERF, performance_of("_metadata.file_path"))
 
 
-def read_table(spark: SparkSession, path: str, schema: str, keyed: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], schema: str, keyed: bool = True) -> DataFrame:
     """One kind of table for all performances under ``path`` at once."""
     df = spark.read.schema(schema).option("header", "true").csv(path)
     return _keyed(df) if keyed else df
@@ -111,12 +115,24 @@ def read_coded_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled feature vectors; the label may be called ``target`` or ``gesture``."""
-    header = spark.read.option("header", "true").csv(path).columns
-    time, *rest = header
-    schema = ", ".join([f"`{time}` TIMESTAMP", *[f"{c} {schemas.FEATURE_TYPES[c]}" for c in rest]])
-    df = read_table(spark, path, schema, keyed=False)
-    return df.withColumnRenamed(time, "time").withColumnRenamed("target", "gesture")
+    """Labelled feature vectors; the label may be called ``target`` or ``gesture``.
+
+    Every file is read by the names in its own header, in whatever order they
+    stand; the first column is the time. A column that a file lacks is NULL.
+    """
+    lines = spark.read.text(path).filter(F.col("value").contains(HEADER_MARK)).select("value", F.col("_metadata.file_path").alias("file"))
+    # files by their header line: a header for each order of columns in use, and the files that the listing has anyway
+    by_header = lines.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    if not by_header:
+        raise ValueError(f"no header with {HEADER_MARK} under {path}")
+    tables = []
+    for header, files in by_header:
+        first, *rest = next(csv.reader([header]))
+        columns = [f"`{first}` TIMESTAMP", *[f"`{c}` {schemas.FEATURE_TYPES[c]}" for c in rest]]
+        df = read_table(spark, files, ", ".join(columns), keyed=False)
+        named = df.withColumnRenamed(first, "time").withColumnRenamed("target", "gesture")
+        tables.append(named)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def discover_performances(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -149,4 +165,4 @@ def write_exact_csv(df: DataFrame, path: str, by: str | None = None) -> str:
 def gestures_wide(gestures: DataFrame, devices: list[str] | None = None) -> DataFrame:
     """One column per device, for export. ``devices`` fixes the columns."""
     pivoted = gestures.groupBy(PERF, "time").pivot(DEV, devices) if devices else gestures.groupBy(PERF, "time").pivot(DEV)
-    return pivoted.agg(F.first("gesture"))
+    return pivoted.agg(F.max("gesture"))

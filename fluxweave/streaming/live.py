@@ -7,10 +7,11 @@ only replays from the last checkpoint.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,12 +20,18 @@ from fluxweave.functions import matrix as mx
 from fluxweave.operators import transitions as tr
 from fluxweave.operators.features import vector_columns
 from fluxweave.operators.messages import route_messages
+from fluxweave.operators.ordering import CHUNK_SECONDS
 from fluxweave.session import shared_folder
 from fluxweave.sources.formats import DEFAULT_FORMAT, LogFormat
 
 DELAY = "10 seconds"
 
 
+def _span(seconds: float) -> str:
+    """Seconds, whole or not, as an interval."""
+    return f"{round(seconds * 1_000_000)} microseconds"
+
+
 def message_stream(
     spark: SparkSession,
     path: str,
@@ -60,85 +67,165 @@ def live_features(
     touches: DataFrame, width: float = FEATURE_SECONDS, slide: float = TICK_SECONDS, delay: str = DELAY
 ) -> DataFrame:
     """Vector per device over a window that slides by one tick."""
-    window = F.window("time", f"{int(width)} seconds", f"{int(slide)} seconds")
+    window = F.window("time", _span(width), _span(slide))
     grouped = touches.withWatermark("time", delay).groupBy(PERF, DEV, window)
     return grouped.agg(*vector_columns("moving")).withColumn("time", F.col("window.end"))
 
 
-def fill_idle(predicted: DataFrame, devices: DataFrame) -> DataFrame:
-    """State 0 for the active devices that a tick has no prediction for."""
-    ticks = predicted.select(PERF, "time").distinct().join(devices.select(PERF, DEV).distinct(), PERF)
-    return ticks.join(predicted.select(PERF, DEV, "time", "prediction"), [PERF, DEV, "time"], "left").select(
-        PERF, DEV, "time", F.coalesce("prediction", F.lit(0)).alias("gesture")
+def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
+    """A state for every active device at every tick: the prediction, else 0, up to the watermark.
+
+    A device is active from its first prediction on, silent or not, until a time
+    in the table ``offline`` (performance, device, time), and again from its next
+    prediction. Ticks come from the watermark: a device that has fallen silent
+    gets its zeros when the stream's time moves on. ``predicted`` holds one row
+    per device and tick, so one device is a row each tick, whatever it plays. A
+    prediction older than the watermark is dropped.
+    """
+    step, block = round(tick * 1_000_000), 100_000
+    rows = predicted.select(PERF, DEV, "time", F.col("prediction").cast("int").alias("gesture"))
+    if offline is None:
+        rows = rows.withColumn("stops", F.array().cast("array<long>"))
+    else:
+        stops = offline.groupBy(PERF, DEV).agg(F.collect_set(F.unix_micros("time")).alias("stops"))
+        rows = rows.join(stops, [PERF, DEV], "left").withColumn("stops", F.coalesce("stops", F.array().cast("array<long>")))
+
+    def ticks(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        upto = state.getCurrentWatermarkMs() * 1000
+        # the next tick to give out (None while inactive), the last one heard, when the device leaves
+        following, heard, gone = state.get if state.exists else (None, None, [])
+        given: dict[int, int] = {}
+        for part in batches:
+            micros = part["time"].to_numpy().astype("datetime64[us]").astype("int64")
+            given.update(zip(micros.tolist(), part["gesture"].tolist()))
+            gone = sorted({*gone, *(int(t) for times in part["stops"] for t in times)})
+
+        def idle(last: int) -> Iterator[tuple[int, int]]:
+            """Zeros up to ``last``, or to when the device leaves."""
+            nonlocal following
+            leaves = next((t for t in gone if t >= heard), None)
+            end = last if leaves is None else min(last, leaves)
+            while following <= end:
+                yield following, 0
+                following += step
+            if leaves is not None and last > leaves:
+                following = None
+
+        def states() -> Iterator[tuple[int, int]]:
+            nonlocal following, heard
+            for at in sorted(given):
+                if following is not None:
+                    yield from idle(at - step)
+                if following is None or at >= following:
+                    yield at, given[at]
+                    following, heard = at + step, at
+            if following is not None:
+                yield from idle(upto)
+
+        every = states()
+        while some := list(itertools.islice(every, block)):
+            yield pd.DataFrame({PERF: key[0], DEV: key[1], "time": pd.to_datetime([t for t, _ in some], unit="us"), "gesture": [g for _, g in some]})
+        if following is None:
+            if state.exists:
+                state.remove()
+            return
+        state.update((following, heard, gone))
+        # a time-out needs a watermark beyond it, a tick one that has reached it
+        state.setTimeoutTimestamp(max(following // 1000 - 1, upto // 1000))
+
+    key = rows.schema[PERF].dataType.simpleString()
+    return rows.withWatermark("time", delay).groupBy(PERF, DEV).applyInPandasWithState(
+        ticks,
+        f"{PERF} {key}, {DEV} string, time timestamp, gesture int",
+        "following long, heard long, gone array<long>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def write_gesture_log(predicted: DataFrame, devices: DataFrame, name: str, path: str | None = None) -> str:
-    """Append each tick's states, idle devices included, to a gesture log."""
-    path = path or shared_folder(predicted.sparkSession, name)
+def live_chunks(gestures: DataFrame, states: str = "group", gesture: str = "gesture", chunk: float = CHUNK_SECONDS, delay: str = DELAY) -> DataFrame:
+    """A device's rows of one chunk of time, in order, once the watermark has passed the chunk.
+
+    Rows may come in any order within ``delay``; later ones are dropped. A chunk
+    holds what a device sends in ``chunk`` seconds, so a busy device is many tasks.
+    """
+    state = F.coalesce(tr.map_state(states, gesture).cast("int"), F.lit(-1)).alias("state")
+    rows = gestures.select(PERF, DEV, "time", state).withWatermark("time", delay)
+    grouped = rows.groupBy(PERF, DEV, F.window("time", _span(chunk)).alias("chunk"))
+    return grouped.agg(F.sort_array(F.collect_list(F.struct("time", "state"))).alias("rows")).select(
+        PERF, DEV, F.col("chunk.start").alias("chunk"), "rows"
+    )
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        # one folder per batch, overwritten on a replay: every row is kept once
-        fill_idle(batch, devices).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
 
-    query = predicted.writeStream.foreachBatch(append).option("checkpointLocation", f"{path}/_state")
-    query.trigger(availableNow=True).start().awaitTermination()
-    return f"{path}/data"
+def _pairs(to: str, before: str) -> list[Column]:
+    both = (F.col(to) >= 0) & (F.col(before) >= 0)
+    return [F.when(both, F.col(to)).alias(mx.TO), F.when(both, F.col(before)).alias(mx.FROM)]
 
 
-def _step_device(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pair the rows of one device with the rows before them, across batches."""
-    rows = pd.concat(list(batches)).sort_values("time")
-    last_state, last_us = state.get if state.exists else (None, None)
-    micros = rows["time"].to_numpy().astype("datetime64[us]").astype("int64")
-    if last_us is not None:
-        rows, micros = rows[micros > last_us], micros[micros > last_us]
-    if not len(rows):
-        return
-    states = rows["state"].astype("Int64")
-    before = states.shift(1)
-    if last_us is not None:
-        before.iloc[0] = pd.NA if last_state is None or last_state < 0 else last_state
-    both = states.notna() & before.notna()
-    final = states.iloc[-1]
-    state.update((-1 if pd.isna(final) else int(final), int(micros[-1])))
-    yield pd.DataFrame(
-        {
-            PERF: key[0],
-            DEV: key[1],
-            "time": rows["time"].to_numpy(),
-            mx.TO: states.where(both).array,
-            mx.FROM: before.where(both).array,
-        }
+def inner_steps(chunks: DataFrame) -> DataFrame:
+    """State pairs of all rows but the first of each chunk; nothing is kept between chunks."""
+    each = F.transform(
+        F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))),
+        lambda r, i: F.struct(r["time"].alias("time"), r["state"].alias("to"), F.col("rows")[i]["state"].alias("before")),
+    )
+    rows = chunks.select(PERF, DEV, F.explode(each).alias("r"))
+    return rows.select(PERF, DEV, F.col("r.time").alias("time"), F.col("r.to").alias("__to"), F.col("r.before").alias("__before")).select(
+        PERF, DEV, "time", *_pairs("__to", "__before")
     )
 
 
-def live_steps(gestures: DataFrame, states: str = "group", gesture: str = "gesture") -> DataFrame:
-    """State pairs of a gesture stream; the last row of each device is kept as state.
+def first_steps(chunks: DataFrame) -> DataFrame:
+    """The pair of each chunk's first row with the last row of the device's chunk before; that row's state is kept.
 
-    Rows that arrive after a later row of the same device are dropped.
+    One short row per device and chunk reaches the stateful part. Read a chunk
+    table without a file limit: a batch then holds whole batches of the stream
+    that wrote it, and those follow each other in time.
     """
-    mapped = gestures.select(PERF, DEV, "time", tr.map_state(states, gesture).cast("int").alias("state"))
-    key = mapped.schema[PERF].dataType.simpleString()
-    return mapped.groupBy(PERF, DEV).applyInPandasWithState(
-        _step_device,
-        f"{PERF} {key}, {DEV} string, time timestamp, {mx.TO} int, {mx.FROM} int",
-        "state int, micros long",
-        "append",
-        GroupStateTimeout.NoTimeout,
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("chunk")
+        before = [state.get[0] if state.exists else -1, *rows["last_state"].tolist()]
+        state.update((int(before[-1]),))
+        yield pd.DataFrame({PERF: key[0], DEV: key[1], "time": rows["time"].to_numpy(), "__to": rows["first_state"].to_numpy(), "__before": before[:-1]})
+
+    light = chunks.select(
+        PERF, DEV, "chunk", F.col("rows")[0]["time"].alias("time"), F.col("rows")[0]["state"].alias("first_state"), F.element_at("rows", -1)["state"].alias("last_state")
+    )
+    key = chunks.schema[PERF].dataType.simpleString()
+    paired = light.groupBy(PERF, DEV).applyInPandasWithState(
+        step, f"{PERF} {key}, {DEV} string, time timestamp, __to int, __before int", "state int", "append", GroupStateTimeout.NoTimeout
     )
+    return paired.select(PERF, DEV, "time", *_pairs("__to", "__before"))
+
+
+def write_steps(
+    gestures: DataFrame, name: str, path: str | None = None, states: str = "group", chunk: float = CHUNK_SECONDS, delay: str = DELAY
+) -> str:
+    """State pairs of a gesture stream, in the folders under the returned path; read it as ``{path}/*/data``.
+
+    Rows in any order within ``delay`` give what the ordered table gives; rows
+    of chunks that are not closed yet wait in the state.
+    """
+    spark = gestures.sparkSession
+    path = path or shared_folder(spark, name)
+    chunks = run_to_table(live_chunks(gestures, states, chunk=chunk, delay=delay), name, path=f"{path}-chunks")
+    key = gestures.schema[PERF].dataType.simpleString()
+    schema = f"{PERF} {key}, {DEV} string, chunk timestamp, rows array<struct<time: timestamp, state: int>>"
+    run_to_table(inner_steps(message_stream(spark, chunks, schema)), name, path=f"{path}/inner")
+    run_to_table(first_steps(message_stream(spark, chunks, schema)), name, path=f"{path}/first")
+    return path
 
 
 def live_cells(steps: DataFrame, width: float = FLUX_SECONDS, delay: str = DELAY) -> DataFrame:
     """Transition cells per performance and tumbling window."""
-    window = F.window("time", f"{int(width)} seconds")
+    window = F.window("time", _span(width))
     grouped = steps.withWatermark("time", delay).groupBy(PERF, window, mx.TO, mx.FROM)
     return grouped.agg(F.count(mx.TO).alias(mx.N))
 
 
 def live_flux(steps: DataFrame, width: float = FLUX_SECONDS, delay: str = DELAY) -> DataFrame:
     """Flux of each closed window of the ensemble."""
-    window = F.window("time", f"{int(width)} seconds")
+    window = F.window("time", _span(width))
     grouped = steps.withWatermark("time", delay).groupBy(PERF, window)
     pairs, moved = F.count(mx.TO), F.count_if(F.col(mx.TO) != F.col(mx.FROM))
     return grouped.agg(mx.ratio_or(moved, pairs, 0.0).alias("flux")).select(
@@ -151,25 +238,42 @@ def live_state(steps: DataFrame, width: float = FLUX_SECONDS, delay: str = DELAY
     return tr.ensemble_state(live_cells(steps, width, delay), [PERF, "window"])
 
 
-def live_new_ideas(flux: DataFrame, threshold: float = NEW_IDEA_LIVE) -> DataFrame:
-    """Windows whose flux rose above the threshold; the previous flux is kept as state.
+def live_new_ideas(flux: DataFrame, threshold: float = NEW_IDEA_LIVE, delay: str = "0 seconds") -> DataFrame:
+    """Windows whose flux rose above the threshold over the window before.
 
-    Read a flux table without a file limit: a batch then holds whole batches of
-    the stream that wrote it, and those follow each other in time.
+    Windows wait in the state until the watermark has passed them and are then
+    compared in order of time, so neither batch boundaries nor windows that come
+    late within ``delay`` change what a window is compared with. A table that
+    another stream has written is read without a file limit, or with a delay that
+    covers one of that stream's batches: its files are in no order of time.
     """
 
     def rise(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("time")
-        before = rows["flux"].shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((float(rows["flux"].iloc[-1]),))
-        risen = (rows["flux"] - before) > threshold
-        yield pd.DataFrame({PERF: key[0], "time": rows["time"][risen].to_numpy(), "flux": rows["flux"][risen].to_numpy()})
+        before, times, values = state.get if state.exists else (None, [], [])
+        waiting = dict(zip(times, values))
+        for rows in batches:
+            micros = rows["time"].to_numpy().astype("datetime64[us]").astype("int64")
+            waiting.update(zip(micros.tolist(), rows["flux"].tolist()))
+        upto = state.getCurrentWatermarkMs() * 1000
+        risen: list[tuple[int, float]] = []
+        for at in sorted(t for t in waiting if t <= upto):
+            value = waiting.pop(at)
+            if before is not None and value - before > threshold:
+                risen.append((at, value))
+            before = value
+        left = sorted(waiting)
+        state.update((before, left, [waiting[t] for t in left]))
+        if left:
+            state.setTimeoutTimestamp(max(left[0] // 1000 - 1, upto // 1000))
+        yield pd.DataFrame({PERF: key[0], "time": pd.to_datetime([t for t, _ in risen], unit="us"), "flux": [v for _, v in risen]})
 
     key = flux.schema[PERF].dataType.simpleString()
-    return flux.groupBy(PERF).applyInPandasWithState(
-        rise, f"{PERF} {key}, time timestamp, flux double", "flux double", "append", GroupStateTimeout.NoTimeout
+    return flux.withWatermark("time", delay).groupBy(PERF).applyInPandasWithState(
+        rise,
+        f"{PERF} {key}, time timestamp, flux double",
+        "before double, times array<long>, fluxes array<double>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -189,9 +293,12 @@ def live_sources(messages: DataFrame) -> DataFrame:
     )
 
 
-def run_updates(stream: DataFrame, name: str) -> str:
-    """Run an aggregate in update mode; each batch's changed rows go to one folder."""
-    path = shared_folder(stream.sparkSession, name)
+def run_updates(stream: DataFrame, name: str, path: str | None = None) -> str:
+    """Run an aggregate in update mode; each batch's changed rows go to one folder, overwritten on a replay.
+
+    Called again with the same ``path`` it goes on where it stopped.
+    """
+    path = path or shared_folder(stream.sparkSession, name)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
@@ -203,7 +310,7 @@ def run_updates(stream: DataFrame, name: str) -> str:
 
 def live_sessions(touches: DataFrame, gap: float, delay: str = DELAY) -> DataFrame:
     """A device's stretch of activity; it ends when the device is silent for ``gap`` seconds."""
-    session = F.session_window("time", f"{int(gap)} seconds")
+    session = F.session_window("time", _span(gap))
     grouped = touches.withWatermark("time", delay).groupBy(PERF, DEV, session.alias("session"))
     return grouped.agg(F.count(F.lit(1)).alias("touches")).select(
         PERF, DEV, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "touches"

@@ -42,9 +42,17 @@ def test_columns_are_pruned(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in text
 
 
-def test_row_limit_runs_before_the_shuffle(spark):
-    text = plan(ms.retain_rows(tv.gestures(spark, SMOKE)))
-    assert text.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("ticks", [300, 5000])
+def test_no_key_is_sorted_whole_for_its_last_ticks(spark, ticks):
+    text = plan(ms.retain_ticks(tv.gestures(spark, SMOKE), ticks))
+    windows = [line for line in text.splitlines() if "Window [" in line or "WindowGroupLimit" in line]
+    assert windows and all("__chunk" in line for line in windows)
+
+
+def test_touches_stay_where_they_are(spark):
+    """One row per performance is brought to the touches, which are not shuffled for it."""
+    text = plan(ms.with_elapsed(tv.touches(spark, SMOKE)))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
 def test_windows_over_rows_are_cut_into_chunks(spark):

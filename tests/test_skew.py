@@ -80,3 +80,12 @@ def test_folds(hot):
     assert largest_share(out) < 0.3
     sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
     assert sizes == [ROWS / 10] * 10
+
+
+def test_year_of_silence(hot):
+    """A gap becomes blocks of steps that are spread over the tasks."""
+    ends = hot.filter(F.col("time") == F.timestamp_micros(F.lit(0))).select(PERF, "time", F.lit(0.5).alias("flux"))
+    year = ends.unionByName(ends.withColumn("time", F.col("time") + F.expr("INTERVAL 365 DAYS")))
+    filled = se.forward_fill(year, [PERF], "time", ["flux"], 60, 3600)
+    assert filled.count() == 365 * 24 * 60 + 1
+    assert largest_share(filled) < 0.3
