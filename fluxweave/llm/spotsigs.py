@@ -27,28 +27,59 @@ COMMON = (
     "al como con de del el en es la las lo los no para por que se su un una y"
 )
 CHAIN = 2
+NO_WORD = r"[\x00-/:-@\[-`{-\x7f]+"
 ROWS_PER_CHUNK = 256
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that tells them apart letter by letter."""
+    heads = sorted({w[0] for w in words if w})
+    parts = []
+    for head in heads:
+        tails = [w[1:] for w in words if w.startswith(head)]
+        parts.append(head + (_any_of([t for t in tails if t]) + ("?" if "" in tails else "") if any(tails) else ""))
+    return f"(?:{'|'.join(parts)})"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, wherever and however often ``use`` has it, inner loops included."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def signatures(text: Column, common: str = COMMON, chain: int = CHAIN) -> Column:
     """Sorted set of 32-bit signature hashes; null text counts as empty.
 
-    Words are runs of letters, marks and digits, in lower case. A text with
-    words but no whole chain has one signature, its words; one without words has none.
+    Words are runs of characters other than ASCII spaces, marks and controls, in
+    lower case. A text with words but no whole chain has one signature, its
+    words; one without words has none.
     """
-    any_ = "|".join(sorted(set(common.split()), key=lambda w: (-len(w), w)))
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(" "))
-    headed = F.regexp_replace(norm, rf" ((?:{any_}) )++(?=[^ ])", "\n$1")  # the last common word of a run begins a spot
-    spots = F.split(F.regexp_replace(headed, rf"(?: (?:{any_}))*+ $", ""), "\n")
-
-    def chained(spot: Column, i: Column) -> Column:
-        after = [F.get(spots, i + k) for k in range(1, chain)]
-        content = [F.coalesce(F.substr(s, F.locate(" ", s)), F.lit("")) for s in after]
-        return F.substring_index(F.concat(spot, *content), " ", chain + 1)
-
-    whole = F.filter(F.transform(spots, chained), lambda s, i: (i > 0) & (F.length(s) - F.length(F.replace(s, F.lit(" "))) == chain))
-    found = F.array_sort(F.array_distinct(F.transform(whole, lambda s: F.hash(s))))
-    return F.when(F.size(found) > 0, found).when(norm == "  ", F.array().cast("array<int>")).otherwise(F.array(F.hash(norm)))
+    any_ = _any_of(common.split())
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_WORD, " ")), F.lit(" "))
+
+    def spots(words: Column) -> Column:
+        """Texts from the last common word of a run up to the next run; first what comes before any."""
+        parts = F.split(F.regexp_replace(words, rf" ({any_} )++(?=[^ ])", "\n$1"), "\n")
+        return _once(parts, lambda p: F.concat(F.slice(p, F.lit(1), F.size(p) - 1), F.array(F.regexp_replace(F.element_at(p, -1), rf"(?: {any_})*+ $", ""))))
+
+    def chains(parts: Column) -> Column:
+        def chained(spot: Column, i: Column) -> Column:
+            after = [F.get(parts, i + k) for k in range(1, chain)]
+            content = [F.coalesce(F.substr(s, F.locate(" ", s)), F.lit("")) for s in after]
+            own = F.substring_index(spot, " ", chain + 1)
+            longer = F.substring_index(F.concat(spot, *content), " ", chain + 1)
+            return F.when(F.octet_length(own) < F.octet_length(spot), own).otherwise(longer)
+
+        # every spot has a content word, so only the last spots can fall short of a chain
+        sure = F.size(parts) - chain
+        enough = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) == chain
+        whole = F.filter(F.transform(parts, chained), lambda s, i: (i > 0) & ((i <= sure) | enough(s)))
+        return F.sort_array(F.array_distinct(F.transform(whole, lambda s: F.hash(s))))
+
+    def chosen(words: Column) -> Column:
+        found = _once(_once(spots(words), chains), lambda sigs: F.when(F.size(sigs) > 0, sigs).otherwise(F.array(F.hash(words))))
+        return F.when(words == "  ", F.array().cast("array<int>")).otherwise(found)
+
+    return _once(norm, chosen)
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -10,7 +10,7 @@ COMMON = set(ss.COMMON.split())
 
 
 def brute_signatures(text):
-    words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    words = [w for w in re.sub(r"[\x00-/:-@\[-`{-\x7f]+", " ", (text or "").lower()).split(" ") if w]
     found = set()
     for i, w in enumerate(words[:-1]):
         if w in COMMON and words[i + 1] not in COMMON:
