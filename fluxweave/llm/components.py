@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.tables import stored
 
 
-def _small_star(down: DataFrame) -> DataFrame:
+BROADCAST_LINKS = 1_000_000  # minima of so many links, two numbers each, are broadcast; beyond it the join is left to Spark
+
+
+def _small_star(down: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = down.join(side(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _large_star(down: DataFrame) -> DataFrame:
+def _large_star(down: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _all_stars(down: DataFrame) -> bool:
@@ -38,7 +43,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now = stored(down, name)
     while not _all_stars(now):
-        now = stored(_small_star(_large_star(now)), name)
+        side = F.broadcast if now.count() <= BROADCAST_LINKS else lambda df: df
+        now = stored(_small_star(_large_star(now, side), side), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

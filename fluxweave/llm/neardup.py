@@ -4,8 +4,10 @@ Documents with the same words are one node. Document frequencies come from all
 documents through a table of fixed size that shingles share by hash. Each node
 is sampled by improved consistent weighted sampling and banded; nodes of a
 band's bucket are linked to the bucket's hub only, which joins candidates into
-clusters in linear work. Inside a cluster weighted Jaccard similarity decides:
-every node is held against the cluster's hub, and the nodes that the hub does
+clusters in linear work. Inside a cluster the Jaccard similarity decides,
+weighted by count and idf or plain, whichever is larger: idf weighs the words
+of an edit more than the words that copies share, and must not part texts that
+share enough of them. Every node is held against the cluster's hub, and the nodes that the hub does
 not take are held against all nodes of the cluster, in blocks. Nodes that the
 hub takes are one class already and need no comparison among themselves.
 """
@@ -128,7 +130,10 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, items, weights): the shingles of every text in ascending order, repeated ones numbered, with their weights."""
+    """(doc_id, items, weights): the shingles of every text in ascending order, repeated ones numbered, with their weights.
+
+    A negative weight marks a repeat of a shingle that the text already has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
@@ -137,13 +142,14 @@ def weighted_sets(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             at = np.repeat(np.arange(len(names)), count)
             turn = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
             items = np.where(turn > 0, mix(names[at] + turn.astype(np.uint64) * _ODD[1]), names[at])
+            signed_weight = np.where(turn > 0, -weight[at], weight[at])
             order = np.lexsort((items, row[at]))
             cuts = pa.array(np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.ListArray.from_arrays(cuts, pa.array(items[order].view(np.int64))),
-                    pa.ListArray.from_arrays(cuts, pa.array(weight[at][order])),
+                    pa.ListArray.from_arrays(cuts, pa.array(signed_weight[order])),
                 ],
                 ["doc_id", "items", "weights"],
             )
@@ -154,10 +160,14 @@ def weighted_sets(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def likeness(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard of two sets whose common items weigh the same in both."""
-    common = float(wa[np.isin(a, b, assume_unique=True)].sum(dtype=np.float64))
-    union = float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - common
-    return common / union if union > 0 else 0.0
+    """The larger of the weighted Jaccard similarity and the plain one of two sets as ``weighted_sets`` gives them."""
+    common = wa[np.isin(a, b, assume_unique=True)]
+    out = 0.0
+    for measure in (np.abs, lambda w: w > 0):
+        met = measure(common).sum(dtype=np.float64)
+        union = measure(wa).sum(dtype=np.float64) + measure(wb).sum(dtype=np.float64) - met
+        out = max(out, met / union if union > 0 else 0.0)
+    return float(out)
 
 
 def _taken_by_hub(pairs: DataFrame, similar: float) -> DataFrame:
@@ -183,18 +193,22 @@ def _links_in_block(similar: float):
         items, weights = np.concatenate([*all_["items"]]), np.concatenate([*all_["weights"]])
         cuts = np.cumsum([0, *all_["items"].map(len)])
         nodes = all_.node.to_numpy()
-        totals = np.array([w.sum(dtype=np.float64) for w in all_["weights"]])
         order = np.argsort(items, kind="stable")
         owner = np.repeat(np.arange(len(nodes)), np.diff(cuts))[order]
-        items, weights = items[order], weights[order].astype(np.float64)
+        items, weights = items[order], weights[order]
+        measures = [lambda w: np.abs(w).astype(np.float64), lambda w: (w > 0).astype(np.float64)]
+        sizes = [measure(weights) for measure in measures]
+        totals = [np.bincount(owner, weights=size, minlength=len(nodes)) for size in sizes]
         links = []
         for node, item, weight in zip(mine.node, mine["items"], mine["weights"]):
-            own = weight.sum(dtype=np.float64)
             low, high = np.searchsorted(items, item, "left"), np.searchsorted(items, item, "right")
             met = high - low
             at = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
-            common = np.bincount(owner[at], weights=weights[at], minlength=len(nodes))
-            for other in nodes[common >= similar * (own + totals - common) - 1e-9]:
+            alike = np.zeros(len(nodes), bool)
+            for measure, size, total in zip(measures, sizes, totals):
+                common = np.bincount(owner[at], weights=size[at], minlength=len(nodes))
+                alike |= common >= similar * (measure(weight).sum() + total - common) - 1e-9
+            for other in nodes[alike]:
                 a, b = root(int(node)), root(int(other))
                 if a != b:  # a link inside what is joined already says nothing new
                     group[max(a, b)] = min(a, b)
@@ -227,31 +241,33 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     edges = stored(edges, "near-candidates")
     clusters = components(edges, "near-clusters")
     degree = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    members = stored(clusters.join(degree, "node").join(nodes.select("node", "copies").groupBy("node").agg(F.max("copies").alias("copies")), "node"), "near-members")
-    chosen = members.select("node", "root", "copies", "degree")
+    copies = nodes.groupBy("node").agg(F.max("copies").alias("copies"))
+    chosen = stored(copies.join(_few(clusters), "node").join(degree, "node").select("node", "root", "copies", "degree"), "near-members")
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     texts = own.join(_few(chosen.select("node")), "node").withColumnRenamed("node", "doc_id")
-    sets = stored(weighted_sets(texts, idf).withColumnRenamed("doc_id", "node").join(chosen, "node"), "near-sets")
-    hub = sets.select("root", "node", "copies", "degree").groupBy("root").agg(
-        F.max(F.struct("copies", "degree", F.negate("node").alias("key"))).alias("top"), F.count(F.lit(1)).alias("size")
-    ).select("root", F.negate("top.key").alias("hub"), "size")
-    hub_sets = sets.join(hub, "root").filter("node = hub").select(
+    top = F.max(F.struct("copies", "degree", F.negate("node").alias("key"))).alias("top")
+    hub = chosen.groupBy("root").agg(top, F.count(F.lit(1)).alias("size")).select("root", F.negate("top.key").alias("hub"), "size")
+    hub = stored(hub, "near-hubs")
+    sets = weighted_sets(texts, idf).withColumnRenamed("doc_id", "node").join(_few(chosen.select("node", "root")), "node")
+    sets = stored(sets, "near-sets")
+    hub_sets = sets.join(_few(hub), "root").filter("node = hub").select(
         "root", "hub", F.col("items").alias("hub_items"), F.col("weights").alias("hub_weights")
     )
     held = stored(_taken_by_hub(sets.join(hub_sets, "root").filter("node <> hub"), similar), "near-held")
     asking = held.filter(~F.col("taken")).select("root", "node")
-    open_ = hub.filter("size > 2").join(asking.select("root").distinct(), "root").select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = _few(hub).filter("size > 2").join(asking.select("root").distinct(), "root").select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = stored(open_, "near-open")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     there = sets.select("root", "node", "items", "weights").join(_few(open_), "root").withColumn("block", block)
-    asks = there.join(asking, ["root", "node"], "left_semi").withColumn("asks", F.lit(True)).withColumn("mine", F.col("block")).withColumn("theirs", F.explode(every))
+    asks = there.join(_few(asking), ["root", "node"], "left_semi").withColumn("asks", F.lit(True)).withColumn("mine", F.col("block")).withColumn("theirs", F.explode(every))
     all_ = there.withColumn("asks", F.lit(False)).withColumn("theirs", F.col("block")).withColumn("mine", F.explode(every))
     # dealt by block: by the cluster alone, all blocks of a large one would meet in one task
     blocks = asks.unionByName(all_).repartition("root", "mine", "theirs")
     rest = blocks.groupBy("root", "mine", "theirs").applyInPandas(_links_in_block(similar), "u long, v long")
     links = held.filter("taken").select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(rest)
     classes = components(links, "near-classes")
-    of_node = marks.join(nodes.select("words_key", "node"), "words_key").select("doc_id", "node").join(classes, "node", "left")
+    of_node = marks.join(nodes.select("words_key", "node"), "words_key").select("doc_id", "node").join(_few(classes), "node", "left")
     found = of_node.select("doc_id", F.coalesce("root", "node").alias("class_id")).unionByName(
         marks.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
     )

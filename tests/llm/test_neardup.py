@@ -34,7 +34,8 @@ def brute_classes(texts, idf, similar=0.8):
         x, y = sets[a], sets[b]
         low = sum(min(x[k][0], y[k][0]) * x[k][1] for k in x.keys() & y.keys())
         high = sum(c * w for s in (x, y) for c, w in s.values()) - low
-        if high and low / high >= similar:
+        plain = len(x.keys() & y.keys()) / max(len(x.keys() | y.keys()), 1)
+        if high and max(low / high, plain) >= similar:
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
     return {i: find(i) for i in texts}
