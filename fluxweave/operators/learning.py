@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from fluxweave.session import path_exists, shared_folder
 
 # the most that Spark allows; trees end earlier, where their leaves are pure
 DEPTH = 30
+SIDE_BY_SIDE = 8  # models that cross-validation fits at a time
 
 
 def _vectors(columns: Sequence[str]) -> VectorAssembler:
@@ -155,18 +157,22 @@ def cross_validate(
 ) -> DataFrame:
     """Predictions of every row by a model that has not seen its fold.
 
-    The loop is over models, not rows; each fit and each prediction is a Spark
-    job. The folds of a run are written once to the shared folder, so the fits
-    read them instead of numbering the rows again.
+    The folds of a run are written once to the shared folder, so the fits read
+    them instead of numbering the rows again. The models are fitted side by
+    side: each is a series of small Spark jobs that leave most of a cluster idle.
     """
-    spark, parts = df.sparkSession, []
+    spark, splits = df.sparkSession, []
     for run in range(runs):
         path = shared_folder(spark, f"folds-{run}")
         stratified_folds(df, label, identity, folds, run).withColumn("run", F.lit(run)).write.parquet(path)
-        split = spark.read.parquet(path)
-        for k in range(folds):
-            model = train_forest(training_rows(split, k), columns, label, seed=run * folds + k, **options)
-            parts.append(classify(model, split.filter(F.col("fold") == k)))
+        splits.append(spark.read.parquet(path))
+
+    def fitted(run: int, k: int) -> DataFrame:
+        model = train_forest(training_rows(splits[run], k), columns, label, seed=run * folds + k, **options)
+        return classify(model, splits[run].filter(F.col("fold") == k))
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        parts = list(pool.map(lambda job: fitted(*job), [(run, k) for run in range(runs) for k in range(folds)]))
     return reduce(DataFrame.unionByName, parts).select("run", "fold", *identity, label, "prediction")
 
 

@@ -11,7 +11,7 @@ from fluxweave.operators import study as st
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
 from fluxweave.plans import testviews as tv
 from fluxweave.plans.catalog.base import iso, query, rounded, rounded_sql
-from fluxweave.plans.catalog.vectors import tumbling, tumbling_sql
+from fluxweave.plans.catalog.vectors import rolling, rolling_sql, tumbling, tumbling_sql
 from fluxweave.plans.testviews import TICK, VECTOR, with_sql
 from fluxweave.session import shared_folder
 
@@ -85,18 +85,29 @@ def bootstrap_sample(spark, d):
     return ln.bootstrap(vectors(spark, d), ["vec_id"], seed=4).select("draw", "vec_id")
 
 
-@query("forest_predictions")
-def forest_predictions(spark, d):
+def forest_guesses(spark, d):
+    """Predictions of a forest of full size for the rows it was not trained on."""
     split = ln.train_mask(vectors(spark, d), ["vec_id"], 0.8)
-    model = ln.train_forest(split.filter("is_train"), XS, "label", trees=20, depth=8)
+    model = ln.train_forest(split.filter("is_train"), XS, "label")
     return ln.classify(model, split.filter("NOT is_train")).select("vec_id", "label", "prediction")
 
 
+@query(
+    "forest_predictions",
+    f"SELECT vec_id, label, true AS is_label FROM embeddings WHERE {UNIT.format(h=HASH.format(seed=0))} >= CAST(0.8 AS DOUBLE)",
+)
+def forest_predictions(spark, d):
+    """Every test row once, with a prediction among the labels."""
+    labels = vectors(spark, d).select(F.col("label").alias("prediction"), F.lit(True).alias("is_label")).distinct()
+    guesses = forest_guesses(spark, d).join(labels, "prediction", "left")
+    return guesses.select("vec_id", "label", F.coalesce("is_label", F.lit(False)).alias("is_label"))
+
+
 @query("forest_stored_and_loaded", tumbling_sql("SELECT true AS same, count(*) AS n FROM vectors"))
 def forest_stored_and_loaded(spark, d):
     """The first call trains and stores, the second loads; both must agree."""
     path, rows = shared_folder(spark, "model"), labelled(spark, d)
-    first = ln.load_or_train(spark, path, rows, trees=10, depth=5)
+    first = ln.load_or_train(spark, path, rows)
     second = ln.load_or_train(spark, path, rows)
     keys = [PERF, DEV, "time"]
     a = ln.classify(first, rows).select(*keys, F.col("prediction").alias("trained"))
@@ -104,27 +115,71 @@ def forest_stored_and_loaded(spark, d):
     return a.join(b, keys).groupBy((F.col("trained") == F.col("loaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("forest_importances")
+@query(
+    "forest_importances",
+    "SELECT 8 AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS below_zero FROM (SELECT count(*) FROM events)",
+)
 def forest_importances(spark, d):
-    return ln.importances(ln.train_forest(labelled(spark, d), trees=20, depth=6))
+    """All features, none below 0, adding up to 1."""
+    ranked = ln.importances(ln.train_forest(labelled(spark, d)))
+    return ranked.agg(
+        F.count_distinct("feature").cast("int").alias("features"),
+        rounded(F.sum("importance"), "total"),
+        F.count_if(F.col("importance") < 0).alias("below_zero"),
+    )
+
+
+FOLDS, RUNS = 10, 2
+_FOLD_OF = " UNION ALL ".join(
+    f"SELECT {r} AS run, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {HASH.format(seed=r)}, vec_id) - 1) % {FOLDS} AS INT) AS fold FROM embeddings"
+    for r in range(RUNS)
+)
+
+
+def cross_validated(spark, d):
+    """Predictions of every row by forests of full size that have not seen its fold."""
+    return ln.cross_validate(vectors(spark, d), XS, "label", ["vec_id"], folds=FOLDS, runs=RUNS)
 
 
-@query("forest_cross_validation")
+@query("forest_cross_validation", f"SELECT run, fold, count(*) AS n, true AS in_range FROM ({_FOLD_OF}) GROUP BY run, fold")
 def forest_cross_validation(spark, d):
-    predictions = ln.cross_validate(vectors(spark, d), XS, "label", ["vec_id"], folds=3, runs=1, trees=10, depth=6)
-    return ln.fold_scores(predictions, "label")
+    """Every fold of every run with all its rows and an accuracy between 0 and 1."""
+    scores = ln.fold_scores(cross_validated(spark, d), "label")
+    return scores.select("run", "fold", "n", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
-@query("forest_confusion")
+@query(
+    "forest_confusion",
+    f"SELECT label, count(*) * {RUNS} AS n, {rounded_sql('count(*) / CAST((SELECT count(*) FROM embeddings) AS DOUBLE)', 'share')} FROM embeddings GROUP BY label",
+)
 def forest_confusion(spark, d):
-    predictions = ln.cross_validate(vectors(spark, d), XS, "label", ["vec_id"], folds=3, runs=1, trees=10, depth=6)
-    return st.confusion(predictions, [], target="label")
+    """Rows of the confusion matrix: true labels with all their rows and their share."""
+    cells = st.confusion(cross_validated(spark, d), [], target="label")
+    return cells.groupBy("label").agg(F.sum("n").alias("n"), rounded(F.sum("share"), "share"))
+
 
+def scored_touches(spark, d):
+    """State of every device at every tick by a forest of full size."""
+    return ln.gesture_score(ln.train_forest(labelled(spark, d)), tv.touches(spark, d), VECTOR, TICK)
 
-@query("gesture_score")
+
+@query(
+    "gesture_score",
+    rolling_sql(
+        """SELECT g.performance_id, g.device_id, count(*) FILTER (v.time IS NULL) AS silent, count(*) FILTER (v.time IS NULL) AS silent_and_idle
+        FROM every g LEFT JOIN vectors v ON v.performance_id = g.performance_id AND v.device_id = g.device_id AND v.time = g.tick GROUP BY 1, 2""",
+        every=f"""SELECT performance_id, device_id, unnest(generate_series(lo, hi, INTERVAL {TICK} SECOND)) AS tick FROM
+        (SELECT DISTINCT performance_id, device_id FROM touches) JOIN
+        (SELECT performance_id, {tv.bin_sql('min(time)', TICK)} AS lo, {tv.bin_sql('max(time)', TICK)} AS hi FROM touches GROUP BY 1) USING (performance_id)""",
+    ),
+)
 def gesture_score(spark, d):
-    model = ln.train_forest(labelled(spark, d), trees=20, depth=6)
-    return ln.gesture_score(model, tv.touches(spark, d), VECTOR, TICK).select(PERF, DEV, iso("time"), "gesture")
+    """Ticks without any touch in reach are idle, at every tick of the performance."""
+    heard = rolling(spark, d).select(PERF, DEV, "time", F.lit(1).alias("heard"))
+    silent = F.col("heard").isNull()
+    return scored_touches(spark, d).join(heard, [PERF, DEV, "time"], "left").groupBy(PERF, DEV).agg(
+        F.count_if(silent).alias("silent"), F.count_if(silent & (F.col("gesture") == 0)).alias("silent_and_idle")
+    )
 
 
 BAYES_XS = XS
@@ -190,7 +245,7 @@ def bayes_of_performance(spark, d):
 )
 def gesture_score_coverage(spark, d):
     """Every device has one state in range at every tick of its performance."""
-    return gesture_score(spark, d).groupBy(PERF, DEV).agg(
+    return scored_touches(spark, d).groupBy(PERF, DEV).agg(
         F.count(F.lit(1)).alias("ticks"), F.count_if(~F.col("gesture").between(0, 8)).alias("outside")
     )
 
