@@ -49,7 +49,7 @@ BIAS, IN_ARTICLE, ARTICLE_CLASS, IN_BOILER, LINKED, LENGTH, SENTENCE, HEADING, O
 NEXT_TO, SAME_PARENT = 0.6, 0.8  # costs of parting neighbours, the second fading with their distance in the tree
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     number: int
@@ -59,7 +59,7 @@ class Node:
     depth: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     path: tuple[Node, ...]
     parts: list[str] = field(default_factory=list)
@@ -115,20 +115,19 @@ class PageBlocks(HTMLParser):
                 self._close_last(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "menu", "select")))
         if tag in VOID_TAGS:
             return
-        given = dict(attrs)
-        names = f"{given.get('class') or ''} {given.get('id') or ''}"
-        inside = any(n.article for n in self.open)
-        article = tag in ("article", "main") or given.get("role") in ("main", "article")
-        boiler = (
-            tag in BOILER_TAGS
-            or (tag == "header" and not inside)
-            or given.get("role") in BOILER_ROLES
-            or (tag not in ("body", "html", "article", "main") and bool(BOILER_NAME.search(names)))
-            or "hidden" in given
-            or given.get("aria-hidden") == "true"
-        )
+        article = tag in ("article", "main")
+        boiler = tag in BOILER_TAGS or (tag == "header" and not any(n.article for n in self.open))
+        named = False
+        if attrs:
+            given = dict(attrs)
+            names = f"{given.get('class') or ''} {given.get('id') or ''}"
+            article = article or given.get("role") in ("main", "article")
+            boiler = boiler or given.get("role") in BOILER_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+            if names != " ":
+                named = bool(ARTICLE_NAME.search(names))
+                boiler = boiler or (tag not in ("body", "html", "article", "main") and bool(BOILER_NAME.search(names)))
         self.count += 1
-        self.open.append(Node(tag, self.count, boiler, article, bool(ARTICLE_NAME.search(names)), len(self.open)))
+        self.open.append(Node(tag, self.count, boiler, article, named, len(self.open)))
         self.has_article = self.has_article or article
         self.unseen += tag in UNSEEN_TAGS
         self.links += tag == "a"

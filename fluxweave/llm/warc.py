@@ -15,14 +15,13 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm.html_text import page_blocks
+from fluxweave.llm.html_text import PageBlocks
 from fluxweave.llm.tables import schema_with, table
 
 VERSION, END = "WARC/1.1", b"\r\n"
@@ -88,28 +87,33 @@ def http_body(fields: dict[str, str], body: bytes) -> bytes:
     return body
 
 
-class _Facts(HTMLParser):
-    """Title and links of a page."""
+class _Facts(PageBlocks):
+    """Blocks, title and links of a page, from one pass."""
 
     def __init__(self, base: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.base, self.title, self.links, self._in_title = base, [], [], False
+        super().__init__()
+        self.base, self.title, self.found, self._in_title = base, [], [], False
 
     def handle_starttag(self, tag, attrs):
-        self._in_title = tag == "title" and not self.title
-        href = dict(attrs).get("href") if tag in ("a", "area", "link") else None
-        if href:
-            try:
-                self.links.append((tag, urljoin(self.base, href.strip())))
-            except ValueError:
-                self.links.append((tag, href.strip()))
+        if tag in ("a", "area", "link"):
+            href = dict(attrs).get("href")
+            if href:
+                try:
+                    self.found.append((tag, urljoin(self.base, href.strip())))
+                except ValueError:
+                    self.found.append((tag, href.strip()))
+        else:
+            self._in_title = tag == "title" and not self.title
+        super().handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         self._in_title = self._in_title and tag != "title"
+        super().handle_endtag(tag)
 
     def handle_data(self, data):
         if self._in_title:
             self.title.append(data)
+        super().handle_data(data)
 
 
 def charset_of(fields: dict[str, str]) -> str:
@@ -135,11 +139,11 @@ def derive(response: dict) -> list[dict]:
     text, title, links = "", "", []
     if kind in ("text/html", "application/xhtml+xml", ""):
         page = body.decode(charset_of(fields), "replace")
-        text = "\n".join(b.text for b in page_blocks(page)[0])
         facts = _Facts(response["target_uri"] or "")
         facts.feed(page)
         facts.close()
-        title, links = " ".join("".join(facts.title).split()), facts.links
+        text = "\n".join(b.text for b in facts.blocks)
+        title, links = " ".join("".join(facts.title).split()), facts.found
     elif kind.startswith("text/"):
         text = body.decode(charset_of(fields), "replace")
     plain = text.encode()
