@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from fluxweave.llm.components import components
 from fluxweave.llm.tables import schema_with, stored, table
 
 COSINE = 0.98
-BITS, TABLES = 16, 32  # at a cosine of 0.98 a pair meets in no table once in a million times
+BITS, TABLES = 20, 44  # at a cosine of 0.98 a pair meets in no table once in a million times
 BLOCK = 1024
 
 
@@ -38,52 +37,99 @@ def with_signs(nodes: DataFrame, bits: int = BITS, tables: int = TABLES) -> Data
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits)
         for batch in batches:
-            signs = []
-            for vector in batch.column("vector"):
-                x = vector.values.to_numpy()
-                if len(x) not in planes:
-                    planes[len(x)] = _planes(len(x), bits, tables)
-                signs.append((((x @ planes[len(x)]) > 0).reshape(tables, bits) @ weights).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.list_(pa.int32()))], [*batch.schema.names, "signs"])
+            vectors = batch.column("vector")
+            cuts, values = np.asarray(vectors.offsets), vectors.values.to_numpy()
+            widths = np.diff(cuts)
+            signs = np.zeros((batch.num_rows, tables), np.int32)
+            for width in np.unique(widths).tolist():
+                if width not in planes:
+                    planes[width] = _planes(width, bits, tables)
+                rows = np.flatnonzero(widths == width)
+                x = values[cuts[rows][:, None] + np.arange(width)]
+                signs[rows] = ((x @ planes[width]) > 0).reshape(len(rows), tables, bits) @ weights
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(signs.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "signs"])
 
     return nodes.mapInArrow(run, schema)
 
 
+PLACE = ["label", "width", "bucket_table", "bucket"]
+GROUP = [*PLACE, "low", "high"]
+
+
+def _links_of_group(table: int, within: bool, side, node, copies, x, signs, cosine: float) -> tuple[list, list, list]:
+    """Number of links of every node of two blocks of a bucket (or of one), and a spanning forest of them."""
+    a = np.arange(len(node)) if within else np.flatnonzero(side == 0)
+    b = a if within else np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return [], [], []
+    norm = np.sqrt((x * x).sum(1))
+    linked = (x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine
+    for earlier in range(table):
+        linked &= signs[a, earlier][:, None] != signs[b, earlier][None]
+    if within:
+        np.fill_diagonal(linked, False)
+    if not linked.any():
+        return [], [], []
+    nodes, counts, others = [], [], []
+    for rows, sums in ((a, linked @ copies[b]), (b, linked.T @ copies[a]))[: 1 if within else 2]:
+        some = sums > 0
+        nodes += node[rows[some]].tolist()
+        counts += sums[some].tolist()
+        others += [None] * int(some.sum())
+    group = {int(i): int(i) for i in node}
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for i in range(len(a)):
+        for other in node[b[linked[i]]].tolist():
+            p, q = root(int(node[a[i]])), root(other)
+            if p != q:
+                group[max(p, q)] = min(p, q)
+                nodes.append(int(node[a[i]]))
+                counts.append(0)
+                others.append(other)
+    return nodes, counts, others
+
+
 def _compare(cosine: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        within = pdf.low.iloc[0] == pdf.high.iloc[0]
-        if within:
-            b = a
-        if not len(a) or not len(b):
-            return pd.DataFrame({"node": pd.array([], "int64"), "n": pd.array([], "int64"), "other": pd.array([], "Int64")})
-        xa, xb = (np.stack([*x.vector]).astype(np.float64) for x in (a, b))
-        na, nb = (np.sqrt((x * x).sum(1)) for x in (xa, xb))
-        linked = (xa @ xb.T) / np.outer(na, nb) >= cosine
-        sa, sb = np.stack([*a.signs]), np.stack([*b.signs])
-        for earlier in range(int(pdf.bucket_table.iloc[0])):
-            linked &= sa[:, earlier][:, None] != sb[:, earlier][None]
-        if within:
-            np.fill_diagonal(linked, False)
-        ids_a, ids_b = a.node.to_numpy(), b.node.to_numpy()
-        count = {}
-        for ids, sums in ((ids_a, linked @ b.copies.to_numpy()), (ids_b, linked.T @ a.copies.to_numpy()))[: 1 if within else 2]:
-            count |= dict(zip(ids.tolist(), sums.tolist()))
-        out = [(i, int(c), None) for i, c in count.items() if c]
-        group = {int(i): int(i) for i in [*ids_a, *ids_b]}
-
-        def root(x: int) -> int:
-            while group[x] != x:
-                group[x] = x = group[group[x]]
-            return x
-
-        for i in range(len(ids_a)):
-            for other in ids_b[linked[i]].tolist():
-                x, y = root(int(ids_a[i])), root(other)
-                if x != y:
-                    group[max(x, y)] = min(x, y)
-                    out.append((int(ids_a[i]), 0, other))
-        return pd.DataFrame({"node": [r[0] for r in out], "n": [r[1] for r in out], "other": pd.array([r[2] for r in out], "Int64")})
+    """Links of the groups in rows that are sorted by GROUP; a group may reach over batches."""
+
+    def found(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket_table", "low", "high", "side", "node", "copies")}
+        lists = {c: (np.asarray(batch.column(c).offsets), batch.column(c).values.to_numpy()) for c in ("vector", "signs")}
+        out: tuple[list, list, list] = ([], [], [])
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a < 2:
+                continue
+            x, signs = (values[at[a] : at[b]].reshape(b - a, -1) for at, values in (lists["vector"], lists["signs"]))
+            made = _links_of_group(
+                int(column["bucket_table"][a]), column["low"][a] == column["high"][a], *(column[c][a:b] for c in ("side", "node", "copies")), x, signs, cosine
+            )
+            for whole, part in zip(out, made):
+                whole += part
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "n", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            fresh = np.zeros(batch.num_rows - 1, bool)
+            for key in GROUP:
+                values = batch.column(key).to_numpy(zero_copy_only=False)
+                fresh |= values[1:] != values[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+            if len(cuts) > 1:
+                yield found(batch, cuts)
+            held = batch.slice(int(cuts[-1]))
+        if held is not None:
+            yield found(held, np.array([0, held.num_rows]))
 
     return run
 
@@ -105,9 +151,8 @@ def links_and_components(vectors: DataFrame, cosine: float = COSINE, bits: int =
     nodes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(with_signs(nodes, bits, tables), "vector-nodes")
     cells = nodes.select("label", "node", F.size("vector").alias("width"), F.posexplode("signs").alias("bucket_table", "bucket"))
-    place = ["label", "width", "bucket_table", "bucket"]
-    shared = cells.groupBy(*place).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    met = cells.join(shared, place).join(nodes.select("node", "label", "vector", "signs", "copies"), ["node", "label"])
+    shared = cells.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    met = cells.join(shared, PLACE).join(nodes.select("node", "label", "vector", "signs", "copies"), ["node", "label"])
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a block meets itself and every other one: once as the first side, once as the second
     pairs = met.withColumn("mine", mine).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -118,8 +163,8 @@ def links_and_components(vectors: DataFrame, cosine: float = COSINE, bits: int =
         (F.col("mine") > F.col("other_block")).cast("int").alias("side"),
     )
     # dealt by pair of blocks: by the bucket alone, all blocks of a large one would meet in one task
-    dealt = pairs.repartition(*place, "low", "high").groupBy(*place, "low", "high")
-    found = stored(dealt.applyInPandas(_compare(cosine), "node long, n long, other long"), "vector-links")
+    dealt = pairs.select(*GROUP, "side", "node", "copies", "vector", "signs").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = stored(dealt.mapInArrow(_compare(cosine), "node long, n long, other long"), "vector-links")
     count = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")), "vector-components")
     of_row = good.join(nodes.select("label", "vector", "node", "copies"), ["label", "vector"]).join(count, "node", "left").join(roots, "node", "left")
