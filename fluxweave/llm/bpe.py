@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxweave.llm.tables import schema_with, table
+from fluxweave.llm.words import give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT_WORDS = 400_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
-BLOCK_CHARS = 8_000_000
+KEPT_WORDS = 100_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
+BLOCK_CHARS = 4_000_000
 SHIFT, END, GONE = 32, -1, -2
 
 
@@ -42,7 +43,8 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: piece for piece, rank in ranks.items()}
-        self.byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int32)
+        self.ints = list(range(max(ranks.values()) + 1))  # one object for each id, shared by all words
         self.joined = {
             ranks[piece[:cut]] << SHIFT | ranks[piece[cut:]]: rank
             for piece, rank in ranks.items()
@@ -56,7 +58,7 @@ class Merges:
         """Rank of every pair, or -1 (also where either part is not a token)."""
         if not len(self.pairs):
             return np.full(len(left), -1, np.int64)
-        key = left << SHIFT | right
+        key = left.astype(np.int64) << SHIFT | right.astype(np.int64)
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), self.into[at], -1)
 
@@ -85,13 +87,13 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     if not words:
         return []
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    piece = np.full(int(lengths.sum()) + len(words), END, np.int64)
+    piece = np.full(int(lengths.sum()) + len(words), END, np.int32)
     ends = np.cumsum(lengths + 1) - 1
     inner = np.ones(len(piece), bool)
     inner[ends] = False  # no pair reaches over the end of a word
     piece[inner] = merges.byte[np.frombuffer(b"".join(words), np.uint8)]
-    after = np.arange(1, len(piece) + 1)
-    before = np.arange(-1, len(piece) - 1)
+    after = np.arange(1, len(piece) + 1, dtype=np.int32)
+    before = np.arange(-1, len(piece) - 1, dtype=np.int32)
     before[0] = len(piece) - 1  # the end of the last word: never a token
     odd: list[np.ndarray] = []
 
@@ -115,7 +117,7 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
                 heapq.heappush(order, kind)
             index[kind].append((places[a:b], left[a:b], right[a:b]))
 
-    first = np.flatnonzero(inner[:-1] & inner[1:])
+    first = np.flatnonzero(inner[:-1] & inner[1:]).astype(np.int32)
     add(first, piece[first], piece[first + 1], -1)
     while order:
         rank = heapq.heappop(order)
@@ -138,12 +140,12 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
         beyond, prior = after[following], before[places]
         piece[places], piece[following] = rank, GONE
         after[places], before[beyond] = beyond, places
-        same = np.full(len(places), rank, np.int64)
+        same = np.full(len(places), rank, np.int32)
         add(places, same, piece[beyond], rank)
         add(prior, piece[prior], same, rank)
     kept = piece >= 0
     upto = np.cumsum(kept)[ends]
-    flat = piece[kept].tolist()
+    flat = list(map(merges.ints.__getitem__, piece[kept].tolist()))
     out = [flat[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
     for word in np.unique(np.searchsorted(ends, np.concatenate(odd))).tolist() if odd else ():
         out[word] = encode_word(words[word], merges)
@@ -273,6 +275,7 @@ def _text_groups(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple
                 stop += 1
             yield batch.slice(row, stop - row), texts[row:stop]
             row = stop
+        give_back()
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ MAX_LABELLED = 20_000  # rows the network is fitted on, those with the least has
 HIDDEN = 32
 ACCEPT = 0.3
 SURFACE = 7
+BLOCK_BYTES = 500_000  # text whose token vectors are held at a time
 
 _LETTER, _DIGIT, _MARK = 1, 2, 3
 KIND = np.full(256, _MARK, np.int8)
@@ -85,7 +86,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         index = index_vectors()
         held = np.zeros((BUCKETS, WIDTH + 1), np.int64)
-        for _, data, offsets in text_blocks(batches, limit=1_000_000):
+        for _, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):
             bucket, _, _, first = tokens(data, offsets)
             found, sums = context_sums(bucket, first, index)
             held[found] += sums
@@ -209,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):
             x = features(data, offsets, vectors)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("__label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"]
@@ -224,7 +225,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str],
     """Columns ``keep`` and a score in (0, 1); higher means that label 1 is likelier. Null text counts as empty and is scored too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):
             score = net.score(features(data, offsets, vectors))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], [*keep, name])
 

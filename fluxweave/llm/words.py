@@ -6,12 +6,13 @@ Python string is made. ``text_blocks`` bounds the bytes that one pass holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -71,6 +72,14 @@ def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of at most ``limit`` bytes of text (or one row), with their bytes and offsets."""
     for batch in batches:
@@ -83,6 +92,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: in
             stop = min(max(stop, row + 1), batch.num_rows)
             yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
             row = stop
+        give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
