@@ -24,6 +24,37 @@ def test_less_than_one_block_off(seed):
         assert all(abs(done[s] - Fraction((slot + 1) * w, period)) < 1 for s, w in whole.items())
 
 
+@pytest.mark.parametrize("sizes", ([10**6] * 7 + [2 * 10**6], [10**5 + 7 * k * k for k in range(31)] + [9 * 10**6], [1 + k * k for k in range(2000)]))
+def test_less_than_one_block_off_the_unrounded_targets(sizes):
+    """Over 30 times the 1000 slots that weights were once rounded to; between a source's own blocks its deviation only falls or rises."""
+    weights = {f"s{i:04}": n**0.5 for i, n in enumerate(sizes)}
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    slots = 30_000
+    blocks = {s: int(slots * w) for s, w in share.items()}
+    done, last = Counter(), -1
+    for source, block, _, _, slot in mx.in_slots(mx.exact_weights(weights), blocks):
+        assert block == done[source] and slot > last
+        assert slot * share[source] - block < 1 and block + 1 - (slot + 1) * share[source] < 1
+        done[source], last = block + 1, slot
+    assert done == Counter(blocks) and last <= slots
+    assert mx.exact_weights({"a": 0.5, "b": 1.5, "c": 3}) == {"a": 1, "b": 3, "c": 6}
+
+
+def test_long_mix_keeps_the_unrounded_targets(spark):
+    """20 000 slots of one row: rounded to 1000 slots, the shares of 2/3, 1/5 and 2/15 are blocks off."""
+    sizes = {"a": 13_333, "b": 4_000, "c": 2_667}
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id < 13333 THEN 'a' WHEN id < 17333 THEN 'b' ELSE 'c' END AS source")
+    weights = {"a": 10.0, "b": 3.0, "c": 2.0}
+    got = mx.schedule(docs, weights, block_rows=1).collect()
+    assert Counter(r.source for r in got) == sizes and len({r.position for r in got}) == 20_000
+    for r in got:
+        share = Fraction(int(weights[r.source]), 15)
+        assert r.slot * share - r.block < 1 and r.block + 1 - (r.slot + 1) * share < 1
+    with pytest.raises(ValueError):
+        mx.schedule(docs, {"a": 1.0, "b": 1.0})
+
+
 def test_weights():
     assert mx.whole_weights({"a": 1, "b": 1, "c": 2}, 100) == {"a": 25, "b": 25, "c": 50}
     assert mx.whole_weights({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
