@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxweave.llm.tables import schema_with, table
+from fluxweave.llm.tables import schema_with, table, with_place
 from fluxweave.llm.words import give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -283,5 +283,5 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: every document with its ids and their number."""
-    return encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Last stage of the pipeline: every document with its ids, their number, and ``mix_position``, the order of the stage before (see ``with_place``)."""
+    return encode(with_place(docs, "mix_position")).withColumn("n_tokens", F.size("ids").cast("long"))

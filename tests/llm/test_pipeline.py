@@ -1,5 +1,6 @@
 from corpus_pipeline import STAGES, run
-from fluxweave.llm import neardup, quality
+from fluxweave.llm import bpe, mixing, neardup, quality
+from fluxweave.llm.tables import _file_order
 from tests.conftest import SMOKE
 from tests.llm.test_bpe import LIBRARY
 from tests.llm.test_neardup import brute_classes
@@ -39,3 +40,35 @@ def test_columns_and_edges(spark, tmp_path):
             out.write.parquet(str(folder / str(number)))
             docs = spark.read.parquet(str(folder / str(number)))
         assert docs.count() <= len(made)
+
+
+def test_result_keeps_the_order_of_the_mix(spark, monkeypatch):
+    """The mix is several files of different sizes, so that they are not read in order."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        result = run(spark, SMOKE)
+        assert len(result.inputFiles()) > 1
+        got = sorted(result.collect(), key=lambda r: r.mix_position)
+        places = {r.doc_id: r.position for r in mixing.schedule(result.drop("ids")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.mix_position for r in got}) == len(got) == len(places) > 100
+    assert [r.doc_id for r in got] == sorted(places, key=places.get)
+
+
+def test_places(spark, tmp_path):
+    """Files of which the later are the larger, in several scan tasks; rows that are in no file; names of many files."""
+    rows = 0
+    for part in range(6):
+        n = 10 * 3**part
+        spark.range(rows, rows + n, 1, 1).selectExpr("id AS doc_id", "string(id) AS text", "7 AS mix_position").write.mode("append").parquet(str(tmp_path / str(part)))
+        (made,) = (tmp_path / str(part)).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (tmp_path / "all" / f"part-{99_997 + part}-x-c000.snappy.parquet").write_bytes(made.read_bytes())
+        rows += n
+    got = bpe.stage(spark, spark.read.parquet(str(tmp_path / "all")), "").collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_position)] == list(range(rows)) and len({r.mix_position for r in got}) == rows
+    loose = spark.range(100).selectExpr("id AS doc_id", "'a' AS text")
+    assert [r.doc_id for r in bpe.stage(spark, loose, "").orderBy("mix_position").collect()] == [r.doc_id for r in loose.collect()]
+    assert sorted(["part-00010-a-c000.x", "part-00002-a-c001.x", "part-00002-a-c000.x"], key=_file_order) == ["part-00002-a-c000.x", "part-00002-a-c001.x", "part-00010-a-c000.x"]
