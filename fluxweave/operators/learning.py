@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxweave.dims import DEV, FEATURE_COLUMNS, FOREST_FEATURES, FOREST_TREES, PERF
 from fluxweave.operators import features as fv
@@ -160,20 +160,26 @@ def cross_validate(
     The folds of a run are written once to the shared folder, so the fits read
     them instead of numbering the rows again. The models are fitted side by
     side: each is a series of small Spark jobs that leave most of a cluster idle.
+    A fold's predictions are written when its model is fitted, so no more than
+    SIDE_BY_SIDE models are held at a time, however many folds and runs there are.
     """
     spark, splits = df.sparkSession, []
+    out, columns_out = shared_folder(spark, "predicted"), ["run", "fold", *identity, label, "prediction"]
     for run in range(runs):
         path = shared_folder(spark, f"folds-{run}")
         stratified_folds(df, label, identity, folds, run).withColumn("run", F.lit(run)).write.parquet(path)
         splits.append(spark.read.parquet(path))
 
-    def fitted(run: int, k: int) -> DataFrame:
+    def fitted(run: int, k: int) -> T.StructType:
         model = train_forest(training_rows(splits[run], k), columns, label, seed=run * folds + k, **options)
-        return classify(model, splits[run].filter(F.col("fold") == k))
+        guesses = classify(model, splits[run].filter(F.col("fold") == k)).select(*columns_out)
+        guesses.write.parquet(f"{out}/{run}-{k}")
+        return guesses.schema
 
+    jobs = [(run, k) for run in range(runs) for k in range(folds)]
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        parts = list(pool.map(lambda job: fitted(*job), [(run, k) for run in range(runs) for k in range(folds)]))
-    return reduce(DataFrame.unionByName, parts).select("run", "fold", *identity, label, "prediction")
+        schema = list(pool.map(lambda job: fitted(*job), jobs))[0]
+    return spark.read.schema(schema).parquet(*[f"{out}/{run}-{k}" for run, k in jobs])
 
 
 def fold_scores(predictions: DataFrame, label: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Invariants, round trips, models, and stream against batch."""
 
+import inspect
 import random
 
 import pytest
@@ -11,10 +12,11 @@ from fluxweave.operators import messages as ms
 from fluxweave.operators import series as se
 from fluxweave.operators import study as st
 from fluxweave.operators import transitions as tr
+from fluxweave.plans.catalog import models
 from fluxweave.sources import logs as lg
 from fluxweave.sources import tables as tb
 from fluxweave.streaming import live
-from tests.conftest import at, gesture_frame, seconds, touch_frame
+from tests.conftest import SMOKE, at, gesture_frame, seconds, touch_frame
 from tests.test_brute import skewed_gestures
 
 
@@ -81,6 +83,21 @@ def labelled_vectors(spark, n=240):
     return spark.createDataFrame(rows, f"id int, {cols}, gesture int")
 
 
+def test_registered_cross_validation_is_whole(spark, monkeypatch):
+    """10 folds in 10 runs, forests of 100 trees without a bound on depth, on all rows."""
+    fits = []
+    train = inspect.signature(ln.train_forest)
+    monkeypatch.setattr(ln, "train_forest", lambda *a, **k: fits.append(train.bind(*a, **k)))
+    monkeypatch.setattr(ln, "classify", lambda model, rows: rows.withColumn("prediction", rows.label))
+    rows = models.vectors(spark, SMOKE).count()
+    got = models.cross_validated(spark, SMOKE).groupBy("run", "fold").count().collect()
+    assert len(got) == 100 == len(fits) and sum(r["count"] for r in got) == 10 * rows
+    for fit in fits:
+        fit.apply_defaults()
+        assert (fit.arguments["trees"], fit.arguments["depth"], fit.arguments["share"]) == (100, 30, 1.0)
+    assert len({fit.arguments["seed"] for fit in fits}) == 100
+
+
 def test_forest_learns_and_is_stored(spark, tmp_path):
     df = labelled_vectors(spark)
     predictions = ln.cross_validate(df, FEATURE_COLUMNS, "gesture", ["id"], folds=3, trees=8, depth=5)
