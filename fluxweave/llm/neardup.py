@@ -2,8 +2,9 @@
 
 Documents with the same words are one node. Document frequencies come from all
 documents through a table of fixed size that shingles share by hash. Each node
-is sampled by improved consistent weighted sampling and banded; nodes of a
-band's bucket are linked to the bucket's hub only, which joins candidates into
+is sampled by improved consistent weighted sampling and banded, and again by
+least hashes of its distinct shingles, since a pair may be alike in only one of
+the two ways (a passage repeated in one text only); nodes of a band's bucket are linked to the bucket's hub only, which joins candidates into
 clusters in linear work. Inside a cluster the Jaccard similarity decides,
 weighted by count and idf or plain, whichever is larger: idf weighs the words
 of an edit more than the words that copies share, and must not part texts that
@@ -36,6 +37,7 @@ BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _ODD = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | _U(1)
 _SALT = mix(np.arange(501, 501 + BANDS * ROWS, dtype=np.uint64))
+_PLAIN = mix(np.arange(901, 901 + BANDS * ROWS, dtype=np.uint64))
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,19 +110,32 @@ def samples(row: np.ndarray, names: np.ndarray, weight: np.ndarray, rows: int) -
     return out
 
 
+def plain_samples(row: np.ndarray, names: np.ndarray, rows: int) -> np.ndarray:
+    """Least hashes of the distinct shingles, BANDS * ROWS for each row, without counts and idf; 0 without elements."""
+    out = np.zeros((rows, BANDS * ROWS), np.uint64)
+    if not len(row):
+        return out
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    for j in range(BANDS * ROWS):
+        x = (names ^ _PLAIN[j]) * _ODD[j]
+        out[row[begin], j] = np.minimum.reduceat(x ^ (x >> _U(32)), begin)
+    return out
+
+
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, words_key, bands): hash of the words of every text, and its hash in every band; no bands without words."""
+    """(doc_id, words_key, bands): hash of the words of every text, and its hash in every band, BANDS of weighted and BANDS of plain samples; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, limit=500_000):
             row, names, count, key = shingles(data, offsets)
             picks = samples(row, names, idf[(names >> _U(44)).astype(np.int64)] * count, batch.num_rows)
-            bands = np.zeros((batch.num_rows, BANDS), np.uint64)
+            picks = np.hstack([picks, plain_samples(row, names, batch.num_rows)])
+            bands = np.zeros((batch.num_rows, 2 * BANDS), np.uint64)
             for k in range(ROWS):
                 bands = mix(bands + picks[:, k::ROWS])
             some = np.bincount(row, minlength=batch.num_rows) > 0
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(bands[some].ravel().view(np.int64))
+                pa.array(np.concatenate([[0], np.cumsum(some * 2 * BANDS)]).astype(np.int32)), pa.array(bands[some].ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key.view(np.int64)), lists], ["doc_id", "words_key", "bands"])
 

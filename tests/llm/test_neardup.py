@@ -68,6 +68,32 @@ def test_classes_equal_brute_force(docs_of, monkeypatch):
     assert len(wrong) <= 2, wrong  # a pair just above the threshold may meet in no band
 
 
+def test_copies_that_repeat_a_passage(docs_of):
+    """Nearly the same set of shingles, one passage 20 times in one text: alike by the plain measure only."""
+    draw = random.Random(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join(words + words[40:60] * 20)]
+    texts = dict(enumerate(texts))
+    docs = docs_of(list(texts.items()))
+    want = brute_classes(texts, nd.idf_table(docs))
+    assert all(want[i] == i - i % 2 for i in texts)
+    assert {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()} == want
+
+
+def test_plain_samples_meet_as_often_as_the_sets_are_alike():
+    draw = np.random.default_rng(3)
+    names = nd.mix(draw.integers(1, 2**62, 300).astype(np.uint64))
+    met = []
+    for salt in range(40):
+        n = nd.mix(names + np.uint64(salt))
+        picks = nd.plain_samples(np.r_[np.zeros(250, int), np.full(250, 2)], np.r_[n[:250], n[50:]], 3)
+        met.append((picks[0] == picks[2]).mean())
+        assert not picks[1].any()
+    assert abs(np.mean(met) - 200 / 300) < 0.03
+
+
 def test_samples_meet_as_often_as_the_sets_are_alike():
     draw = np.random.default_rng(2)
     names = nd.mix(draw.integers(1, 2**62, 300).astype(np.uint64))
