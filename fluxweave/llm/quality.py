@@ -197,7 +197,8 @@ def held_out() -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int = MAX_LABELLED) -> Network:
     """Network for ``labels.quality``, from labelled rows that are not held out, at most ``max_rows`` by hash of their id.
 
-    Rows without an id or a label are left out; of several labels of one id the larger counts.
+    Rows without an id or a label are left out; of several labels of one id the
+    larger counts, of several rows of one id the text with the least hash.
     """
     chosen = (
         labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
@@ -207,7 +208,9 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    rows = joined.groupBy("doc_id", "__label").agg(one).select("doc_id", "__label", F.col("one.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):

@@ -52,6 +52,20 @@ def test_edges(spark, docs_of, tmp_path):
     assert kept.columns == docs.columns and kept.count() == 7
 
 
+def test_rows_of_one_id_are_learnt_once(docs_of, monkeypatch):
+    """A labelled id with most of all rows: one row reaches the fit."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = docs_of([(i, f"text of number {i}") for i in ids] + [(ids[0], f"other text {k % 3}") for k in range(900)])
+    labels = docs.sparkSession.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    vectors, fits = q.word_vectors(docs), []
+    monkeypatch.setattr(q, "fit", lambda x, y: fits.append((x, y)))
+    q.learn(docs, labels, vectors)
+    q.learn(docs.repartition(5), labels, vectors)
+    q.learn(docs, labels, vectors, max_rows=7)
+    assert [len(x) for x, _ in fits] == [len(ids), len(ids), 7] and fits[0][1].tolist() == [i % 2 for i in ids]
+    assert (fits[0][0] == fits[1][0]).all()
+
+
 def test_fit_separates_and_calibrates():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(2000, 2 * q.WIDTH + q.SURFACE))
