@@ -93,10 +93,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, representative) of every document that has signatures: the smallest doc_id with an equal set, which stands for it in ``near_pairs``."""
+    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", signatures(F.col("text")).alias("sigs")).filter(F.size("sigs") > 0)
+    sets = stored(sets, "spot-members")
+    first = sets.groupBy("sigs").agg(F.min("doc_id").alias("representative"))
+    return sets.join(first, "sigs").select("doc_id", "representative").distinct()
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness): pairs of documents, a < b, whose signature sets have a likeness of at least ``threshold``.
 
-    Documents with equal sets are one, named by the smallest doc_id. A set of n
+    Documents with equal sets are one, named by the smallest doc_id; ``members``
+    has the others. Documents that share a rare signature meet in pairs, so a
+    group of n edited copies makes n * n rows. A set of n
     signatures is of length class floor(log(n) / log(1 / threshold)); the
     shorter of a passing pair is in the longer one's class or the one below, so
     every set also visits the class above. Of a set's signatures, rarest first,

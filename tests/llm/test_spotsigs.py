@@ -90,3 +90,11 @@ def test_near_pairs_equal_brute_force(docs_of):
 def test_native(spark):
     plan = ss.op1_spotsigs(spark, SMOKE)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
+def test_members_have_every_copy(docs_of):
+    text, other = "the quick brown fox is a fast animal of the dark woods", "an old house by the long road to big towns"
+    docs = docs_of([(5, text), (3, text), (9, text.upper()), (4, other), (8, ""), (None, text), (3, text)])
+    got = sorted(tuple(r) for r in ss.members(docs).collect())
+    assert got == [(3, 3), (4, 4), (5, 3), (9, 3)]
+    assert ss.near_pairs(docs).count() == 0
