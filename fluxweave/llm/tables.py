@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def schema_with(df: DataFrame, **columns: str | T.DataType) -> T.StructType:
-    """The schema of ``df`` and more columns, as a new object."""
+    """The schema of ``df`` and more columns (types or their DDL), as a new object."""
     out = T.StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        out = out.add(name, kind)
+        out = out.add(name, T.StructType.fromDDL(f"c {kind}")[0].dataType if isinstance(kind, str) else kind)
     return out
 
 

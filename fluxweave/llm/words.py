@@ -95,11 +95,60 @@ def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: in
         give_back()
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word (bytes other than space, \\t, \\n, \\v, \\f, \\r), and where each text's words begin."""
+def _cut_after(data: np.ndarray, at: int, gap: np.ndarray) -> int:
+    """The first place from ``at`` on that is inside no word, or the end."""
+    while at < len(data):
+        free = np.flatnonzero(gap[data[at : at + 4096]])
+        if len(free):
+            return at + int(free[0])
+        at += 4096
+    return len(data)
+
+
+def _words_after(data: np.ndarray, at: int, gap: np.ndarray, words: int) -> int:
+    """Where the ``words`` next words after ``at``, a place in a gap, have ended."""
+    size = 64 * (words + 1)
+    while True:
+        inside = ~gap[data[at : at + size]]
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        if len(ends) >= words:
+            return at + (int(ends[words - 1]) if words else 0)
+        if at + size >= len(data):
+            return len(data)
+        size *= 4
+
+
+def text_pieces(
+    batches: Iterator[pa.RecordBatch], name: str, gap: np.ndarray, after: int, mapped: np.ndarray | None = None, limit: int = BLOCK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int, bool]]:
+    """Blocks of texts of at most ``limit`` bytes; a longer text comes in pieces, so that memory is bounded by the limit and the longest word.
+
+    Yields rows, bytes (through the table ``mapped``), offsets of the texts,
+    the place of the piece in its text, the bytes whose words belong to the
+    piece, and whether the rows end here. Behind those bytes a piece shows the
+    ``after`` words that follow, for windows that begin in it.
+    """
+    for batch, data, offsets in text_blocks(batches, name, limit):
+        if mapped is not None:
+            data = mapped[data]
+        if len(data) <= limit:
+            yield batch, data, offsets, 0, len(data), True
+            continue
+        at = 0
+        while True:
+            cut = _cut_after(data, min(at + limit, len(data)), gap)
+            end = _words_after(data, cut, gap, after)
+            yield batch, data[at:end], np.array([0, end - at]), at, cut - at, cut == len(data)
+            if cut == len(data):
+                break
+            at = cut
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (bytes outside ``gap``: space, \\t, \\n, \\v, \\f, \\r), and where each text's words begin."""
     size = len(data)
     inside = np.zeros(size + 2, np.int8)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~gap[data]
     step = np.diff(inside)
     cut = np.zeros(size + 1, bool)
     cut[offsets] = True
