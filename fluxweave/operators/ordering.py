@@ -2,65 +2,72 @@
 
 A device or a performance may hold a large part of all rows, so ``lag`` and
 ``row_number`` over the bare key would sort that part in one task. Rows are cut
-into time chunks instead: the window runs inside a chunk, and one row per chunk
-carries what the next chunk needs.
+into time chunks instead: the window runs inside a chunk, and a few rows or one
+count per chunk carry what the next chunk needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from fluxweave.functions.scalars import bin_micros
 
 CHUNK_SECONDS = 60
 
 
-def _order_key(order: Sequence[str]) -> Column:
-    # a single primitive key keeps the carry on the hash-aggregate path
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
-def with_previous(
+def over_rows_before(
     df: DataFrame,
     keys: Sequence[str],
-    values: Sequence[str],
+    reach: int,
+    made: Callable[[WindowSpec], Mapping[str, Column]],
     time: str = "time",
     ties: Sequence[str] = (),
     chunk_seconds: float = CHUNK_SECONDS,
-    prefix: str = "prev_",
 ) -> DataFrame:
-    """Add ``prev_<value>``: the value of the key's preceding row.
-
-    Keys are not NULL, and (keys, time) is unique unless ``ties`` names columns
-    that order rows of equal time. A chunk then holds at most one row per
-    microsecond, and a key one carry row per chunk that has rows.
-    The large side is shuffled once, on (keys, chunk); the carry side holds one
-    row per (keys, chunk) and joins on that same partitioning.
+    """``df`` and columns that look back over at most ``reach`` rows of the key, with one exchange of the rows.
+
+    ``made`` gives the columns over a window that it is handed, which orders the
+    rows; it may set a frame that reaches back ``reach`` rows. Keys are not
+    NULL, and (keys, time) is unique unless ``ties`` names columns that order
+    rows of equal time. Rows are dealt out by (keys, chunk). Behind the first
+    ``reach`` rows of a chunk the window runs inside the chunk; those first rows
+    are seen with the last rows of the chunks before them, which is a window
+    over the key of at most 2 * ``reach`` rows per chunk. Both read the same
+    exchange: they use the same columns of it, and filter only on what the
+    window made.
     """
     keys, order, chunk = list(keys), [time, *ties], "__chunk"
-    # dealt out once; the carry, the window and the join all use this partitioning
     cut = df.withColumn(chunk, bin_micros(time, chunk_seconds)).repartition(*keys, chunk)
-    last = cut.groupBy(*keys, chunk).agg(*[F.max_by(v, _order_key(order)).alias(f"__c_{v}") for v in values])
-    by_key = Window.partitionBy(*keys).orderBy(chunk)
-    carry = last.select(*keys, chunk, *[F.lag(f"__c_{v}").over(by_key).alias(f"__c_{v}") for v in values])
     in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
-    inside = cut.select(
+    placed = cut.select(
         "*",
-        F.row_number().over(in_chunk).alias("__rn"),
-        *[F.lag(v).over(in_chunk).alias(f"__p_{v}") for v in values],
-    )
-    joined = inside.join(carry, [*keys, chunk], "left")
-    return joined.select(
-        *df.columns,
-        *[
-            F.when(F.col("__rn") == 1, F.col(f"__c_{v}")).otherwise(F.col(f"__p_{v}")).alias(f"{prefix}{v}")
-            for v in values
-        ],
+        F.row_number().over(in_chunk).alias("__at"),
+        F.lead(F.lit(True), reach).over(in_chunk).isNull().alias("__last"),
+        *[c.alias(name) for name, c in made(in_chunk).items()],
     )
+    body = placed.filter(F.col("__at") > reach)
+    edges = placed.filter((F.col("__at") <= reach) | F.col("__last"))
+    along = Window.partitionBy(*keys).orderBy(chunk, *order)
+    seams = edges.select(*cut.columns, "__at", *[c.alias(name) for name, c in made(along).items()]).filter(F.col("__at") <= reach)
+    columns = [*df.columns, *made(in_chunk)]
+    return body.select(*columns).unionByName(seams.select(*columns))
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    time: str = "time",
+    ties: Sequence[str] = (),
+    chunk_seconds: float = CHUNK_SECONDS,
+    prefix: str = "prev_",
+) -> DataFrame:
+    """Add ``prev_<value>``: the value of the key's preceding row (see ``over_rows_before``)."""
+    return over_rows_before(df, keys, 1, lambda w: {f"{prefix}{v}": F.lag(v).over(w) for v in values}, time, ties, chunk_seconds)
 
 
 def with_row_number(

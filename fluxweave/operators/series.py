@@ -14,7 +14,7 @@ from fluxweave.dims import DEV, NEW_IDEA_LIVE, PERF, ROLLING_ROWS
 from fluxweave.functions import matrix as mx
 from fluxweave.functions.scalars import SECOND, bin_micros, bin_start, shift
 from fluxweave.operators.grids import STEPS_PER_CHUNK
-from fluxweave.operators.ordering import CHUNK_SECONDS, with_previous, with_row_number
+from fluxweave.operators.ordering import CHUNK_SECONDS, over_rows_before, with_previous
 
 
 def _by_window() -> WindowSpec:
@@ -48,36 +48,26 @@ def latest_new_idea(series: DataFrame, threshold: float = NEW_IDEA_LIVE) -> Data
     return last.select(PERF, "last.window_start", "last.flux", (F.col("last.rise") > threshold).alias("is_new_idea"))
 
 
-def rolling_flux(
-    steps: DataFrame, rows: int = ROLLING_ROWS, chunk_seconds: float = CHUNK_SECONDS, block: int = 100_000
-) -> DataFrame:
+def rolling_flux(steps: DataFrame, rows: int = ROLLING_ROWS, chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Flux over the ``rows`` rows before each row; the first ``rows`` give nothing.
 
-    Rows are numbered exactly, cut into blocks, and each block also receives
-    the last ``rows`` rows of the block before it.
+    The rows of one time count as one row. A window that holds fewer than
+    ``rows`` rows is that of one of the first, so no row is numbered.
     """
     per_time = steps.groupBy(PERF, "time").agg(
         F.count(mx.TO).alias("pairs"), F.count_if(F.col(mx.TO) != F.col(mx.FROM)).alias("moved")
     )
-    numbered = with_row_number(per_time, [PERF], ["time"], bin_micros("time", chunk_seconds))
-    z = F.col("row_no") - 1
-    own = F.floor(z / block).cast("long")
-    tail = F.pmod(z, F.lit(block)) >= block - rows
-    blocks = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.select("*", own.alias("__own"), F.explode(blocks).alias("__block"))
-    w = Window.partitionBy(PERF, "__block").orderBy("row_no").rowsBetween(-rows, -1)
-    summed = spread.select(
-        PERF,
-        "time",
-        "row_no",
-        "__own",
-        "__block",
-        F.sum("pairs").over(w).alias("pairs"),
-        F.sum("moved").over(w).alias("moved"),
-    )
-    return summed.filter((F.col("__own") == F.col("__block")) & (F.col("row_no") > rows)).select(
-        PERF, "time", mx.ratio_or(F.col("moved"), F.col("pairs"), 0.0).alias("flux")
-    )
+
+    def sums(w: WindowSpec) -> dict[str, Column]:
+        before = w.rowsBetween(-rows, -1)
+        return {
+            "__rows": F.count(F.lit(1)).over(before),
+            "__pairs": F.sum("pairs").over(before),
+            "__moved": F.sum("moved").over(before),
+        }
+
+    summed = over_rows_before(per_time, [PERF], rows, sums, chunk_seconds=chunk_seconds).filter(F.col("__rows") == rows)
+    return summed.select(PERF, "time", mx.ratio_or(F.col("__moved"), F.col("__pairs"), 0.0).alias("flux"))
 
 
 def trailing_flux(steps: DataFrame, trailing_seconds: float, width_seconds: float) -> DataFrame:
@@ -117,38 +107,31 @@ def trailing_flux(steps: DataFrame, trailing_seconds: float, width_seconds: floa
         "at", F.when(j == 0, F.col("t")).when(j <= reach, F.col("own") + j.cast("long") * width).otherwise(F.col("stop"))
     ).withColumn("bin", bin_of("at"))
     back = ((F.col("bin") - F.col("own")) / width).cast("int")
-    valid = (j == 0) | (j.between(1, reach) & (F.col("stop") > F.col("at"))) | ((j == drop) & (back <= reach))
-    sign = F.when(F.col("stop").isNull(), 0).when(j <= reach, 1).otherwise(-1)
+    valid = (j <= reach) | ((j == drop) & (back <= reach))
+    seen = (j == 0) | (F.col("stop") > F.col("at"))
+    sign = F.when(F.col("stop").isNull(), 0).when(j > reach, -1).when(seen, 1).otherwise(0)
     changes = placed.filter(valid).select(
-        PERF, "bin", "at", back.alias("k"), sign.alias("sign"), "changed", (j == 0).alias("is_row")
+        PERF, "bin", "at", back.alias("k"), sign.alias("sign"), "changed", "j", "t"
     )
 
     def counter(i: int, only: Column | None = None) -> Column:
         mine = F.col("k") == i
         return F.sum(F.when(mine if only is None else mine & only, F.col("sign")).otherwise(0))
 
+    # an earlier bin is in the frame while its last row is, which the starts of later bins are told
+    lasts = [f"last{i}" for i in range(1, reach + 1)]
     # the changes of one instant are added up before the shuffle
     at = changes.groupBy(PERF, "bin", "at").agg(
         *[counter(i).alias(f"pairs{i}") for i in range(reach + 1)],
         *[counter(i, F.col("changed")).alias(f"moved{i}") for i in range(reach + 1)],
-        F.max("is_row").alias("is_row"),
+        *[F.max(F.when(F.col("j") == i, F.col("t"))).alias(f"last{i}") for i in range(1, reach + 1)],
+        F.max(F.col("j") == 0).alias("is_row"),
     )
     counters = [f"{c}{i}" for i in range(reach + 1) for c in ("pairs", "moved")]
     # at most one row per microsecond of a bin
     run = Window.partitionBy(PERF, "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = at.select(PERF, "bin", "at", "is_row", *[F.sum(c).over(run).alias(c) for c in counters]).filter("is_row")
-
-    # an earlier bin is in the frame while its last row is
-    last_row = rows.groupBy(PERF, "own").agg(F.max("t").alias("last_t"))
-    alive = last_row.select(
-        PERF, "last_t", "own", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")
-    ).select(
-        PERF,
-        (F.col("own") + F.col("k").cast("long") * width).alias("bin"),
-        *[F.when(F.col("k") == i, F.col("last_t")).alias(f"last{i}") for i in range(1, reach + 1)],
-    )
-    alive = alive.groupBy(PERF, "bin").agg(*[F.max(f"last{i}").alias(f"last{i}") for i in range(1, reach + 1)])
-    joined = running.join(alive, [PERF, "bin"], "left")
+    sums = [F.sum(c).over(run).alias(c) for c in counters] + [F.max(c).over(run).alias(c) for c in lasts]
+    running = at.select(PERF, "at", "is_row", *sums).filter("is_row")
 
     def flux_of(i: int) -> Column:
         return mx.ratio_or(F.col(f"moved{i}"), F.col(f"pairs{i}"), 0.0)
@@ -156,7 +139,7 @@ def trailing_flux(steps: DataFrame, trailing_seconds: float, width_seconds: floa
     before = F.coalesce(
         *[F.when(F.col(f"last{i}") >= F.col("at") - trail, flux_of(i)) for i in range(1, reach + 1)]
     )
-    return joined.select(
+    return running.select(
         PERF,
         F.timestamp_micros("at").alias("time"),
         flux_of(0).alias("flux"),

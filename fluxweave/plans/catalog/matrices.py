@@ -540,7 +540,7 @@ def latest_new_idea(spark, d):
     ),
 )
 def rolling_flux_fifteen_rows(spark, d):
-    rolled = se.rolling_flux(steps(spark, d), chunk_seconds=CHUNK, block=200)
+    rolled = se.rolling_flux(steps(spark, d), chunk_seconds=CHUNK)
     return rolled.select(PERF, iso("time"), rounded("flux"))
 
 

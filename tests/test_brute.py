@@ -73,8 +73,8 @@ def share(pairs):
     return sum(x[3] != x[4] for x in pairs) / len(pairs) if pairs else 0.0
 
 
-@pytest.mark.parametrize("block", [16, 40, 100_000])
-def test_rolling_flux(spark, block):
+@pytest.mark.parametrize("chunk", [1, 4, 20, 100_000])
+def test_rolling_flux(spark, chunk):
     rows = skewed_gestures(3)
     pairs = group_pairs(rows)
     want = {}
@@ -84,7 +84,7 @@ def test_rolling_flux(spark, block):
             frame = set(times[i - 15 : i])
             want[p, t] = share([x for x in pairs if x[0] == p and x[1] in frame])
     steps = tr.state_steps(gesture_frame(spark, rows), chunk_seconds=20)
-    got = {(r[PERF], seconds(r.time)): r.flux for r in se.rolling_flux(steps, chunk_seconds=20, block=block).collect()}
+    got = {(r[PERF], seconds(r.time)): r.flux for r in se.rolling_flux(steps, chunk_seconds=chunk).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 

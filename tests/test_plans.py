@@ -67,3 +67,25 @@ def test_range_filter_is_pushed_down(spark):
     raw = tv.table(spark, SMOKE, "events").withColumn("time", F.col("ts"))
     text = plan(ms.between(raw, F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-06").cast("timestamp_ntz")))
     assert "GreaterThanOrEqual(ts" in text
+
+
+def counted(spark, df) -> tuple[int, int, int]:
+    """Scans of files, exchanges by hash, and exchanges that are used again, in the plan before adaptive changes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(df.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return text.count("FileScan"), text.count("Exchange hashpartitioning") - text.count("ReusedExchange"), text.count("ReusedExchange")
+
+
+@pytest.mark.parametrize(
+    "name,exchanges",
+    # rows by (device, chunk); edges by device; then what each measure groups by
+    [("transition_steps", 2), ("flux_series", 4), ("trailing_flux", 4), ("rolling_flux_fifteen_rows", 5), ("gesture_line_segments", 2)],
+)
+def test_rows_are_read_and_dealt_out_once(spark, name, exchanges):
+    scans, dealt, reused = counted(spark, QUERIES[name](spark, SMOKE))
+    assert (scans, reused > 0) == (1, True)
+    assert dealt <= exchanges

@@ -63,7 +63,7 @@ def test_row_number(hot):
 def test_flux_and_features(hot):
     steps = tr.state_steps(hot)
     assert largest_share(se.trailing_flux(steps, 37, 15)) < 0.3
-    assert largest_share(se.rolling_flux(steps, block=500)) < 0.3
+    assert largest_share(se.rolling_flux(steps)) < 0.3
     assert largest_share(fv.rolling_features(hot)) < 0.3
     assert largest_share(fv.tumbling_features(hot)) < 0.3
     assert largest_share(tr.window_counts(steps, 15)) < 0.3
