@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fluxweave.dims import DEV, FEATURE_COLUMNS, FOREST_FEATURES, FOREST_TREES, PERF
 from fluxweave.operators import features as fv
+from fluxweave.operators import forests
 from fluxweave.operators import messages as ms
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
-from fluxweave.session import path_exists, shared_folder
+from fluxweave.session import path_exists
 
 # the most that Spark allows; trees end earlier, where their leaves are pure
 DEPTH = 30
-SIDE_BY_SIDE = 8  # models that cross-validation fits at a time
 
 
 def _vectors(columns: Sequence[str]) -> VectorAssembler:
@@ -146,6 +144,20 @@ def bootstrap(df: DataFrame, identity: Sequence[str], seed: int = 0, digits: int
     return picked.join(numbered, "row_no").drop("row_no")
 
 
+def folds_of_runs(df: DataFrame, label: str, identity: Sequence[str], folds: int = 10, runs: int = 10, digits: int = 5) -> DataFrame:
+    """``df`` with ``folds`` array<int>: the row's stratified fold in every run, all runs numbered in one pass.
+
+    ``identity`` names every row once; the folds of a run are those of
+    ``stratified_folds`` for that run.
+    """
+    light = df.select(*identity, label).withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    hashed = light.withColumn("__h", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in identity], F.col("__run").cast("string"))))
+    numbered = with_row_number(hashed, ["__run", label], ["__h", *identity], hash_chunk("__h", digits))
+    fold = ((F.col("row_no") - 1) % folds).cast("int")
+    lists = numbered.groupBy(*identity).agg(F.sort_array(F.collect_list(F.struct("__run", fold.alias("fold")))).alias("__folds"))
+    return df.join(lists.select(*identity, F.col("__folds.fold").alias("folds")), list(identity))
+
+
 def cross_validate(
     df: DataFrame,
     columns: Sequence[str],
@@ -153,33 +165,17 @@ def cross_validate(
     identity: Sequence[str],
     folds: int = 10,
     runs: int = 1,
-    **options,
+    trees: int = FOREST_TREES,
+    per_split: int = FOREST_FEATURES,
+    depth: int = DEPTH,
 ) -> DataFrame:
-    """Predictions of every row by a model that has not seen its fold.
+    """(run, fold, identity, label, prediction): every row by a forest that has not seen its fold of the run.
 
-    The folds of a run are written once to the shared folder, so the fits read
-    them instead of numbering the rows again. The models are fitted side by
-    side: each is a series of small Spark jobs that leave most of a cluster idle.
-    A fold's predictions are written when its model is fitted, so no more than
-    SIDE_BY_SIDE models are held at a time, however many folds and runs there are.
+    The forests of all runs and folds are grown together (see ``forests``);
+    labels are whole numbers, and rows without one are left out.
     """
-    spark, splits = df.sparkSession, []
-    out, columns_out = shared_folder(spark, "predicted"), ["run", "fold", *identity, label, "prediction"]
-    for run in range(runs):
-        path = shared_folder(spark, f"folds-{run}")
-        stratified_folds(df, label, identity, folds, run).withColumn("run", F.lit(run)).write.parquet(path)
-        splits.append(spark.read.parquet(path))
-
-    def fitted(run: int, k: int) -> T.StructType:
-        model = train_forest(training_rows(splits[run], k), columns, label, seed=run * folds + k, **options)
-        guesses = classify(model, splits[run].filter(F.col("fold") == k)).select(*columns_out)
-        guesses.write.parquet(f"{out}/{run}-{k}")
-        return guesses.schema
-
-    jobs = [(run, k) for run in range(runs) for k in range(folds)]
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        schema = list(pool.map(lambda job: fitted(*job), jobs))[0]
-    return spark.read.schema(schema).parquet(*[f"{out}/{run}-{k}" for run, k in jobs])
+    folded = folds_of_runs(df.filter(F.col(label).isNotNull()), label, identity, folds, runs)
+    return forests.cross_validate(folded, columns, label, identity, folds, runs, trees, per_split, depth)
 
 
 def fold_scores(predictions: DataFrame, label: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Invariants, round trips, models, and stream against batch."""
 
-import inspect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fluxweave.dims import DEV, FEATURE_COLUMNS, PERF
+from fluxweave.operators import forests
 from fluxweave.operators import learning as ln
 from fluxweave.operators import messages as ms
 from fluxweave.operators import series as se
@@ -85,17 +85,14 @@ def labelled_vectors(spark, n=240):
 
 def test_registered_cross_validation_is_whole(spark, monkeypatch):
     """10 folds in 10 runs, forests of 100 trees without a bound on depth, on all rows."""
-    fits = []
-    train = inspect.signature(ln.train_forest)
-    monkeypatch.setattr(ln, "train_forest", lambda *a, **k: fits.append(train.bind(*a, **k)))
-    monkeypatch.setattr(ln, "classify", lambda model, rows: rows.withColumn("prediction", rows.label))
+    seen, grow = [], forests.grow
+    monkeypatch.setattr(forests, "grow", lambda rows, n, group, trees, per_split, depth, *rest: seen.append((n, group, trees, per_split, depth)) or grow(rows, n, group, trees, per_split, depth, *rest))
+    monkeypatch.setattr(models, "_validated", {})
     rows = models.vectors(spark, SMOKE).count()
     got = models.cross_validated(spark, SMOKE).groupBy("run", "fold").count().collect()
-    assert len(got) == 100 == len(fits) and sum(r["count"] for r in got) == 10 * rows
-    for fit in fits:
-        fit.apply_defaults()
-        assert (fit.arguments["trees"], fit.arguments["depth"], fit.arguments["share"]) == (100, 30, 1.0)
-    assert len({fit.arguments["seed"] for fit in fits}) == 100
+    assert len(got) == 100 and sum(r["count"] for r in got) == 10 * rows
+    assert sorted(job for _, group, *_ in seen for job in group) == [(run, fold) for run in range(10) for fold in range(10)]
+    assert {(n, *rest) for n, _, *rest in seen} == {(rows, 100, 3, 30)}
 
 
 def test_forest_learns_and_is_stored(spark, tmp_path):
