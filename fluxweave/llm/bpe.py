@@ -15,6 +15,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from fluxweave.llm.tables import schema_with, table, with_place
 from fluxweave.llm.words import give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT_WORDS = 100_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
-BLOCK_CHARS = 4_000_000
+KEPT_WORDS = 400_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
+BLOCK_CHARS = 8_000_000
 SHIFT, END, GONE = 32, -1, -2
 
 
@@ -179,15 +180,14 @@ class BlockEncoder:
         self.merges, self.pieces, self.kept_words = merges, regex.compile(pattern), kept_words
         self.kept: dict[str, tuple[int, ...]] = {}
 
-    def block(self, texts: list[str]) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[tuple[int, ...]]]:
         """Numbers of every text's pre-tokens, and the ids of each number."""
         number = _Numbers()
-        cut = [[number[w] for w in self.pieces.findall(text)] for text in texts]
+        cut = [np.fromiter(map(number.__getitem__, self.pieces.findall(text)), np.int32) for text in texts]
         kept = self.kept
         fresh = [w for w in number if w not in kept]
-        if len(kept) + len(fresh) > self.kept_words:
-            kept.clear()
-            fresh = list(number)
+        if len(kept) + len(fresh) > self.kept_words:  # what this block has again stays, the rest makes room
+            kept = self.kept = {w: kept[w] for w in number if w in kept}
         kept.update(zip(fresh, map(tuple, replay([w.encode() for w in fresh], self.merges))))
         return cut, [kept[w] for w in number]
 
@@ -212,9 +212,16 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: dict[by
         coder = BlockEncoder(Merges(ranks), pattern) if ranks is not None else default_encoder()
         for batch, texts in _text_groups(batches, text):
             cut, of = coder.block(texts)
-            found = [[i for w in words for i in of[w]] for words in cut]
+            words, ends = np.concatenate(cut), np.cumsum([len(c) for c in cut])
+            size = np.fromiter(map(len, of), np.int64, len(of))
+            begin = np.cumsum(size) - size
+            flat = np.fromiter(chain.from_iterable(of), np.int32, int(size.sum()))
+            length = size[words]
+            upto = np.concatenate([[0], np.cumsum(length)])
+            place = np.arange(upto[-1]) - np.repeat(upto[:-1] - begin[words], length)
+            found = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], ends])].astype(np.int32)), pa.array(flat[place]))
             columns = [batch.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], [*rest, ids])
+            yield pa.RecordBatch.from_arrays([*columns, found], [*rest, ids])
 
     plain = docs.select(*rest)
     schema = schema_with(plain, **{ids: T.ArrayType(T.IntegerType())})
@@ -247,15 +254,17 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         coder = default_encoder()
         for batch, texts in _text_groups(batches, text):
             cut, of = coder.block(texts)
+            words, ends = np.concatenate(cut), np.cumsum([len(c) for c in cut])
             digits = [",".join(map(str, ids)) for ids in of]
             back = [decode(ids, coder.merges.token) for ids in of]
-            count = np.fromiter(map(len, of), np.int64, len(of))
+            count = np.concatenate([[0], np.cumsum(np.fromiter(map(len, of), np.int64, len(of))[words])])
+            cut = [c.tolist() for c in cut]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
-                    pa.array([int(count[words].sum()) for words in cut], pa.int64()),
-                    pa.array([hashlib.sha256(",".join([digits[w] for w in words]).encode()).hexdigest() for words in cut], pa.string()),
-                    pa.array([hashlib.sha256(b"".join([back[w] for w in words])).hexdigest() for words in cut], pa.string()),
+                    pa.array(np.diff(count[np.concatenate([[0], ends])])),
+                    pa.array([hashlib.sha256(",".join([digits[w] for w in mine]).encode()).hexdigest() for mine in cut], pa.string()),
+                    pa.array([hashlib.sha256(b"".join([back[w] for w in mine])).hexdigest() for mine in cut], pa.string()),
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxweave.llm.tables import schema_with, stored, table
-from fluxweave.llm.words import BYTE_VALUE, span_hash, text_pieces, word_spans
+from fluxweave.llm.words import BLOCK_BYTES, BYTE_VALUE, span_hash, text_pieces, word_spans
 
 WINDOW = 10
 PART_BYTES = 8_000_000
@@ -136,7 +136,7 @@ def merged(hits: list[tuple[int, int, int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _with_part(docs: DataFrame, windows: Windows, text: str, n: int) -> DataFrame:
+def _with_part(docs: DataFrame, windows: Windows, text: str, n: int, block_bytes: int) -> DataFrame:
     """``docs`` with the hits of one part added to those of earlier parts, if there are any."""
     held = docs.sparkSession.sparkContext.broadcast(windows)
     own = [c for c in docs.columns if c not in HIT_COLUMNS]
@@ -144,7 +144,7 @@ def _with_part(docs: DataFrame, windows: Windows, text: str, n: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = held.value
-        for batch, data, offsets, base, owned, whole in text_pieces(batches, text, GAP, n - 1, LOWERED):
+        for batch, data, offsets, base, owned, whole in text_pieces(batches, text, GAP, n - 1, LOWERED, block_bytes):
             starts, ends, first = word_spans(data, offsets, GAP)
             if base == 0:
                 count = np.zeros(batch.num_rows, np.int64)
@@ -172,7 +172,7 @@ def _with_part(docs: DataFrame, windows: Windows, text: str, n: int) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the benchmark passages that occur in ``text``.
 
     A-Z are lower-cased and words are runs of digits, letters and characters
@@ -183,7 +183,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     sorted). A null or empty text has no words; an item without words has no
     windows; a null item id finds its words but is named in no list; repeated
     items count once. Columns of ``docs`` with these names are replaced. Empty
-    tables give no hits and no rows.
+    tables give no hits and no rows. A text of more than ``block_bytes`` is read
+    in pieces.
     """
     plain = docs.drop(*HIT_COLUMNS)
     pieces = stored(benchmark_pieces(benchmark, item, item_text, n), "benchmark-pieces")
@@ -197,7 +198,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     out = plain
     for k in range(parts):
         rows = pieces.filter(F.pmod(F.xxhash64("item", "words"), parts) == k).distinct().collect()  # at most part_bytes
-        out = _with_part(out if k == 0 else stored(out, "hits"), Windows([(r.item, r.words) for r in rows], n), text, n)
+        out = _with_part(out if k == 0 else stored(out, "hits"), Windows([(r.item, r.words) for r in rows], n), text, n, block_bytes)
     return out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fluxweave.llm.components import components
 from fluxweave.llm.sums import array_total
 from fluxweave.llm.tables import stored, table
-from fluxweave.llm.words import mix, span_hash, text_blocks, word_hashes, word_spans
+from fluxweave.llm.words import digest_halves, joined_words, mix, span_hash, text_blocks, word_names, word_spans
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -48,13 +48,13 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles sorted by (row, hash): row, hash and count of each; and a hash of each row's words.
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles sorted by (row, hash): row, hash and count of each.
 
     A text of fewer than SHINGLE words is one shingle; one without words has none.
     """
     starts, ends, first = word_spans(data, offsets)
-    words, count = word_hashes(data, starts, ends), np.diff(first)
+    words, count = word_names(data, starts, ends), np.diff(first)
     number = np.where(count > 0, np.maximum(count - SHINGLE + 1, 1), 0)
     row = np.repeat(np.arange(len(count)), number)
     begin = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number) + first[:-1][row]
@@ -64,7 +64,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (names[1:] != names[:-1])
     at = np.flatnonzero(fresh)
-    return row[at], names[at], np.diff(np.append(at, len(row))), span_hash(words, first[:-1], first[1:])
+    return row[at], names[at], np.diff(np.append(at, len(row)))
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
@@ -76,7 +76,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held = np.zeros(CELLS + 64, np.int64)
         for _, data, offsets in text_blocks(batches):
-            row, names, _, _ = shingles(data, offsets)
+            row, names, _ = shingles(data, offsets)
             np.add.at(held, (names >> _U(44)).astype(np.int64), 1)
             held[CELLS] += len(np.unique(row))
         yield held
@@ -123,11 +123,11 @@ def plain_samples(row: np.ndarray, names: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, words_key, bands): hash of the words of every text, and its hash in every band, BANDS of weighted and BANDS of plain samples; no bands without words."""
+    """(doc_id, words_key, bands): 128-bit digest of the words of every text, and its hash in every band, BANDS of weighted and BANDS of plain samples; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, limit=500_000):
-            row, names, count, key = shingles(data, offsets)
+            row, names, count = shingles(data, offsets)
             picks = samples(row, names, idf[(names >> _U(44)).astype(np.int64)] * count, batch.num_rows)
             picks = np.hstack([picks, plain_samples(row, names, batch.num_rows)])
             bands = np.zeros((batch.num_rows, 2 * BANDS), np.uint64)
@@ -137,10 +137,11 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(some * 2 * BANDS)]).astype(np.int32)), pa.array(bands[some].ravel().view(np.int64))
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key.view(np.int64)), lists], ["doc_id", "words_key", "bands"])
+            key = pa.StructArray.from_arrays([pa.array(half) for half in digest_halves(joined_words(data, offsets)).T], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), key, lists], ["doc_id", "words_key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, words_key long, bands array<long>"
+        run, "doc_id long, words_key struct<a:long,b:long>, bands array<long>"
     )
 
 
@@ -152,7 +153,7 @@ def weighted_sets(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            row, names, count, _ = shingles(data, offsets)
+            row, names, count = shingles(data, offsets)
             weight = idf[(names >> _U(44)).astype(np.int64)]
             at = np.repeat(np.arange(len(names)), count)
             turn = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)

@@ -16,9 +16,9 @@ put forward; both numbers are chosen so that a window always holds one that is
 put forward wherever it stands.
 
 High-level symbols that stand in two documents reveal candidate windows. Only
-those are hashed as a whole (128 bits) and compared, which verifies them.
+those are compared, by 128-bit digests of their words, which verifies them.
 Documents with the very words of a smaller doc_id are repeats from end to end;
-they are told by one hash each and take no part in the rest.
+they are told by the digest of all their words and take no part in the rest.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.tables import schema_with, stored, table
-from fluxweave.llm.words import mix, span_hash, text_blocks, word_hashes, word_spans
+from fluxweave.llm.words import digest_halves, joined_words, mix, span_hash, text_blocks, word_names, word_spans
 
 WINDOW = 50
 WHOLE = -1
@@ -138,9 +138,25 @@ class _Block:
         row = np.repeat(np.arange(len(self.count)), self.count)
         keep = (self.count >= window)[row]
         self.row = row[keep]
-        self.hashes = word_hashes(data, starts[keep], ends[keep])
+        self.starts, self.ends = starts[keep], ends[keep]
+        self.data = data
         held = np.where(self.count >= window, self.count, 0)
-        self.base = np.cumsum(held) - held  # where a text's words begin in ``hashes``
+        self.base = np.cumsum(held) - held  # where a text's words begin among those kept
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return word_names(self.data, self.starts, self.ends)
+
+    def windows(self, begin: np.ndarray, size: int) -> Iterator[bytes]:
+        """The ``size`` words from each of these on, joined by one space."""
+        ends = np.cumsum(self.ends - self.starts + 1)
+        starts = ends - (self.ends - self.starts + 1)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(starts - self.starts, ends - starts)
+        inside = np.append(self.data, np.uint8(0x20))[place]
+        inside[ends - 1] = 0x20
+        flat = inside.tobytes()
+        for a, b in zip(starts[begin].tolist(), (ends[begin + size - 1] - 1).tolist()):
+            yield flat[a:b]
 
 
 def high_symbols(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -209,10 +225,9 @@ def window_hashes(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 continue
             at, row = np.concatenate(at), np.concatenate(row)
             begin = block.base[row] + at
-            h1 = span_hash(block.hashes, begin, begin + scheme.window)
-            h2 = span_hash(mix(block.hashes ^ _RUN), begin, begin + scheme.window, _SECOND)
+            halves = digest_halves(block.windows(begin, scheme.window))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array(at.astype(np.int32))],
+                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids[row]), pa.array(keys[row]), pa.array(at.astype(np.int32))],
                 ["h1", "h2", "doc_id", "text_key", "start"],
             )
 
@@ -230,14 +245,10 @@ def copies(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            starts, ends, first = word_spans(data, offsets)
-            words = word_hashes(data, starts, ends)
-            h1 = span_hash(words, first[:-1], first[1:])
-            h2 = span_hash(mix(words ^ _RUN), first[:-1], first[1:], _SECOND)
+            _, _, first = word_spans(data, offsets)
+            halves = digest_halves(joined_words(data, offsets))
             long = pa.array(np.diff(first) >= window)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "text_key", "h1", "h2"]
-            )
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "text_key", "h1", "h2"])
             yield out.filter(long)
 
     rows = docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long")

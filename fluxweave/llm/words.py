@@ -7,7 +7,8 @@ Python string is made. ``text_blocks`` bounds the bytes that one pass holds.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,3 +163,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(BYTE_VALUE[data], starts, ends)
+
+
+LONG_WORD = 32
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words of which long ones are digests.
+
+    A polynomial modulo 2**64 cannot tell some long words of regular build
+    apart, whatever its base; below LONG_WORD bytes there are none of them.
+    """
+    out = word_hashes(data, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def digest_halves(contents: Iterable[bytes]) -> np.ndarray:
+    """A 128-bit digest of every content, as two int64 columns."""
+    found = b"".join(hashlib.blake2b(c, digest_size=16).digest() for c in contents)
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def joined_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The words of every text, joined by one space."""
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield b" ".join(data[a:b].tobytes().split())  # at the same six bytes as SPACE

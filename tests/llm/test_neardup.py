@@ -14,7 +14,7 @@ import pyarrow as pa
 
 def weighted(texts, idf):
     data, offsets = utf8_column(pa.array(list(texts.values()), pa.string()))
-    row, names, count, _ = nd.shingles(data, offsets)
+    row, names, count = nd.shingles(data, offsets)
     out = {i: {} for i in texts}
     ids = list(texts)
     for r, n, c in zip(row, names, count):
@@ -142,3 +142,13 @@ def test_query_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.class_id for r in nd.op3_minhash_near_dedup(spark, SMOKE).collect()}
     assert got == brute_classes(texts, nd.idf_table(docs))
+
+
+def test_regular_texts_are_not_taken_for_copies(docs_of):
+    """Letters in Thue-Morse order and their complement, which no polynomial modulo 2**64 tells apart."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [gap.join("ab"[x ^ side] for x in order) for gap in (" ", "") for side in (0, 1)]
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs_of([texts[2], texts[3]])).collect()}
+    assert got == {0: 0, 1: 1}
+    keys = nd.signed(docs_of(texts), nd.idf_table(docs_of(texts))).select("words_key").distinct()
+    assert keys.count() == 4

@@ -84,3 +84,11 @@ def test_edges(spark, docs_of):
 def test_very_long_text(docs_of):
     text = " ".join(str(i) for i in range(300_000))
     assert found(docs_of([text, "x " + text[:100_000]]))[1][1] > 10_000
+
+
+@pytest.mark.parametrize("gap,words", [(" ", 1), ("", 60)])
+def test_regular_texts_are_not_taken_for_copies(docs_of, gap, words):
+    """Letters in Thue-Morse order and their complement, as words and as long words, which no polynomial modulo 2**64 tells apart."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = dict(enumerate(" ".join([gap.join("ab"[x ^ side] for x in order)] * words) for side in (0, 1)))
+    assert found(docs_of(list(texts.items()))) == brute(texts)
