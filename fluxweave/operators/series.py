@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -186,91 +182,102 @@ def line_segments(gestures: DataFrame, chunk_seconds: float = CHUNK_SECONDS) ->
 
 # --- greedy debounce --------------------------------------------------------
 
+NEVER = -(1 << 62)  # the last kept time where there is none
+FAN = 1024  # blocks that are put together into one of the next level
+SPAN = 100 * 366 * 86400 * SECOND  # what a block of the highest level covers at least
+
+
+# expressions over arrays; ``gap`` is a number of microseconds, the other arguments are expressions
+
+
+def _after(steps: str, last: str, gap: int) -> str:
+    """What a block's step function makes of the last kept time before it."""
+    return f"coalesce(get(filter({steps}, s -> s.until > {last} + {gap}), 0).exit, {last})"
+
+
+def _distinct(steps: str) -> str:
+    """Of the pieces with one exit, which follow each other, the last is enough."""
+    return f"filter({steps}, (p, i) -> coalesce(get({steps}, i + 1).exit <> p.exit, true))"
+
+
+def _steps_of_times(times: str, gap: int) -> str:
+    """Step function of a block: an event that may be kept first, and the one that is then kept last.
+
+    The first kept event lies within a gap of the first event, or is the first one after that.
+    """
+    first = f"filter({times}, (t, i) -> i = 0 OR get({times}, i - 1) <= get({times}, 0) + {gap})"
+    exit_ = f"aggregate({times}, c, (last, t) -> if(t > last + {gap}, t, last))"
+    return f"transform({first}, c -> named_struct('until', c, 'exit', {exit_}))"
+
+
+def _chained(children: str, limit: str, gap: int) -> str:
+    """The step functions of neighbouring blocks, in order of time, as one.
+
+    The last kept time before the blocks is less than a gap before ``limit``,
+    so of the pieces behind it only the first can be reached.
+    """
+    kept = f"transform(so_far, p -> named_struct('until', p.until, 'exit', {_after('block.steps', 'p.exit', gap)}))"
+    reached = f"filter(all, (q, i) -> i = 0 OR get(all, i - 1).until <= {limit})"
+    # an array of one element stands for a value that is computed once
+    chain = f"get(transform(array(concat({kept}, block.steps)), all -> {reached}), 0)"
+    return f"aggregate({children}, filter(get({children}, 0).steps, s -> false), (so_far, block) -> {chain})"
+
+
+def _entries(children: str, entry: str, gap: int) -> str:
+    """(block, entry) for every block of ``children``: the last kept time before it, given that before the first one."""
+    start = f"named_struct('last', {entry}, 'found', array(named_struct('block', 0L, 'entry', {entry})))"
+    told = "array(named_struct('block', child.block, 'entry', now.last))"
+    step = f"named_struct('last', {_after('child.steps', 'now.last', gap)}, 'found', concat(now.found, {told}))"
+    return f"slice(aggregate({children}, {start}, (now, child) -> {step}).found, 2, size({children}))"
+
+
+def _kept(times: str, entry: str, gap: int) -> str:
+    start = f"named_struct('last', {entry}, 'kept', filter({times}, t -> false))"
+    step = f"if(t > now.last + {gap}, named_struct('last', t, 'kept', concat(now.kept, array(t))), now)"
+    return f"aggregate({times}, {start}, (now, t) -> {step}).kept"
+
 
-def _next_after(t: np.ndarray, gap: int) -> np.ndarray:
-    """Index of the first time more than ``gap`` after each time."""
-    return np.searchsorted(t, t + gap, side="right")
-
-
-def _chunk_exits(gap: int):
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            starts, exits = [], []
-            for times in pdf["times"]:
-                t = np.sort(np.asarray(times, dtype=np.int64))
-                nxt = _next_after(t, gap)
-                # the first kept event lies within one gap of the first event,
-                # or is the first one after that
-                reachable = min(len(t), int(np.searchsorted(t, t[0] + gap, side="right")) + 1)
-                at = np.arange(reachable)
-                # each hop passes a gap, so the hops are few
-                while (open_ := nxt[at] < len(t)).any():
-                    at = np.where(open_, nxt[at], at)
-                last = t[at]
-                ends = np.append(np.flatnonzero(np.diff(last)), reachable - 1)
-                starts.append(t[ends])
-                exits.append(last[ends])
-            yield pdf[[PERF, "chunk"]].assign(until=starts, exit=exits)
-
-    return fn
-
-
-def _fold_chunks(gap: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        entries, last = [], None
-        for until, exits in zip(pdf["until"], pdf["exit"]):
-            entries.append(last)
-            until = np.asarray(until)
-            i = 0 if last is None else int(np.searchsorted(until, last + gap, side="right"))
-            if i < len(until):
-                last = int(np.asarray(exits)[i])
-        return pdf[[PERF, "chunk"]].assign(entry=pd.array(entries, dtype="Int64"))
-
-    return fn
-
-
-def _mark_chunk(gap: int):
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            kept = []
-            for times, entry in zip(pdf["times"], pdf["entry"]):
-                t = np.sort(np.asarray(times, dtype=np.int64))
-                nxt = _next_after(t, gap)
-                i = 0 if pd.isna(entry) else int(np.searchsorted(t, int(entry) + gap, side="right"))
-                picks = []
-                while i < len(t):
-                    picks.append(t[i])
-                    i = nxt[i]
-                kept.append(picks)
-            yield pdf[[PERF]].assign(kept=kept)
-
-    return fn
-
-
-def debounced(events: DataFrame, gap_seconds: float, chunk_gaps: int = 6) -> DataFrame:
+def debounced(events: DataFrame, gap_seconds: float, chunk_gaps: int = 6, fan: int = FAN) -> DataFrame:
     """Greedy debounce: keep an event more than ``gap`` after the last kept one.
 
-    The rule is sequential, but a chunk of time acts on the last kept time as a
-    small step function: which first event is picked decides which event is kept
-    last. Chunks compute that function side by side, a fold over one row per
-    chunk finds each chunk's entry, and the chunks then mark their events. A
-    chunk holds distinct microseconds of a few gaps; the fold of a performance
-    holds one short row per chunk that has events.
+    The rule is sequential, but a block of time acts on the last kept time as a
+    step function, and step functions can be chained in any grouping. Blocks of
+    a few gaps compute theirs; ``fan`` neighbours are chained into a block of
+    the next level, until a level's blocks cover a century; from the top the
+    last kept time before every block is handed down, and the lowest blocks mark
+    their events. No group holds more than ``fan`` rows of an earlier level, and
+    a step function has a piece for each event of one gap at most, so a dense
+    block costs events times events of a gap. Empty blocks have no row.
     """
-    gap = int(gap_seconds * SECOND)
-    chunks = (
-        events.groupBy(PERF, "time")
-        .agg(F.lit(1))
-        .withColumn("chunk", bin_micros("time", gap_seconds * chunk_gaps))
-        .groupBy(PERF, "chunk")
-        .agg(F.collect_list(F.unix_micros("time")).alias("times"))
+    def start_of(c: str, length: int) -> Column:
+        # never null, so that no join asks for it and both uses of a level read one exchange
+        return F.coalesce(F.col(c) - F.pmod(c, F.lit(length).cast("long")), F.lit(0))
+
+    gap, size = int(gap_seconds * SECOND), int(gap_seconds * chunk_gaps * SECOND)
+    blocks = (
+        events.select(PERF, F.unix_micros("time").alias("__t"))
+        .filter(F.col(PERF).isNotNull() & F.col("__t").isNotNull())
+        .groupBy(PERF, start_of("__t", size).alias("block"))
+        .agg(F.sort_array(F.collect_set("__t")).alias("times"))
     )
-    key = chunks.schema[PERF].dataType.simpleString()
-    exits = chunks.mapInPandas(_chunk_exits(gap), f"{PERF} {key}, chunk long, until array<long>, exit array<long>")
-    entries = exits.groupBy(PERF).applyInPandas(_fold_chunks(gap), f"{PERF} {key}, chunk long, entry long")
-    marked = chunks.join(entries, [PERF, "chunk"]).mapInPandas(_mark_chunk(gap), f"{PERF} {key}, kept array<long>")
-    return marked.select(PERF, F.explode("kept").alias("__us")).select(PERF, F.timestamp_micros("__us").alias("time"))
+    below = blocks.select(PERF, "block", F.expr(_steps_of_times("times", gap)).alias("steps"))
+    levels = []
+    while True:
+        top = size >= SPAN
+        size = min(size * fan, 1 << 61)
+        above = F.lit(NEVER).cast("long") if top else start_of("block", size)
+        child = F.struct("block", F.expr(_distinct("steps")).alias("steps")).alias("child")
+        level = below.select(PERF, above.alias("above"), child).groupBy(PERF, "above").agg(F.sort_array(F.collect_list("child")).alias("children"))
+        levels.append(level)
+        if top:
+            break
+        below = level.select(PERF, F.col("above").alias("block"), F.expr(_chained("children", f"above + {gap}", gap)).alias("steps"))
+    entries = levels.pop().select(PERF, F.expr(f"inline({_entries('children', f'{NEVER}L', gap)})"))
+    while levels:
+        told = levels.pop().join(entries.withColumnRenamed("block", "above"), [PERF, "above"])
+        entries = told.select(PERF, F.expr(f"inline({_entries('children', 'entry', gap)})"))
+    marked = blocks.join(entries, [PERF, "block"])
+    return marked.select(PERF, F.expr(f"explode({_kept('times', 'entry', gap)})").alias("__us")).select(PERF, F.timestamp_micros("__us").alias("time"))
 
 
 def with_debounce(events: DataFrame, gap_seconds: float) -> DataFrame:

@@ -110,9 +110,9 @@ def test_trailing_flux(spark, trail, width):
         assert got[k] == pytest.approx(want[k]), k
 
 
-@pytest.mark.parametrize("chunk_gaps", [1, 3, 60])
+@pytest.mark.parametrize("chunk_gaps,fan", [(1, 2**20), (3, 16), (60, 1024)])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_debounce(spark, chunk_gaps, seed):
+def test_debounce(spark, chunk_gaps, fan, seed):
     rnd = random.Random(seed)
     rows = [(1, rnd.randrange(0, 300_000) / 1000) for _ in range(400)]
     rows += [(2, rnd.choice([0, 60, 61, 71, 500, 505, 999])) for _ in range(9)]
@@ -124,7 +124,7 @@ def test_debounce(spark, chunk_gaps, seed):
             if last is None or round((s - last) * 1e6) > 10_000_000:
                 want.add((p, s))
                 last = s
-    got = {(r[PERF], seconds(r.time)) for r in se.debounced(event_frame(spark, rows), 10, chunk_gaps).collect()}
+    got = {(r[PERF], seconds(r.time)) for r in se.debounced(event_frame(spark, rows), 10, chunk_gaps, fan).collect()}
     assert got == want
 
 

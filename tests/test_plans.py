@@ -25,6 +25,8 @@ CORE = [
     "folds_plain",
     "bootstrap_sample",
     "confusion_matrix",
+    "debounced_new_ideas",
+    "performance_summary",
     "button_press_table",
     "matrix_dense_cells",
 ]
@@ -83,7 +85,7 @@ def counted(spark, df) -> tuple[int, int, int]:
 @pytest.mark.parametrize(
     "name,exchanges",
     # rows by (device, chunk); edges by device; then what each measure groups by
-    [("transition_steps", 2), ("flux_series", 4), ("trailing_flux", 4), ("rolling_flux_fifteen_rows", 5), ("gesture_line_segments", 2)],
+    [("transition_steps", 2), ("flux_series", 4), ("trailing_flux", 4), ("rolling_flux_fifteen_rows", 5), ("gesture_line_segments", 2), ("debounced_new_ideas", 4)],
 )
 def test_rows_are_read_and_dealt_out_once(spark, name, exchanges):
     scans, dealt, reused = counted(spark, QUERIES[name](spark, SMOKE))

@@ -75,6 +75,15 @@ def test_debounce(hot):
     assert out.count() == (ROWS - 1) // 101 + 1
 
 
+def test_debounce_over_ten_years(hot, spark):
+    """Dense hours far apart: levels are chained, and no group holds the performance's blocks."""
+    years = hot.limit(0)
+    for year in (0, 4, 10):
+        years = years.unionByName(hot.filter("time < timestamp_micros(600000000)").withColumn("time", F.col("time") + F.expr(f"INTERVAL {365 * year} DAYS")))
+    got = sorted(r.us for r in se.debounced(years, 10).select(F.unix_micros("time").alias("us")).collect())
+    assert got == [365 * 86_400_000_000 * year + 10_100_000 * k for year in (0, 4, 10) for k in range(60)]
+
+
 def test_folds(hot):
     out = ln.stratified_folds(hot.withColumn("label", F.lit(0)), "label", ["time"], digits=2)
     assert largest_share(out) < 0.3
