@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,7 @@ from fluxweave.operators import stats
 from fluxweave.operators import study as st
 from fluxweave.operators.ordering import hash_chunk, hash_order, with_row_number
 from fluxweave.plans import testviews as tv
+from fluxweave.plans import workflows as wf
 from fluxweave.plans.catalog.base import iso, query, rounded, rounded_sql
 from fluxweave.plans.catalog.vectors import rolling, rolling_sql, tumbling, tumbling_sql
 from fluxweave.plans.testviews import TICK, VECTOR, with_sql
@@ -282,6 +285,57 @@ def gesture_score_coverage(spark, d):
     )
 
 
+EVALUATED = {"wide": 2, "narrow": 3, "formal": 5}  # sets and how seldom their guesses are wrong
+EVALUATED_RUNS = 3
+_GUESSES = " UNION ALL ".join(
+    f"""SELECT '{name}' AS s, run, fold, quadrant, CASE WHEN (vec_id * 7 + run * 3) % {n} = 0 THEN (quadrant + 1) % 4 ELSE quadrant END AS guess FROM folds"""
+    for name, n in EVALUATED.items()
+)
+_ALL_FOLDS = " UNION ALL ".join(
+    f"""SELECT {r} AS run, vec_id, quadrant, (row_number() OVER (PARTITION BY quadrant ORDER BY {HASH.format(seed=r)}, vec_id) - 1) % {FOLDS} AS fold
+    FROM (SELECT vec_id, {QUADRANT} AS quadrant FROM embeddings)"""
+    for r in range(EVALUATED_RUNS)
+)
+
+
+@query(
+    "evaluation_statistics",
+    f"""WITH folds AS ({_ALL_FOLDS}), guesses AS ({_GUESSES}),
+    scores AS (SELECT s, run, fold, avg(CASE WHEN quadrant = guess THEN CAST(1 AS DOUBLE) ELSE 0 END) AS score FROM guesses GROUP BY ALL),
+    g AS (SELECT s, count(*) AS n, avg(score) AS m, var_samp(score) AS v, 2 * stddev_pop(score) AS two_sd FROM scores GROUP BY s),
+    t AS (SELECT count(*) AS k, sum(n) AS nn, (SELECT avg(score) FROM scores) AS gm FROM g)
+    SELECT 'mean' AS measure, s AS a, CAST(NULL AS VARCHAR) AS b, {rounded_sql('m', 'value')}, CAST(n AS BIGINT) AS dof FROM g
+    UNION ALL SELECT 'two_sd', s, NULL, {rounded_sql('two_sd', 'value')}, n FROM g
+    UNION ALL SELECT 'f', NULL, NULL, {rounded_sql('(SELECT sum(n * (m - gm) * (m - gm)) FROM g, t) / (k - 1) / ((SELECT sum((n - 1) * v) FROM g) / (nn - k))', 'value')}, nn - k FROM t
+    UNION ALL SELECT 't', x.s, y.s, {rounded_sql('(x.m - y.m) / sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2) * (1 / CAST(x.n AS DOUBLE) + 1 / CAST(y.n AS DOUBLE)))', 'value')}, x.n + y.n - 2
+    FROM g x JOIN g y ON (x.s, y.s) IN (('wide', 'narrow'), ('wide', 'formal'), ('narrow', 'formal'))""",
+)
+def evaluation_statistics(spark, d):
+    """The statistics of an evaluation over three sets of guesses, on the folds that cross-validation uses."""
+    folded = ln.folds_of_runs(quadrants(spark, d), "quadrant", ["vec_id"], FOLDS, EVALUATED_RUNS)
+    each = folded.select("vec_id", "quadrant", F.posexplode("folds").alias("run", "fold"))
+    wrong = reduce(lambda out, s: out.when(F.col("set") == s[0], (F.col("vec_id") * 7 + F.col("run") * 3) % s[1] == 0), EVALUATED.items(), F)
+    sets = each.withColumn("set", F.explode(F.array(*map(F.lit, EVALUATED))))
+    guesses = sets.withColumn("prediction", F.when(wrong, (F.col("quadrant") + 1) % 4).otherwise(F.col("quadrant")))
+    found = wf.evaluation(guesses, list(EVALUATED), "quadrant")
+    sizes = found["scores"].groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    intervals = found["intervals"].join(sizes, "set")
+
+    def told(df, measure, a, b, value, dof):
+        return df.select(F.lit(measure).alias("measure"), a.cast("string").alias("a"), b.cast("string").alias("b"), rounded(value, "value"), F.col(dof).cast("long").alias("dof"))
+
+    none = F.lit(None)
+    return reduce(
+        lambda x, y: x.unionByName(y),
+        [
+            told(intervals, "mean", F.col("set"), none, F.col("mean"), "n"),
+            told(intervals, "two_sd", F.col("set"), none, F.col("two_sd"), "n"),
+            told(found["anova"], "f", none, none, F.col("f"), "df_within"),
+            told(found["t_tests"], "t", F.col("a"), F.col("b"), F.col("t"), "dof"),
+        ],
+    )
+
+
 # --- statistics -------------------------------------------------------------------
 
 

@@ -46,8 +46,8 @@ def arriving(spark, d, late=None):
     return path
 
 
-def event_stream(spark, d, late=None):
-    raw = live.message_stream(spark, arriving(spark, d, late), EVENTS_DDL, files=1)
+def event_stream(spark, d, late=None, files=1):
+    raw = live.message_stream(spark, arriving(spark, d, late), EVENTS_DDL, files=files)
     return raw.select(
         "event_id",
         (F.col("user_id") % 10).alias(PERF),
@@ -121,6 +121,54 @@ def gesture_log(spark, d):
     return spark.read.parquet(path).join(heard, [PERF, DEV, "time"], "left")
 
 
+LEFT = f"""SELECT h.*, lead(time) OVER (PARTITION BY performance_id, device_id ORDER BY time) AS following,
+    (SELECT min(e.time) FROM ev e WHERE e.event_type = 'error' AND e.performance_id = h.performance_id AND e.device_id = h.device_id AND e.time >= h.time) AS leaves
+    FROM closed h"""
+
+
+@query(
+    "stream_devices_leave",
+    with_sql(
+        f"""SELECT performance_id, device_id, {iso_sql('time')}, CAST(gesture AS INT) AS gesture FROM (
+          SELECT performance_id, device_id, time, freq % 9 AS gesture FROM closed UNION ALL
+          SELECT performance_id, device_id, unnest(generate_series(time + INTERVAL {TICK} SECOND, least(coalesce(following - INTERVAL {TICK} SECOND, last), coalesce(leaves, last), last), INTERVAL {TICK} SECOND)) AS time, 0 AS gesture
+          FROM left_at, (SELECT max(time) AS last FROM closed))""",
+        "touches",
+        closed=f"SELECT * FROM ({SLIDING}) WHERE time <= {WATERMARK}",
+        left_at=LEFT,
+    ),
+)
+def stream_devices_leave(spark, d):
+    """Predictions and offline messages as one stream of events: a device is idle up to when it leaves, also after its last vector."""
+    vectors = live.live_features(touch_stream(spark, d), VECTOR, TICK, DELAY).drop("window")
+    guess = (F.col("freq") % 9).cast("int").alias("prediction")  # stands for a model's
+    predicted = live.run_to_table(vectors.select(PERF, DEV, "time", guess), "live-guesses")
+    kind = F.when(F.col("event_type") == "error", "offline").otherwise("touch")
+    # all that has arrived is one batch, so every departure is known when the ticks come
+    messages = event_stream(spark, d, files=None).select(PERF, DEV, "time", kind.alias("kind"))
+    guesses = live.message_stream(spark, predicted, f"{PERF} long, {DEV} string, time timestamp, prediction int")
+    path = live.run_to_table(live.fill_idle(guesses, TICK, live.leaving(messages)), "live-log")
+    return spark.read.parquet(path).select(PERF, DEV, iso("time"), "gesture")
+
+
+VIEW_TICKS, VIEW_SECONDS = 12, 3 * DAY  # stand for 300 ticks and 60 s
+
+
+@query(
+    "stream_recent_log",
+    with_sql(
+        f"""SELECT performance_id, device_id, {iso_sql('time')}, gesture FROM
+        (SELECT *, max(time) OVER (PARTITION BY performance_id) AS newest, dense_rank() OVER (PARTITION BY performance_id ORDER BY gestures.time DESC) AS tick FROM gestures)
+        WHERE tick <= {VIEW_TICKS} AND time > newest - INTERVAL {VIEW_SECONDS} SECOND""",
+        "gestures",
+    ),
+)
+def stream_recent_log(spark, d):
+    """The bounded live view after the last batch."""
+    view = live.live_recent(gesture_stream(spark, d), VIEW_TICKS, VIEW_SECONDS, DELAY)
+    return live.current_view(spark, live.run_updates(view, "live-view")).select(PERF, DEV, iso("time"), "gesture")
+
+
 CHUNK_SQL = f"{bin_sql('time', WIDTH)} + INTERVAL {WIDTH} SECOND"
 ARRIVED = f"SELECT * FROM ({STEPS5}) WHERE {CHUNK_SQL} <= {WATERMARK}"  # steps of closed chunks
 

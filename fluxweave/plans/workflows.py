@@ -6,6 +6,10 @@ not a loop.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import combinations
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from fluxweave.functions import scalars as sc
 from fluxweave.operators import learning as ln
 from fluxweave.operators import messages as ms
 from fluxweave.operators import series as se
+from fluxweave.operators import stats
 from fluxweave.operators import study as st
 from fluxweave.operators import transitions as tr
 from fluxweave.operators.ordering import CHUNK_SECONDS
@@ -57,7 +62,7 @@ def score_touches(touches: DataFrame, model: PipelineModel, out: str) -> DataFra
 
 
 def posthoc(gestures: DataFrame, width: float = dims.FLUX_SECONDS, threshold: float = dims.NEW_IDEA_POSTHOC) -> dict[str, DataFrame]:
-    """Flux per window, new ideas, ensemble states, rolling flux, and matrices of each performance."""
+    """Flux per window, new ideas, ensemble states, rolling and trailing flux, and matrices of each performance."""
     steps = tr.state_steps(gestures)
     counts = tr.window_counts(steps, width)
     series = se.flux_series(counts)
@@ -68,6 +73,7 @@ def posthoc(gestures: DataFrame, width: float = dims.FLUX_SECONDS, threshold: fl
         "new_ideas": se.marker_shift(ideas, int(width)),
         "states": tr.ensemble_state(counts, [PERF, "window_start"]),
         "rolling_flux": se.rolling_flux(steps),
+        "trailing_flux": se.trailing_flux(steps, dims.TRAILING_SECONDS, width),
         "matrices": tr.dense_cells(counts, [PERF, "window_start"]),
     }
 
@@ -90,12 +96,38 @@ def training_data(touches: DataFrame, targets: DataFrame, out: str) -> str:
     return tb.write_exact_csv(rows.select("time", *dims.FEATURE_COLUMNS, "target"), out)
 
 
+def evaluate(
+    sets: Mapping[str, DataFrame], identity: Sequence[str], columns: Sequence[str] = dims.FEATURE_COLUMNS, label: str = "gesture", folds: int = 10, runs: int = 10, **options
+) -> dict[str, DataFrame]:
+    """Classifier evaluation over several training sets, each named: repeated stratified cross-validation and its statistics.
+
+    Gives the accuracy of every set, run and fold (``scores``), each set's mean
+    accuracy and twice its standard deviation (``intervals``), its confusion
+    matrix, and the sets' analysis of variance and pairwise t over the scores.
+    """
+    guesses = [ln.cross_validate(df, columns, label, identity, folds, runs, **options).withColumn("set", F.lit(name)) for name, df in sets.items()]
+    return evaluation(reduce(DataFrame.unionByName, guesses), list(sets), label)
+
+
+def evaluation(predictions: DataFrame, names: Sequence[str], label: str = "gesture") -> dict[str, DataFrame]:
+    """Statistics of the predictions (set, run, fold, label, prediction) of several training sets."""
+    scores = st.graded_scores(predictions, ["set", "run", "fold"], label)
+    return {
+        "scores": scores,
+        "intervals": stats.accuracy_interval(scores, "accuracy", ["set"]),
+        "confusion": st.confusion(predictions, ["set"], label),
+        "anova": stats.anova(scores, "set", "accuracy"),
+        "t_tests": stats.pooled_t(scores, "set", "accuracy", list(combinations(names, 2))),
+    }
+
+
 def live_session(touches: DataFrame, model: PipelineModel, out: str, delay: str = live.DELAY, offline: DataFrame | None = None, chunk: float = CHUNK_SECONDS) -> dict[str, str]:
     """Live analysis of a touch stream up to what has arrived.
 
     Vectors are classified into a gesture log with a state at every tick of every
-    active device (``offline`` is a table of when devices leave); the log feeds
-    state pairs, and these feed flux, ensemble state and new ideas. Each stage
+    active device (``offline``, a stream or a table, says when devices leave); the
+    log feeds the bounded view (``live.current_view``) and state pairs, and these
+    feed flux, ensemble state and new ideas. Each stage
     keeps its own checkpoint, so calling again goes on where the last call stopped.
     """
     spark = touches.sparkSession
@@ -115,6 +147,7 @@ def live_session(touches: DataFrame, model: PipelineModel, out: str, delay: str
     series = live.message_stream(spark, flux, f"{PERF} {key}, time timestamp, flux double")
     return {
         "gestures": log,
+        "view": live.run_updates(live.live_recent(gestures, delay=delay), "view", path=f"{out}/view"),
         "steps": steps_path,
         "flux": flux,
         "states": live.run_to_table(live.live_state(steps(), delay=delay), "states", path=f"{out}/states"),

@@ -15,16 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fluxweave.dims import DEV, FEATURE_SECONDS, FLUX_SECONDS, NEW_IDEA_LIVE, PERF, TICK_SECONDS
+from fluxweave.dims import (
+    DEV,
+    FEATURE_SECONDS,
+    FLUX_SECONDS,
+    GESTURE_RETENTION_ROWS,
+    GESTURE_RETENTION_SECONDS,
+    NEW_IDEA_LIVE,
+    PERF,
+    TICK_SECONDS,
+)
 from fluxweave.functions import matrix as mx
 from fluxweave.operators import transitions as tr
 from fluxweave.operators.features import vector_columns
 from fluxweave.operators.messages import route_messages
 from fluxweave.operators.ordering import CHUNK_SECONDS
+from fluxweave.operators.sides import with_side
 from fluxweave.session import shared_folder
 from fluxweave.sources.formats import DEFAULT_FORMAT, LogFormat
 
 DELAY = "10 seconds"
+FORGET_SECONDS = 3600  # after which a performance's live view is dropped
 
 
 def _span(seconds: float) -> str:
@@ -72,20 +83,34 @@ def live_features(
     return grouped.agg(*vector_columns("moving")).withColumn("time", F.col("window.end"))
 
 
+def leaving(messages: DataFrame) -> DataFrame:
+    """When devices leave: the offline messages of a routed stream (or table), for ``fill_idle``."""
+    return messages.filter(F.col("kind") == "offline").select(PERF, DEV, "time")
+
+
 def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
     """A state for every active device at every tick: the prediction, else 0, up to the watermark.
 
-    A device is active from its first prediction on, silent or not, until a time
-    in the table ``offline`` (performance, device, time), and again from its next
-    prediction. Ticks come from the watermark: a device that has fallen silent
-    gets its zeros when the stream's time moves on. ``predicted`` holds one row
-    per device and tick, so one device is a row each tick, whatever it plays. A
+    A device is active from its first prediction on, silent or not, until it
+    leaves, and again from its next prediction. ``offline`` (performance,
+    device, time) says when devices leave. As a stream it joins the predictions
+    in one stream of events with one state per device, so a device may leave at
+    any time after its last prediction, or before its last ones have come; as a
+    table it tells what is known when a device's predictions come. Ticks come
+    from the watermark, which the predictions alone move: a device that has
+    fallen silent gets its zeros when the stream's time moves on. What was given
+    out before an offline message came stays. ``predicted`` holds one row per
+    device and tick, so one device is a row each tick, whatever it plays. A
     prediction older than the watermark is dropped.
     """
     step, block = round(tick * 1_000_000), 100_000
     rows = predicted.select(PERF, DEV, "time", F.col("prediction").cast("int").alias("gesture"))
     if offline is None:
         rows = rows.withColumn("stops", F.array().cast("array<long>"))
+    elif offline.isStreaming:
+        # without a time of its own such a row is never late and moves no watermark
+        left = offline.select(PERF, DEV, F.lit(None).cast("timestamp").alias("time"), F.lit(None).cast("int").alias("gesture"), F.array(F.unix_micros("time")).alias("stops"))
+        rows = rows.withColumn("stops", F.array().cast("array<long>")).unionByName(left)
     else:
         stops = offline.groupBy(PERF, DEV).agg(F.collect_set(F.unix_micros("time")).alias("stops"))
         rows = rows.join(stops, [PERF, DEV], "left").withColumn("stops", F.coalesce("stops", F.array().cast("array<long>")))
@@ -96,9 +121,10 @@ def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFra
         following, heard, gone = state.get if state.exists else (None, None, [])
         given: dict[int, int] = {}
         for part in batches:
-            micros = part["time"].to_numpy().astype("datetime64[us]").astype("int64")
-            given.update(zip(micros.tolist(), part["gesture"].tolist()))
             gone = sorted({*gone, *(int(t) for times in part["stops"] for t in times)})
+            part = part[part["time"].notna()]
+            micros = part["time"].to_numpy().astype("datetime64[us]").astype("int64")
+            given.update(zip(micros.tolist(), part["gesture"].astype("int64").tolist()))
 
         def idle(last: int) -> Iterator[tuple[int, int]]:
             """Zeros up to ``last``, or to when the device leaves."""
@@ -125,13 +151,15 @@ def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFra
         every = states()
         while some := list(itertools.islice(every, block)):
             yield pd.DataFrame({PERF: key[0], DEV: key[1], "time": pd.to_datetime([t for t, _ in some], unit="us"), "gesture": [g for _, g in some]})
-        if following is None:
+        # an active device needs what lies behind its last prediction, another what the watermark has not passed
+        gone = [t for t in gone if t >= (upto if following is None else heard)]
+        if following is None and not gone:
             if state.exists:
                 state.remove()
             return
         state.update((following, heard, gone))
         # a time-out needs a watermark beyond it, a tick one that has reached it
-        state.setTimeoutTimestamp(max(following // 1000 - 1, upto // 1000))
+        state.setTimeoutTimestamp(max((gone[-1] if following is None else following) // 1000 - 1, upto // 1000))
 
     key = rows.schema[PERF].dataType.simpleString()
     return rows.withWatermark("time", delay).groupBy(PERF, DEV).applyInPandasWithState(
@@ -143,6 +171,50 @@ def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFra
     )
 
 
+def live_recent(log: DataFrame, ticks: int = GESTURE_RETENTION_ROWS, seconds: float = GESTURE_RETENTION_SECONDS, delay: str = DELAY, forget: float = FORGET_SECONDS) -> DataFrame:
+    """What a live view shows of a gesture log: each performance's last ``ticks`` ticks, of these the last ``seconds``.
+
+    The state is a ring of those rows, whatever the length of the performance,
+    and is dropped once the watermark is ``forget`` seconds past them. With
+    every batch a performance's whole view comes out with ``upto``, its newest
+    time; the rows with the greatest one are the view (``current_view``).
+    """
+    keep = round(seconds * 1_000_000)
+
+    def view(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.DataFrame(dict(zip(("time", DEV, "gesture"), state.get if state.exists else ([], [], []))))
+        for part in batches:
+            micros = part["time"].to_numpy().astype("datetime64[us]").astype("int64")
+            fresh = pd.DataFrame({"time": micros, DEV: part[DEV].to_numpy(), "gesture": part["gesture"].to_numpy()})
+            rows = pd.concat([rows, fresh]) if len(rows) else fresh
+            times = rows["time"].drop_duplicates().nlargest(ticks)
+            rows = rows[(rows["time"] >= times.min()) & (rows["time"] > times.max() - keep)]
+        newest = int(rows["time"].max())
+        state.update((rows["time"].tolist(), rows[DEV].tolist(), [None if pd.isna(g) else int(g) for g in rows["gesture"]]))
+        state.setTimeoutTimestamp(max(newest // 1000 + round(forget * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({PERF: key[0], "upto": pd.to_datetime(newest, unit="us"), DEV: rows[DEV].to_numpy(), "time": pd.to_datetime(rows["time"], unit="us").to_numpy(), "gesture": rows["gesture"].to_numpy()})
+
+    key = log.schema[PERF].dataType.simpleString()
+    rows = log.select(PERF, DEV, "time", F.col("gesture").cast("int").alias("gesture")).withWatermark("time", delay)
+    return rows.groupBy(PERF).applyInPandasWithState(
+        view,
+        f"{PERF} {key}, upto timestamp, {DEV} string, time timestamp, gesture int",
+        "times array<long>, devices array<string>, gestures array<int>",
+        "update",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def current_view(spark: SparkSession, path: str) -> DataFrame:
+    """Each performance's newest view among what ``run_updates`` has written of ``live_recent``."""
+    batches = spark.read.parquet(path)  # with the number of the batch as a column
+    newest = batches.groupBy(PERF).agg(F.max("batch").alias("batch"))
+    return with_side(batches, newest, [PERF, "batch"], "left_semi").select(PERF, DEV, "time", "gesture")
+
+
 def live_chunks(gestures: DataFrame, states: str = "group", gesture: str = "gesture", chunk: float = CHUNK_SECONDS, delay: str = DELAY) -> DataFrame:
     """A device's rows of one chunk of time, in order, once the watermark has passed the chunk.
 

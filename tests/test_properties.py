@@ -219,6 +219,54 @@ def test_silent_devices_get_a_state_at_every_tick(spark, tmp_path):
     assert got == want
 
 
+def test_devices_leave_after_their_last_vector(spark, tmp_path):
+    """Offline messages are events of the same state: one comes before the device's first prediction, one long after its last."""
+    guesses, gone = str(tmp_path / "in"), str(tmp_path / "gone")
+
+    def told(rows, path):
+        gesture_frame(spark, rows).withColumnRenamed("gesture", "prediction").coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = live.message_stream(spark, guesses, f"{PERF} int, {DEV} string, time timestamp, prediction int")
+        offline = live.message_stream(spark, gone, f"{PERF} int, {DEV} string, time timestamp, prediction int").withColumn("kind", F.lit("offline"))
+        path = live.run_to_table(live.fill_idle(stream, 1, live.leaving(offline)), "log", path=str(tmp_path / "out"))
+        rows = spark.read.parquet(path).collect()
+        assert len({(r[DEV], r.time) for r in rows}) == len(rows)
+        return {(r[DEV], int(seconds(r.time))): r.gesture for r in rows}
+
+    told([(1, "a", 1, 4), (1, "a", 3, 5), (1, "b", 2, 7)], guesses)
+    told([(1, "c", 6, 0)], gone)  # before c plays at all
+    run()
+    told([(1, "a", 5.5, 0)], gone)  # after the last vector of a, and without any more of them
+    told([(1, "b", 9, 3), (1, "c", 4, 1)], guesses)
+    run()
+    told([(1, "b", 31, 2)], guesses)
+    want = {("a", s): 0 for s in range(1, 6)} | {("b", s): 0 for s in range(2, 32)} | {("c", s): 0 for s in range(4, 7)}
+    want |= {("a", 1): 4, ("a", 3): 5, ("b", 2): 7, ("b", 9): 3, ("b", 31): 2, ("c", 4): 1}
+    assert run() == want
+    told([(1, "a", 40, 6)], guesses)  # and it may come back
+    got = run()
+    assert got[("a", 40)] == 6 and not any(("a", s) in got for s in range(6, 40))
+
+
+def test_live_view_is_the_batch_view_after_every_batch(spark, tmp_path):
+    rows = [(p, d, s, (s + len(d)) % 9) for p in (1, 2) for d in ("a", "bb") for s in range(0, 400, 1 + p)]
+    random.Random(3).shuffle(rows)
+    rows.sort(key=lambda r: r[2] // 10)  # out of order within ten seconds
+    cut = [rows[:1], rows[1:90], rows[90:400], [r for r in rows[400:] if r[0] == 2], [r for r in rows[400:] if r[0] == 1]]
+    for ticks, keep in ((7, 60), (300, 60), (300, 5)):
+        source, out, seen = str(tmp_path / f"in{ticks}-{keep}"), str(tmp_path / f"out{ticks}-{keep}"), []
+        for part in cut:
+            seen += part
+            gesture_frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+            stream = live.message_stream(spark, source, f"{PERF} int, {DEV} string, time timestamp, gesture int")
+            path = live.run_updates(live.live_recent(stream, ticks, keep, "500 seconds"), "view", path=out)
+            got = sorted(map(tuple, live.current_view(spark, path).collect()))
+            want = ms.retain_seconds(ms.retain_ticks(gesture_frame(spark, seen), ticks), keep)
+            assert got == sorted(map(tuple, want.select(PERF, DEV, "time", "gesture").collect()))
+            assert len(got) == len(set(got)) > 0
+
+
 def test_fractional_widths_on_a_stream(spark, tmp_path):
     rows = [(1, "a", s / 4, 1, 1, 1) for s in range(40)]
     touch_frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -1,5 +1,6 @@
 """Whole jobs over small archives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluxweave.dims import DEV, FEATURE_COLUMNS, PERF
@@ -66,6 +67,18 @@ def test_training_data(spark, tmp_path):
     assert read.count() == 16 and read.filter("gesture = 100").count() == 0
 
 
+def test_evaluation_of_several_sets(spark):
+    good = labelled_vectors(spark, 120)
+    noise = good.withColumn("gesture", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int"))
+    found = wf.evaluate({"good": good, "noise": noise}, ["id"], folds=3, runs=2, trees=10)
+    assert found["scores"].groupBy("set").count().filter("count = 6").count() == 2
+    means = {r["set"]: r["mean"] for r in found["intervals"].collect()}
+    assert means["good"] > 0.95 > 0.6 > means["noise"]
+    assert found["anova"].first().f > 10 and found["t_tests"].first().t > 3
+    shares = {r["set"]: r["whole"] for r in found["confusion"].groupBy("set").agg(F.sum("share").alias("whole")).collect()}
+    assert shares == pytest.approx({"good": 1, "noise": 1})
+
+
 def test_live_session_continues(spark, tmp_path):
     rows = [(1, d, s / 2, 100 + s * (1 + i), 50, s % 4) for i, d in enumerate("ab") for s in range(240)]
     model = ln.train_forest(labelled_vectors(spark), trees=3, depth=3)
@@ -76,6 +89,7 @@ def test_live_session_continues(spark, tmp_path):
         stream = live.message_stream(spark, str(tmp_path / "in"), schema)
         paths = wf.live_session(stream, model, str(tmp_path / "out"), chunk=10)
         sizes.append({k: spark.read.parquet(f"{p}/*/data" if k == "steps" else p).count() for k, p in paths.items() if k != "new_ideas"})
+        assert 0 < live.current_view(spark, paths["view"]).count() <= 2 * 60
     assert 0 < sizes[0]["flux"] < sizes[1]["flux"]
     log = spark.read.parquet(paths["gestures"])
     assert log.groupBy(PERF, DEV, "time").count().filter("count > 1").count() == 0
