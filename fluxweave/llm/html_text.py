@@ -10,6 +10,7 @@ blocks at once: a doubtful line between two paragraphs goes with them.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import deque
@@ -32,6 +33,9 @@ UNSEEN_TAGS = frozenset("script style head title noscript template svg math ifra
 # a start tag that closes an open one of these by itself
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
+PARAGRAPH = frozenset(("p",))
+BLOCKS_AROUND_PARAGRAPHS = BLOCK_TAGS - PARAGRAPH
+HOLDERS = frozenset(("ul", "ol", "dl", "table", "menu", "select"))
 BOILER_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_NAME = re.compile(
@@ -42,13 +46,18 @@ BOILER_NAME = re.compile(
 )
 BOILER_ROLES = frozenset("banner navigation complementary contentinfo search form dialog alert menu menubar toolbar".split())
 ARTICLE_NAME = re.compile(r"(?:^|[-_ ])(?:article|articlebody|content|entry|post|story|main|body|text)(?:$|[-_ ])", re.I)
-SPACE = re.compile(r"\s+")
 
 # weights of the classifier's logit for article
 BIAS, IN_ARTICLE, ARTICLE_CLASS, IN_BOILER, LINKED, LENGTH, SENTENCE, HEADING, OUTSIDE = -0.6, 3.0, 1.2, -7.0, -4.0, 0.5, 0.6, 0.3, -2.5
 NEXT_TO, SAME_PARENT = 0.6, 0.8  # costs of parting neighbours, the second fading with their distance in the tree
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _told_by(names: str) -> tuple[bool, bool]:
+    """Whether class and id speak of an article, and of boilerplate."""
+    return bool(ARTICLE_NAME.search(names)), bool(BOILER_NAME.search(names))
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -78,9 +87,12 @@ class PageBlocks(HTMLParser):
         self.count = self.unseen = self.links = 0
         self.has_article = False
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines are not counted
+
     def _end_block(self) -> None:
         if self.current is not None:
-            self.current.text = SPACE.sub(" ", "".join(self.current.parts)).strip()
+            self.current.text = " ".join("".join(self.current.parts).split())
             if self.current.text:
                 self.blocks.append(self.current)
             self.current = None
@@ -110,9 +122,9 @@ class PageBlocks(HTMLParser):
         if tag in BLOCK_TAGS:
             self._end_block()
             if tag in ENDS_PARAGRAPH:
-                self._close_last({"p"}, BLOCK_TAGS - {"p"})
+                self._close_last(PARAGRAPH, BLOCKS_AROUND_PARAGRAPHS)
             if tag in CLOSES:
-                self._close_last(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "menu", "select")))
+                self._close_last(CLOSES[tag], HOLDERS)
         if tag in VOID_TAGS:
             return
         article = tag in ("article", "main")
@@ -124,8 +136,8 @@ class PageBlocks(HTMLParser):
             article = article or given.get("role") in ("main", "article")
             boiler = boiler or given.get("role") in BOILER_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             if names != " ":
-                named = bool(ARTICLE_NAME.search(names))
-                boiler = boiler or (tag not in ("body", "html", "article", "main") and bool(BOILER_NAME.search(names)))
+                named, of_boiler = _told_by(names)
+                boiler = boiler or (tag not in ("body", "html", "article", "main") and of_boiler)
         self.count += 1
         self.open.append(Node(tag, self.count, boiler, article, named, len(self.open)))
         self.has_article = self.has_article or article

@@ -50,6 +50,18 @@ def response_block(html: str | None) -> bytes:
     return head.encode() + body
 
 
+def response_of(page_id: int | None, url: str | None, html: str | None, date: str) -> dict:
+    """The response record of a page."""
+    block = response_block(html)
+    uri = clean_field(url or "") or f"urn:page:{page_id}"
+    _, fields, body = split_http(block)
+    whole = digest(block)
+    return {
+        "record_type": "response", "record_id": record_id("response", str(page_id), uri, whole), "refers_to": None, "target_uri": uri, "date": date,
+        "content_type": "application/http; msgtype=response", "payload_digest": digest(body), "block_digest": whole, "http_headers": fields, "block": block,
+    }
+
+
 def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     """Status line, fields (names in lower case, repeated ones joined by a comma) and body of an HTTP response."""
     head, _, body = block.partition(b"\r\n\r\n")
@@ -233,16 +245,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 rows = []
                 for r in batch.slice(at, BATCH_ROWS).to_pylist():
-                    block = response_block(r["html"])
-                    uri = clean_field(r["url"] or "") or f"urn:page:{r['page_id']}"
-                    _, fields, body = split_http(block)
-                    rows.append(
-                        {
-                            "page_id": r["page_id"], "record_type": "response", "record_id": record_id("response", str(r["page_id"]), uri, digest(block)), "refers_to": None,
-                            "target_uri": uri, "date": date, "content_type": "application/http; msgtype=response", "payload_digest": digest(body),
-                            "block_digest": digest(block), "http_headers": fields, "block": block,
-                        }
-                    )
+                    rows.append({"page_id": r["page_id"], **response_of(r["page_id"], r["url"], r["html"], date)})
                 yield _batch(rows, schema)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"page_id long, {RECORD}")
@@ -303,13 +306,36 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, RECORD)
 
 
-def op10_warc_derivatives(spark, sf_dir: str) -> DataFrame:
-    """Both derived records of the response record of every page, with the bytes they have in a file."""
-    made = derivatives(responses(table(spark, sf_dir, "pages")), "page_id")
-    return with_bytes(made).select(
-        "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", F.to_json("http_headers").alias("http_headers"),
-        F.length("block").cast("long").alias("content_length"), F.col("block").cast("string").alias("content"), F.length("record").cast("long").alias("record_length"),
-        F.sha2("record", 256).alias("record_sha256"),
-    )
+def page_derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """The derived records of every page's response, from html in one pass: what ``derivatives(responses(pages), "page_id")`` gives.
 
+    The response itself stays in the task. In place of the block stands its
+    text as ``content``, and record_length and record_sha256 tell of the bytes
+    that the record has in a file.
+    """
+    told = [n for n in NAMES if n != "block"]
+    schema = f"page_id long, {RECORD.removesuffix(', block binary')}, content string, content_length long, record_length long, record_sha256 string"
+    kinds = [_ARROW.field(n).type for n in told] + [pa.string(), pa.int64(), pa.int64(), pa.string()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                ids, columns = [], [[] for _ in kinds]
+                for page_id, url, html in zip(*[part.column(c).to_pylist() for c in ("page_id", "url", "html")]):
+                    for made in derive(response_of(page_id, url, html, date)):
+                        ids.append(page_id)
+                        data = record_bytes(made)
+                        made["http_headers"] = list(made["http_headers"].items())
+                        facts = made["block"].decode(), len(made["block"]), len(data), hashlib.sha256(data).hexdigest()
+                        for column, value in zip(columns, (*[made[n] for n in told], *facts)):
+                            column.append(value)
+                arrays = [pa.array(ids, pa.int64()), *map(pa.array, columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, ["page_id", *told, "content", "content_length", "record_length", "record_sha256"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+
+
+def op10_warc_derivatives(spark, sf_dir: str) -> DataFrame:
+    """Both derived records of the response record of every page, with the bytes they have in a file."""
+    return page_derivatives(table(spark, sf_dir, "pages")).withColumn("http_headers", F.to_json("http_headers"))

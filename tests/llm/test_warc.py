@@ -76,3 +76,19 @@ def test_query(spark):
     n = spark.read.parquet(f"{SMOKE}/pages.parquet").count()
     out = warc.op10_warc_derivatives(spark, SMOKE)
     assert out.count() == 2 * n and out.select("record_id").distinct().count() == 2 * n
+
+
+def test_one_pass_gives_the_records_of_the_two_steps(spark):
+    """The query's rows, made from the general operators and the bytes of their records."""
+    from pyspark.sql import functions as F
+
+    pages = pages_of(spark, [(1, "http://x.net/a/", HTML), (2, None, None), (None, "u v", "é😀<p>x</p>"), (3, "http://x", "<svg><p>a</p>")])
+    real = spark.read.parquet(f"{SMOKE}/pages.parquet")
+    for source in (pages, real):
+        two = warc.with_bytes(warc.derivatives(warc.responses(source), "page_id")).select(
+            "page_id", *[n for n in warc.NAMES if n not in ("block", "http_headers")], F.to_json("http_headers").alias("http_headers"),
+            F.col("block").cast("string").alias("content"), F.length("block").cast("long").alias("content_length"), F.length("record").cast("long").alias("record_length"),
+            F.sha2("record", 256).alias("record_sha256"),
+        )
+        one = warc.page_derivatives(source).withColumn("http_headers", F.to_json("http_headers")).select(*two.columns)
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
