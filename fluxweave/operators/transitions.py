@@ -20,6 +20,7 @@ from fluxweave.dims import DEV, N_GROUPS, PERF
 from fluxweave.functions import matrix as mx
 from fluxweave.functions.scalars import SECOND, bin_start, full_state, gesture_group
 from fluxweave.operators.ordering import CHUNK_SECONDS, with_previous
+from fluxweave.operators.sides import with_side
 
 CELL = [mx.TO, mx.FROM]
 
@@ -84,12 +85,16 @@ def device_counts(steps: DataFrame) -> DataFrame:
 
 
 def complete_rows(gestures: DataFrame) -> DataFrame:
-    """Rows of those times at which every player of the performance has a state."""
+    """Rows of those times at which every player of the performance has a state.
+
+    The number of players is one row per performance, counted and brought to
+    the times, so that a performance with most rows is not gathered for it.
+    """
     players = gestures.groupBy(PERF, DEV).agg(F.lit(1)).groupBy(PERF).agg(F.count(F.lit(1)).alias("__players"))
     rest = [c for c in gestures.columns if c not in (PERF, "time")]
     # a time's rows are one state per player, so they are kept beside their count instead of being joined back
     at_time = gestures.groupBy(PERF, "time").agg(F.count("gesture").alias("__present"), F.collect_list(F.struct(*rest)).alias("__rows"))
-    full = at_time.join(players, PERF).filter(F.col("__present") == F.col("__players"))
+    full = with_side(at_time, players, [PERF]).filter(F.col("__present") == F.col("__players"))
     return full.select(PERF, "time", F.inline("__rows")).select(*gestures.columns)
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxweave import schemas
 from fluxweave.dims import DEV, PERF
+from fluxweave.operators.sides import with_side
+from fluxweave.session import shared_folder
 
 # --- fixed values: file name and timestamp formats
 TITLE_PATTERN = r"(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-[A-Za-z0-9]+)"
@@ -83,22 +82,39 @@ def wide_to_long(wide: DataFrame, ids: list[str], name: str, value: str) -> Data
     return wide.unpivot(ids, devices, name, value).filter(F.col(value).isNotNull())
 
 
+def _with_own_header(spark: SparkSession, path: str, is_header: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, headers): every file's rows as ``cells`` beside its header's ``names``, as arrays of one length, the widest header's.
+
+    ``is_header`` tells header lines by their text ``value``. They are written
+    once, a row per file (the first of its header lines counts), and brought to
+    the rows, which stay where they are. Spark's CSV parser cuts both, so cells
+    may be quoted and hold commas. A file without a header gives no rows.
+    """
+    found = spark.read.text(path).filter(is_header).select(F.col("_metadata.file_path").alias("__file"), "value", F.monotonically_increasing_id().alias("__at"))
+    first = found.groupBy("__file").agg(F.min_by("value", "__at").alias("value"))
+    written = shared_folder(spark, "headers")
+    first.write.parquet(written)
+    headers = spark.read.schema(first.schema).parquet(written)
+    width = headers.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    columns = [f"c{i}" for i in range(width)]
+    schema = ", ".join(f"{c} STRING" for c in columns)
+    named = headers.select("__file", F.from_csv("value", F.lit(schema)).alias("h")).select("__file", F.array(*[f"h.{c}" for c in columns]).alias("names"))
+    rows = spark.read.schema(schema).csv(path).select(F.col("_metadata.file_path").alias("__file"), F.array(*columns).alias("cells"))
+    return with_side(rows, named, ["__file"]), named
+
+
 def read_wide(spark: SparkSession, path: str, value: str, value_type: str) -> DataFrame:
     """Tables with one column per device, as long rows; empty cells are dropped.
 
     Every performance has its own devices, so each file's header names the cells
-    of that file's rows. The headers are one row per file and are matched by
-    file; nothing about the columns is needed on the driver.
+    of that file's rows; nothing about the columns but their greatest number is
+    needed on the driver.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("__file"), F.split(F.replace("value", F.lit('"'), F.lit("")), ",", -1).alias("cells")
-    )
-    is_header = F.get("cells", F.lit(0)) == "time"
-    headers = lines.filter(is_header).select("__file", F.col("cells").alias("names"))
-    rows = lines.filter(~is_header).join(headers, "__file")
-    cells = F.slice(F.arrays_zip("names", "cells"), 2, F.greatest(F.size("names") - 1, F.lit(0)))
-    each = rows.select("__file", F.get("cells", F.lit(0)).alias("time"), F.explode(cells).alias("c"))
-    return each.filter(F.coalesce(F.trim("c.cells"), F.lit("")) != "").select(
+    rows, _ = _with_own_header(spark, path, F.col("value").rlike('^"?time"?(,|$)'))
+    cells = F.filter(F.arrays_zip("names", "cells"), lambda c, i: (i > 0) & c["names"].isNotNull() & (F.trim(F.coalesce(c["cells"], F.lit(""))) != ""))
+    own_rows = ~F.get("cells", F.lit(0)).eqNullSafe("time")
+    each = rows.filter(own_rows).select("__file", F.get("cells", F.lit(0)).alias("time"), F.explode(cells).alias("c"))
+    return each.select(
         performance_of("__file").alias(PERF),
         F.try_to_timestamp("time").alias("time"),
         F.col("c.names").alias(DEV),
@@ -118,21 +134,26 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Labelled feature vectors; the label may be called ``target`` or ``gesture``.
 
     Every file is read by the names in its own header, in whatever order they
-    stand; the first column is the time. A column that a file lacks is NULL.
+    stand; the first column is the time. A column that a file lacks is NULL;
+    one that no file has is absent.
     """
-    lines = spark.read.text(path).filter(F.col("value").contains(HEADER_MARK)).select("value", F.col("_metadata.file_path").alias("file"))
-    # files by their header line: a header for each order of columns in use, and the files that the listing has anyway
-    by_header = lines.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
-    if not by_header:
+    rows, headers = _with_own_header(spark, path, F.col("value").contains(HEADER_MARK))
+    present = {r[0] for r in headers.select(F.explode(F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))))).distinct().collect()}
+    if not present:
         raise ValueError(f"no header with {HEADER_MARK} under {path}")
-    tables = []
-    for header, files in by_header:
-        first, *rest = next(csv.reader([header]))
-        columns = [f"`{first}` TIMESTAMP", *[f"`{c}` {schemas.FEATURE_TYPES[c]}" for c in rest]]
-        df = read_table(spark, files, ", ".join(columns), keyed=False)
-        named = df.withColumnRenamed(first, "time").withColumnRenamed("target", "gesture")
-        tables.append(named)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    unknown = present - {None, *schemas.FEATURE_TYPES}
+    if unknown:
+        raise ValueError(f"columns without a type: {sorted(unknown)}")
+
+    def column(name: str) -> Column:
+        return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1).try_cast(schemas.FEATURE_TYPES[name])
+
+    labels = {"target", "gesture"}
+    named = [column(c).alias(c) for c in schemas.FEATURE_TYPES if c in present and c not in labels]
+    named += [F.coalesce(*[column(c) for c in schemas.FEATURE_TYPES if c in present & labels]).alias("gesture")] if present & labels else []
+    is_header = F.array_contains("cells", HEADER_MARK)
+    own_rows = rows.filter(~F.coalesce(is_header, F.lit(False)))
+    return own_rows.select(F.try_to_timestamp(F.get("cells", F.lit(0))).alias("time"), *named)
 
 
 def discover_performances(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -213,3 +213,20 @@ def test_multi_width_counts_match_single_widths(spark):
         one = tr.cells(tr.window_counts(steps, w, keep_first_rows=False))
         part = tr.cells(many.filter(F.col("width") == w).drop("width"))
         assert tr.matrix_differences(part, one, [PERF, "window_start"]).count() == 0
+
+
+def test_wide_cells_may_be_quoted_and_hold_commas(spark, tmp_path):
+    (tmp_path / "2020-01-01T00-00-00-A-gesturetargets.csv").write_text('"time","a,b",c\n2020-01-01T00:00:01,"x,y",\n2020-01-01T00:00:02, ,z\n')
+    (tmp_path / "2020-01-02T00-00-00-B-gesturetargets.csv").write_text("time,d,e,f,g\n2020-01-01T00:00:01,1,,3,4\n")
+    (tmp_path / "2020-01-03T00-00-00-C-gesturetargets.csv").write_text("2020-01-01T00:00:01,no header\n")
+    read = tb.read_coded_targets(spark, str(tmp_path))
+    got = sorted((r[PERF][-1], r[DEV], r.code) for r in read.collect())
+    assert got == [("A", "a,b", "x,y"), ("A", "c", "z"), ("B", "d", "1"), ("B", "f", "3"), ("B", "g", "4")]
+
+
+def test_wide_rows_stay_where_they_are(spark, tmp_path):
+    """The headers are brought to the rows: no exchange, no second reading of the text in the result."""
+    (tmp_path / "2020-01-01T00-00-00-A-gestures.csv").write_text("time,a\n2020-01-01T00:00:01,1\n")
+    text = tb.read_gestures(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+    assert text.count("FileScan csv") == 1 and "FileScan text" not in text

@@ -91,3 +91,9 @@ def test_rows_are_read_and_dealt_out_once(spark, name, exchanges):
     scans, dealt, reused = counted(spark, QUERIES[name](spark, SMOKE))
     assert (scans, reused > 0) == (1, True)
     assert dealt <= exchanges
+
+
+def test_players_are_brought_to_the_rows(spark):
+    """Complete rows need the number of players, for which no row moves to its performance."""
+    text = plan(QUERIES["transition_counts_complete_rows"](spark, SMOKE))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
