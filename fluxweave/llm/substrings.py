@@ -276,9 +276,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return stored(starts.unionByName(same.withColumn("starts", F.array(F.lit(WHOLE)))), "repeat-starts")
 
 
-def _kept_words(text: str, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
+def _kept_words(text: bytes, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the kept words joined by one space."""
-    words = text.encode().split()  # splits at the same six bytes as the word pattern
+    words = text.split()  # splits at the same six bytes as the word pattern
     if not starts:
         return len(words), 0, b" ".join(words)
     if starts == [WHOLE]:
@@ -313,8 +313,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     schema = schema_with(full.select(*rest), **dict(zip(named, ("long", "long", "string"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_kept_words(t or "", s, window) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
+        for batch, data, offsets in text_blocks(batches):  # a few texts at a time: their words are Python objects
+            spans = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            rows = [_kept_words(data[a:b].tobytes(), s, window) for (a, b), s in zip(spans, batch.column("starts").to_pylist())]
             texts = [hashlib.sha256(r[2]).hexdigest() if digest_only else r[2].decode() for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in rest], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(texts, pa.string())],
