@@ -41,21 +41,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_NAME = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment\w+|consent|cookies?|copyright|disqus|footer|gdpr|header|masthead|menu|"
     r"modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|"
-    r"site-?header|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[-_ ]|\d)",
+    r"site-?header|social(?=$|\s|[-_](?:bar|buttons?|icons?|links?|media|nav|shar\w*))|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[-_ ]|\d)",
     re.I,
 )
 BOILER_ROLES = frozenset("banner navigation complementary contentinfo search form dialog alert menu menubar toolbar".split())
 ARTICLE_NAME = re.compile(r"(?:^|[-_ ])(?:article|articlebody|content|entry|post|story|main|body|text)(?:$|[-_ ])", re.I)
 
+HEADER_WORD = re.compile(r"(?:^|(?<=[-_ ]))header(?=$|[-_ ])", re.I)
+COMMENT_NAME = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
+
 # weights of the classifier's logit for article
 BIAS, IN_ARTICLE, ARTICLE_CLASS, IN_BOILER, LINKED, LENGTH, SENTENCE, HEADING, OUTSIDE = -0.6, 3.0, 1.2, -7.0, -4.0, 0.5, 0.6, 0.3, -2.5
 NEXT_TO, SAME_PARENT = 0.6, 0.8  # costs of parting neighbours, the second fading with their distance in the tree
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def _told_by(names: str) -> tuple[bool, bool]:
-    """Whether class and id speak of an article, and of boilerplate."""
-    return bool(ARTICLE_NAME.search(names)), bool(BOILER_NAME.search(names))
+def _told_by(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class and id speak of an article, of boilerplate, of boilerplate even inside an article (whose header is its own), and of comments."""
+    inside = bool(BOILER_NAME.search(HEADER_WORD.sub("", names)))
+    return bool(ARTICLE_NAME.search(names)), bool(BOILER_NAME.search(names)), inside, bool(COMMENT_NAME.search(names))
 
 
 @dataclass(slots=True)
@@ -66,6 +70,7 @@ class Node:
     article: bool
     named: bool
     depth: int
+    by_name: bool = False  # boilerplate for nothing but its class or id, and no comments
 
 
 @dataclass(slots=True)
@@ -129,17 +134,19 @@ class PageBlocks(HTMLParser):
             return
         article = tag in ("article", "main")
         boiler = tag in BOILER_TAGS or (tag == "header" and not any(n.article for n in self.open))
-        named = False
+        named = by_name = False
         if attrs:
             given = dict(attrs)
             names = f"{given.get('class') or ''} {given.get('id') or ''}"
             article = article or given.get("role") in ("main", "article")
             boiler = boiler or given.get("role") in BOILER_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             if names != " ":
-                named, of_boiler = _told_by(names)
-                boiler = boiler or (tag not in ("body", "html", "article", "main") and of_boiler)
+                named, outside, inside, comments = _told_by(names)
+                if tag not in ("body", "html", "article", "main") and (inside or (outside and not any(n.article for n in self.open))):
+                    by_name = not boiler and not comments
+                    boiler = True
         self.count += 1
-        self.open.append(Node(tag, self.count, boiler, article, named, len(self.open)))
+        self.open.append(Node(tag, self.count, boiler, article, named, len(self.open), by_name))
         self.has_article = self.has_article or article
         self.unseen += tag in UNSEEN_TAGS
         self.links += tag == "a"
@@ -173,6 +180,22 @@ class PageBlocks(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_block()
+        self._free_wrappers()
+
+    def _free_wrappers(self) -> None:
+        """A name of boilerplate says nothing where the element holds most of the page's article, as a layout named for its sidebar does."""
+        whole, held, wrappers = 0, {}, {}
+        for block in self.blocks:
+            inner = max((i for i, n in enumerate(block.path) if n.article), default=-1)
+            if inner >= 0:
+                size = max(len(block.text) - block.linked, 0)
+                whole += size
+                for node in block.path[:inner]:
+                    if node.by_name:
+                        wrappers[node.number] = node
+                        held[node.number] = held.get(node.number, 0) + size
+        for number, node in wrappers.items():
+            node.boiler = node.boiler and 2 * held[number] <= whole
 
 
 def page_blocks(html: str) -> tuple[list[Block], bool]:

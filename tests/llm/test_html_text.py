@@ -77,3 +77,22 @@ def test_query_returns_the_articles(spark):
         html = pages[r.page_id] or ""
         inside = html.partition("<article>")[2].partition("</article>")[0]
         assert r.n_chars == len(r.text) and r.text == "\n".join(b.text for b in ht.page_blocks(inside)[0])
+
+
+LINES = "<p>The first paragraph of the article is long enough to be one.</p><p>And so is the second paragraph, which ends it.</p>"
+KEPT = "The first paragraph of the article is long enough to be one.\nAnd so is the second paragraph, which ends it."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<div class="content-sidebar-wrap"><main>{LINES}</main><div class="sidebar"><p>Popular posts of the week.</p></div></div>', KEPT),
+        (f'<div class="layout with-sidebar"><article>{LINES}</article></div>', KEPT),
+        (f'<article><header class="entry-header"><h1>A title</h1></header>{LINES}</article>', "A title\n" + KEPT),
+        (f'<article><div class="social-history">{LINES}</div><div class="social-links"><a href="x">Tweet this</a></div></article>', KEPT),
+        (f'<header class="site-header">Site name.</header><article>{LINES}</article><div id="comments"><article>{LINES * 3}</article></div>', KEPT),
+        (f'<article>{LINES}<div class="header-ad">Buy this now.</div></article>', KEPT),
+    ],
+)
+def test_names_of_wrappers_and_of_an_articles_own_parts(page, want):
+    assert ht.main_text(f"<html><body>{page}</body></html>") == want
