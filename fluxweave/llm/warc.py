@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -99,21 +100,37 @@ def http_body(fields: dict[str, str], body: bytes) -> bytes:
     return body
 
 
+ROOT = re.compile(r"https?://[a-z0-9.-]+(?=/|$)")
+PLAIN_PATH = re.compile(r"(?:/[A-Za-z0-9_~%-][A-Za-z0-9_~%.-]*)+/?")
+PLAIN_URL = re.compile(ROOT.pattern + f"(?:{PLAIN_PATH.pattern})?")
+
+
+def resolved(base: str, root: str | None, href: str) -> str:
+    """``href`` against ``base``, as ``urljoin`` has it; links that need no more than the base's ``root`` are told by their look."""
+    if root is not None:
+        if PLAIN_PATH.fullmatch(href):
+            return root + href
+        if PLAIN_URL.fullmatch(href):
+            return href
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
 class _Facts(PageBlocks):
     """Blocks, title and links of a page, from one pass."""
 
     def __init__(self, base: str) -> None:
         super().__init__()
         self.base, self.title, self.found, self._in_title = base, [], [], False
+        self.root = root[0] if (root := ROOT.match(base)) else None
 
     def handle_starttag(self, tag, attrs):
         if tag in ("a", "area", "link"):
             href = dict(attrs).get("href")
             if href:
-                try:
-                    self.found.append((tag, urljoin(self.base, href.strip())))
-                except ValueError:
-                    self.found.append((tag, href.strip()))
+                self.found.append((tag, resolved(self.base, self.root, href.strip())))
         else:
             self._in_title = tag == "title" and not self.title
         super().handle_starttag(tag, attrs)
@@ -159,19 +176,21 @@ def derive(response: dict) -> list[dict]:
     elif kind.startswith("text/"):
         text = body.decode(charset_of(fields), "replace")
     plain = text.encode()
+    of_text = digest(plain)
     told = {
         "http-status": status, "http-headers": fields, "payload-digest": response["payload_digest"], "payload-length": len(body),
-        "charset": charset_of(fields), "title": title, "text-length": len(text), "text-digest": digest(plain), "outlinks": [{"tag": t, "url": u} for t, u in links],
+        "charset": charset_of(fields), "title": title, "text-length": len(text), "text-digest": of_text, "outlinks": [{"tag": t, "url": u} for t, u in links],
     }
     out = []
-    for type_, content_type, block in (
-        ("metadata", "application/json", json.dumps(told, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")),
-        ("conversion", "text/plain; charset=utf-8", plain),
+    metadata = json.dumps(told, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
+    for type_, content_type, block, of_block in (
+        ("metadata", "application/json", metadata, digest(metadata)),
+        ("conversion", "text/plain; charset=utf-8", plain, of_text),
     ):
         out.append(
             {
                 "record_type": type_, "record_id": record_id(type_, response["record_id"]), "refers_to": response["record_id"], "target_uri": response["target_uri"],
-                "date": response["date"], "content_type": content_type, "payload_digest": response["payload_digest"], "block_digest": digest(block),
+                "date": response["date"], "content_type": content_type, "payload_digest": response["payload_digest"], "block_digest": of_block,
                 "http_headers": fields, "block": block,
             }
         )

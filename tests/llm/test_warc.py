@@ -92,3 +92,20 @@ def test_one_pass_gives_the_records_of_the_two_steps(spark):
         )
         one = warc.page_derivatives(source).withColumn("http_headers", F.to_json("http_headers")).select(*two.columns)
         assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_links_are_resolved_as_the_library_does():
+    import random
+    from urllib.parse import urljoin
+
+    draw = random.Random(6)
+    parts = ["/", "a", "b.c", ".", "..", "//", "?q=1", "#f", ";p", "http://x.net", "https://y.org:80", "http:", "%20", "-", "é", " ", "mailto:z", "HTTP://X"]
+    bases = ["http://x.net/a/", "https://y.org", "http://x.net/a/b?q#f", "http://x.net:80/", "", "urn:page:1", "x/y"]
+    for _ in range(20_000):
+        base, href = draw.choice(bases), "".join(draw.choice(parts) for _ in range(draw.randrange(5)))
+        root = warc.ROOT.match(base)
+        try:
+            want = urljoin(base, href)
+        except ValueError:
+            want = href
+        assert warc.resolved(base, root[0] if root else None, href) == want
