@@ -90,7 +90,7 @@ class PageBlocks(HTMLParser):
         self.blocks: list[Block] = []
         self.current: Block | None = None
         self.count = self.unseen = self.links = 0
-        self.has_article = False
+        self.has_article = self.wrapped = False
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # lines are not counted
@@ -147,7 +147,9 @@ class PageBlocks(HTMLParser):
                     boiler = True
         self.count += 1
         self.open.append(Node(tag, self.count, boiler, article, named, len(self.open), by_name))
-        self.has_article = self.has_article or article
+        if article:
+            self.has_article = True
+            self.wrapped = self.wrapped or any(n.by_name for n in self.open)
         self.unseen += tag in UNSEEN_TAGS
         self.links += tag == "a"
 
@@ -180,7 +182,8 @@ class PageBlocks(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_block()
-        self._free_wrappers()
+        if self.wrapped:
+            self._free_wrappers()
 
     def _free_wrappers(self) -> None:
         """A name of boilerplate says nothing where the element holds most of the page's article, as a layout named for its sidebar does."""

@@ -165,21 +165,21 @@ def derive(response: dict) -> list[dict]:
     status, fields, body = split_http(bytes(response["block"]))
     body = http_body(fields, body)
     kind = fields.get("content-type", "").split(";")[0].strip().lower()
-    text, title, links = "", "", []
+    text, title, links, charset = "", "", [], charset_of(fields)
     if kind in ("text/html", "application/xhtml+xml", ""):
-        page = body.decode(charset_of(fields), "replace")
+        page = body.decode(charset, "replace")
         facts = _Facts(response["target_uri"] or "")
         facts.feed(page)
         facts.close()
         text = "\n".join(b.text for b in facts.blocks)
         title, links = " ".join("".join(facts.title).split()), facts.found
     elif kind.startswith("text/"):
-        text = body.decode(charset_of(fields), "replace")
+        text = body.decode(charset, "replace")
     plain = text.encode()
     of_text = digest(plain)
     told = {
         "http-status": status, "http-headers": fields, "payload-digest": response["payload_digest"], "payload-length": len(body),
-        "charset": charset_of(fields), "title": title, "text-length": len(text), "text-digest": of_text, "outlinks": [{"tag": t, "url": u} for t, u in links],
+        "charset": charset, "title": title, "text-length": len(text), "text-digest": of_text, "outlinks": [{"tag": t, "url": u} for t, u in links],
     }
     out = []
     metadata = json.dumps(told, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
