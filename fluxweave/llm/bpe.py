@@ -15,7 +15,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from fluxweave.llm.tables import schema_with, table, with_place
 from fluxweave.llm.words import give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT_WORDS = 400_000  # pre-tokens whose ids a worker keeps for its next block; only a matter of speed
+KEPT_WORDS = 400_000  # pre-tokens whose ids a task keeps for its next block; only a matter of speed
+KEPT_BETWEEN = 100_000  # of these a worker keeps so many for its next task, since idle workers share an executor's memory
 BLOCK_CHARS = 8_000_000
 SHIFT, END, GONE = 32, -1, -2
 
@@ -191,6 +192,11 @@ class BlockEncoder:
         kept.update(zip(fresh, map(tuple, replay([w.encode() for w in fresh], self.merges))))
         return cut, [kept[w] for w in number]
 
+    def rest(self) -> None:
+        """At the end of a task: keep the words that came first, which are the common ones."""
+        self.kept = dict(islice(self.kept.items(), KEPT_BETWEEN))
+        give_back()
+
 
 @functools.cache
 def default_encoder() -> BlockEncoder:
@@ -222,6 +228,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: dict[by
             found = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], ends])].astype(np.int32)), pa.array(flat[place]))
             columns = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, found], [*rest, ids])
+        coder.rest()
 
     plain = docs.select(*rest)
     schema = schema_with(plain, **{ids: T.ArrayType(T.IntegerType())})
@@ -268,6 +275,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.rest()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
