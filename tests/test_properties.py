@@ -310,3 +310,16 @@ def test_files_with_other_column_orders(spark, tmp_path):
     (tmp_path / "in/c.csv").write_text("time,gesture,centroid_x\n2020-01-01 00:00:03,7,8.5\n")
     got = sorted((r.centroid_x, r.freq, r.gesture) for r in tb.read_features(spark, str(tmp_path / "in")).collect())
     assert got == [(1.5, 2, 3), (6.5, 5, 4), (8.5, None, 7)]
+
+
+def test_cross_validation_learns_the_labels_from_all_columns(spark, monkeypatch):
+    """The labels of the table, from its 64 columns, and rows without a label too."""
+    seen = []
+    monkeypatch.setattr(models, "_validated", {})
+    small = models.vectors(spark, SMOKE).limit(40).withColumn("label", F.when(F.col("vec_id") % 5 > 0, F.col("label")))
+    monkeypatch.setattr(models, "vectors", lambda s, d: small)
+    whole = ln.cross_validate
+    monkeypatch.setattr(ln, "cross_validate", lambda df, columns, label, *rest, **more: seen.append((len(columns), label)) or whole(df, columns, label, *rest, **{**more, "trees": 2}))
+    rows = models.forest_confusion(spark, SMOKE).collect()
+    assert seen == [(64, "label")]
+    assert {r.label: r.n for r in rows} == {r.label: 10 * r["count"] for r in small.groupBy("label").count().collect()}
