@@ -124,3 +124,40 @@ def test_probabilities_of_mixed_leaves_are_averaged():
     rows = fo.Rows(np.zeros((1, 1), np.uint8), np.zeros(1), np.ones((1, 1)), np.zeros(1, np.uint64))
     fo._end(grown, np.array([0, 1]), np.array([[3, 1], [0, 5]]))
     assert fo.votes(rows, np.array([0]), grown, slice(0, 2), 2).tolist() == [[0.75, 1.25]]
+
+
+def test_forests_of_one_task_are_those_of_levels(spark, monkeypatch):
+    """Trees, and so guesses, do not depend on where they are grown; a task's forests need no job for every level."""
+    df = some_rows(spark, 400)
+    want, used = {}, []
+    level = fo._level
+    monkeypatch.setattr(fo, "_level", lambda *a: used.append(1) or level(*a))
+    for dense in (1, 40, 10_000):
+        monkeypatch.setattr(fo, "DENSE_ROWS", dense)
+        want[dense] = guessed(ln.cross_validate(df, COLUMNS, "gesture", ["id"], folds=3, runs=2, trees=8))
+    assert not used
+    monkeypatch.setattr(fo, "PART_CELLS", 500)
+    assert guessed(ln.cross_validate(df, COLUMNS, "gesture", ["id"], folds=3, runs=2, trees=8)) == want[1]
+    monkeypatch.setattr(fo, "ALONE_CELLS", 0)
+    assert guessed(ln.cross_validate(df, COLUMNS, "gesture", ["id"], folds=3, runs=2, trees=8)) == want[1] == want[40] == want[10_000]
+    assert used
+
+
+def test_one_task_grows_the_trees_of_a_plain_recursion(spark):
+    folded = ln.folds_of_runs(some_rows(spark), "gesture", ["id"], 3, 2)
+    rows = fo.prepared(folded, COLUMNS, "gesture", ["id"], [0, 1, 2])
+    block = fo._rows_of(rows.toArrow().combine_chunks().to_batches()[0])
+    jobs = [(0, 1), (1, 2)]
+    want = fo.grow(rows, 160, jobs, trees=4, per_split=2, depth=6, labels=3, features=len(COLUMNS))
+    for t in range(8):
+        one = fo.Trees.planted([jobs[t // 4]], 1, 3, 0)
+        one.key, one.path = want.key[t : t + 1], want.path[t : t + 1]
+        got = fo.grown_alone(block, one, 2, 6, 3)
+        assert shape(got, 0, 3) == shape(want, t, 3)
+
+
+def test_rows_that_share_their_identity_are_all_predicted(spark):
+    df = some_rows(spark, 60)
+    more = df.union(df.filter("id < 9")).union(df.filter("id = 20").selectExpr("CAST(NULL AS LONG) AS id", *COLUMNS, "gesture"))
+    out = ln.cross_validate(more, COLUMNS, "gesture", ["id"], folds=3, runs=2, trees=3)
+    assert Counter((r.run, r.id) for r in out.collect()) == Counter((run, r.id) for r in more.collect() for run in range(2))
