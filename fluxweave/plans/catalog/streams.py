@@ -1,8 +1,8 @@
 """Streaming queries: the event table arrives as a stream of files.
 
-The table is cut into BATCHES files by arrival: a row arrives up to the delay
-after its time, by its id, so that rows of a file are in no order and overlap
-those of the next. One file is one batch. A stream closes a window once the
+The table is cut into BATCHES batches by arrival: a row arrives up to the delay
+after its time, by its id, so that rows of a batch are in no order and overlap
+those of the next. A batch is as many files as its rows need. A stream closes a window once the
 watermark (newest row minus the delay) has passed its end, so the SQL checks
 keep exactly those windows.
 """
@@ -19,7 +19,7 @@ from fluxweave.plans.catalog.files import raw_messages
 from fluxweave.plans.catalog.matrices import FLUX, RISES, STEPS5, WINDOW5, state_sql
 from fluxweave.plans.catalog.vectors import VECTOR_SQL, shown, shown_sql, tumbling
 from fluxweave.plans.testviews import DAY, TICK, VECTOR, WIDTH, bin_sql, with_sql
-from fluxweave.session import shared_folder
+from fluxweave.session import path_exists, shared_folder
 from fluxweave.streaming import live
 
 EVENTS_DDL = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
@@ -30,24 +30,35 @@ WATERMARK = f"(SELECT date_trunc('millisecond', max(time)) - INTERVAL {DELAY_SEC
 
 
 BATCHES = 4
+FILE_ROWS = 250_000
 
 
 def arriving(spark, d, late=None):
-    """The event table as files in order of arrival; rows that ``late`` picks come in a file of their own at the end."""
+    """The event table as files in order of arrival, and how many files are one batch; rows that ``late`` picks come in a batch of their own at the end."""
     wait = F.col("event_id") * 7919 % DELAY_SECONDS * 1_000_000
     rows = tv.table(spark, d, "events").withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) + wait)
-    lo, hi = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    lo, hi, n = rows.agg(F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
     part = F.least(F.expr(f"(arrival - {lo}) * {BATCHES} div {max(hi - lo, 1)}"), F.lit(BATCHES - 1))
     if late is not None:
         part = F.when(late, BATCHES).otherwise(part)
-    path = shared_folder(spark, "arriving")
+    path, files = shared_folder(spark, "arriving"), max(1, -(-n // (BATCHES * FILE_ROWS)))
     for k in range(BATCHES + (late is not None)):
-        rows.filter(part == k).drop("arrival").coalesce(1).write.mode("append").parquet(path)
-    return path
+        write_batch(rows.filter(part == k).drop("arrival"), path, files)
+    return path, files
 
 
-def event_stream(spark, d, late=None, files=1):
-    raw = live.message_stream(spark, arriving(spark, d, late), EVENTS_DDL, files=files)
+def write_batch(rows, path, files):
+    """Rows as exactly ``files`` files, written side by side; where there are too few rows the rest are empty."""
+    spread = rows.coalesce(1) if files == 1 else rows.repartition(files)
+    before = len(rows.sparkSession.read.schema(EVENTS_DDL).parquet(path).inputFiles()) if path_exists(rows.sparkSession, path) else 0
+    spread.write.mode("append").parquet(path)
+    for _ in range(before + files - len(rows.sparkSession.read.schema(EVENTS_DDL).parquet(path).inputFiles())):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
+def event_stream(spark, d, late=None, batched=True):
+    path, files = arriving(spark, d, late)
+    raw = live.message_stream(spark, path, EVENTS_DDL, files=files if batched else None)
     return raw.select(
         "event_id",
         (F.col("user_id") % 10).alias(PERF),
@@ -145,7 +156,7 @@ def stream_devices_leave(spark, d):
     predicted = live.run_to_table(vectors.select(PERF, DEV, "time", guess), "live-guesses")
     kind = F.when(F.col("event_type") == "error", "offline").otherwise("touch")
     # all that has arrived is one batch, so every departure is known when the ticks come
-    messages = event_stream(spark, d, files=None).select(PERF, DEV, "time", kind.alias("kind"))
+    messages = event_stream(spark, d, batched=False).select(PERF, DEV, "time", kind.alias("kind"))
     guesses = live.message_stream(spark, predicted, f"{PERF} long, {DEV} string, time timestamp, prediction int")
     path = live.run_to_table(live.fill_idle(guesses, TICK, live.leaving(messages)), "live-log")
     return spark.read.parquet(path).select(PERF, DEV, iso("time"), "gesture")

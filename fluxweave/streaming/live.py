@@ -38,6 +38,18 @@ DELAY = "10 seconds"
 FORGET_SECONDS = 3600  # after which a performance's live view is dropped
 
 
+# the devices of a performance are dealt to this many states: a call of Python for each device costs more than its rows
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(DEV), F.lit(BUCKETS)).cast("int")
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 def _span(seconds: float) -> str:
     """Seconds, whole or not, as an interval."""
     return f"{round(seconds * 1_000_000)} microseconds"
@@ -94,7 +106,7 @@ def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFra
     A device is active from its first prediction on, silent or not, until it
     leaves, and again from its next prediction. ``offline`` (performance,
     device, time) says when devices leave. As a stream it joins the predictions
-    in one stream of events with one state per device, so a device may leave at
+    in one stream of events with a state of every device, so a device may leave at
     any time after its last prediction, or before its last ones have come; as a
     table it tells what is known when a device's predictions come. Ticks come
     from the watermark, which the predictions alone move: a device that has
@@ -117,55 +129,66 @@ def fill_idle(predicted: DataFrame, tick: float = TICK_SECONDS, offline: DataFra
 
     def ticks(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         upto = state.getCurrentWatermarkMs() * 1000
-        # the next tick to give out (None while inactive), the last one heard, when the device leaves
-        following, heard, gone = state.get if state.exists else (None, None, [])
-        given: dict[int, int] = {}
+        # of every device: the next tick to give out (None while inactive), the last one heard, when the device leaves
+        kept = {d: (f, h, list(g)) for d, f, h, g in zip(*state.get)} if state.exists else {}
+        given: dict[str | None, dict[int, int]] = {}
         for part in batches:
-            gone = sorted({*gone, *(int(t) for times in part["stops"] for t in times)})
+            for device, stops in zip(part[DEV], part["stops"]):
+                if len(stops):
+                    device = _text(device)
+                    following, heard, gone = kept.get(device, (None, None, []))
+                    kept[device] = following, heard, sorted({*gone, *map(int, stops)})
             part = part[part["time"].notna()]
             micros = part["time"].to_numpy().astype("datetime64[us]").astype("int64")
-            given.update(zip(micros.tolist(), part["gesture"].astype("int64").tolist()))
-
-        def idle(last: int) -> Iterator[tuple[int, int]]:
-            """Zeros up to ``last``, or to when the device leaves."""
-            nonlocal following
-            leaves = next((t for t in gone if t >= heard), None)
-            end = last if leaves is None else min(last, leaves)
-            while following <= end:
-                yield following, 0
-                following += step
-            if leaves is not None and last > leaves:
-                following = None
-
-        def states() -> Iterator[tuple[int, int]]:
-            nonlocal following, heard
-            for at in sorted(given):
+            for device, at, gesture in zip(part[DEV], micros.tolist(), part["gesture"].astype("int64").tolist()):
+                given.setdefault(_text(device), {})[at] = gesture
+        after: dict[str | None, tuple] = {}
+
+        def states(device: str | None) -> Iterator[tuple[str | None, int, int]]:
+            following, heard, gone = kept.get(device, (None, None, []))
+
+            def idle(last: int) -> Iterator[tuple[str | None, int, int]]:
+                """Zeros up to ``last``, or to when the device leaves."""
+                nonlocal following
+                leaves = next((t for t in gone if t >= heard), None)
+                end = last if leaves is None else min(last, leaves)
+                while following <= end:
+                    yield device, following, 0
+                    following += step
+                if leaves is not None and last > leaves:
+                    following = None
+
+            mine = given.get(device, {})
+            for at in sorted(mine):
                 if following is not None:
                     yield from idle(at - step)
                 if following is None or at >= following:
-                    yield at, given[at]
+                    yield device, at, mine[at]
                     following, heard = at + step, at
             if following is not None:
                 yield from idle(upto)
+            # an active device needs what lies behind its last prediction, another what the watermark has not passed
+            gone = [t for t in gone if t >= (upto if following is None else heard)]
+            if following is not None or gone:
+                after[device] = following, heard, gone
 
-        every = states()
+        every = itertools.chain.from_iterable(states(device) for device in {**kept, **given})
         while some := list(itertools.islice(every, block)):
-            yield pd.DataFrame({PERF: key[0], DEV: key[1], "time": pd.to_datetime([t for t, _ in some], unit="us"), "gesture": [g for _, g in some]})
-        # an active device needs what lies behind its last prediction, another what the watermark has not passed
-        gone = [t for t in gone if t >= (upto if following is None else heard)]
-        if following is None and not gone:
+            yield pd.DataFrame({PERF: key[0], DEV: [d for d, _, _ in some], "time": pd.to_datetime([t for _, t, _ in some], unit="us"), "gesture": [g for _, _, g in some]})
+        if not after:
             if state.exists:
                 state.remove()
             return
-        state.update((following, heard, gone))
+        state.update((list(after), *map(list, zip(*after.values()))))
         # a time-out needs a watermark beyond it, a tick one that has reached it
-        state.setTimeoutTimestamp(max((gone[-1] if following is None else following) // 1000 - 1, upto // 1000))
+        first = min(gone[-1] if following is None else following for following, _, gone in after.values())
+        state.setTimeoutTimestamp(max(first // 1000 - 1, upto // 1000))
 
     key = rows.schema[PERF].dataType.simpleString()
-    return rows.withWatermark("time", delay).groupBy(PERF, DEV).applyInPandasWithState(
+    return rows.withWatermark("time", delay).withColumn("bucket", _bucket()).groupBy(PERF, "bucket").applyInPandasWithState(
         ticks,
         f"{PERF} {key}, {DEV} string, time timestamp, gesture int",
-        "following long, heard long, gone array<long>",
+        "devices array<string>, following array<long>, heard array<long>, gone array<array<long>>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -256,16 +279,20 @@ def first_steps(chunks: DataFrame) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("chunk")
-        before = [state.get[0] if state.exists else -1, *rows["last_state"].tolist()]
-        state.update((int(before[-1]),))
-        yield pd.DataFrame({PERF: key[0], DEV: key[1], "time": rows["time"].to_numpy(), "__to": rows["first_state"].to_numpy(), "__before": before[:-1]})
+        devices, before = [_text(d) for d in rows[DEV]], []
+        last = dict(zip(*state.get)) if state.exists else {}
+        for device, left in zip(devices, rows["last_state"].tolist()):
+            before.append(last.get(device, -1))
+            last[device] = left
+        state.update((list(last), list(last.values())))
+        yield pd.DataFrame({PERF: key[0], DEV: devices, "time": rows["time"].to_numpy(), "__to": rows["first_state"].to_numpy(), "__before": before})
 
     light = chunks.select(
         PERF, DEV, "chunk", F.col("rows")[0]["time"].alias("time"), F.col("rows")[0]["state"].alias("first_state"), F.element_at("rows", -1)["state"].alias("last_state")
     )
     key = chunks.schema[PERF].dataType.simpleString()
-    paired = light.groupBy(PERF, DEV).applyInPandasWithState(
-        step, f"{PERF} {key}, {DEV} string, time timestamp, __to int, __before int", "state int", "append", GroupStateTimeout.NoTimeout
+    paired = light.withColumn("bucket", _bucket()).groupBy(PERF, "bucket").applyInPandasWithState(
+        step, f"{PERF} {key}, {DEV} string, time timestamp, __to int, __before int", "devices array<string>, states array<int>", "append", GroupStateTimeout.NoTimeout
     )
     return paired.select(PERF, DEV, "time", *_pairs("__to", "__before"))
 
