@@ -48,7 +48,8 @@ def train_forest(
         featureSubsetStrategy=str(per_split),
         maxDepth=depth,
         seed=seed,
-        cacheNodeIds=False,
+        cacheNodeIds=True,  # else every level walks all rows down all trees again
+        checkpointInterval=-1,
     )
     return Pipeline(stages=[_vectors(columns), forest]).fit(rows.select(*columns, F.col(label).cast("double").alias(label)))
 
