@@ -143,6 +143,26 @@ def test_forests_of_one_task_are_those_of_levels(spark, monkeypatch):
     assert used
 
 
+def test_driver_holds_only_the_tops_of_the_trees(spark, monkeypatch):
+    """Where no task can hold all rows, tasks grow what lies below nodes that they can hold; trees, and so guesses, are the same."""
+    df = some_rows(spark, 400)
+    more = df.union(df.filter("id < 9")).union(df.filter("id = 20").selectExpr("CAST(NULL AS LONG) AS id", *COLUMNS, "gesture"))
+    rows, depth = 410, 10
+    said = lambda: Counter(ln.cross_validate(more, COLUMNS, "gesture", ["id"], folds=2, trees=4, depth=depth).collect())
+    want, held, grow = said(), [], fo.grow
+    monkeypatch.setattr(fo, "grow", lambda *a: held.append(grow(*a)) or held[-1])
+    for most, settings in ((60, {}), (120, {"GROUP_INSTANCES": 1, "ROUTED_INSTANCES": 900, "UNIT_INSTANCES": 1})):
+        monkeypatch.setattr(fo, "ALONE_CELLS", most * (len(COLUMNS) + 64 + 8 * 3))
+        for name, value in settings.items():
+            monkeypatch.setattr(fo, name, value)
+        held.clear()
+        assert said() == want
+        assert sum(len(g.key) for g in held) == 2 * 4
+        for g in held:
+            split = np.bincount(g.tree[g.child >= 0])
+            assert (g.label == fo.BELOW).any() and split.max() <= depth * (rows * 1.2 / most)  # few nodes of a level have more rows
+
+
 def test_one_task_grows_the_trees_of_a_plain_recursion(spark):
     folded = ln.folds_of_runs(some_rows(spark), "gesture", ["id"], 3, 2)
     rows = fo.prepared(folded, COLUMNS, "gesture", ["id"], [0, 1, 2])
